@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from quillspan.llm import bytekernel as bk
+from quillspan.llm.shared import extended
 
 NONE = np.int32(2**31 - 1)
 
@@ -226,7 +227,7 @@ def encode(docs: DataFrame, vocab_path: str, text_col: str = "text", ids_col: st
     """
     rest = [c for c in docs.columns if c != ids_col]
     base = docs.select(*rest)
-    schema = base.schema.add(ids_col, "array<int>", False)
+    schema = extended(base, f"{ids_col} array<int>")
 
     def run(batches):
         voc = vocabulary(vocab_path)
@@ -245,7 +246,7 @@ def decode(encoded: DataFrame, vocab_path: str, ids_col: str = "token_ids", text
     """encoded with the text of its ids. Null ids are an empty text; unknown ids fail."""
     rest = [c for c in encoded.columns if c != text_col]
     base = encoded.select(*rest)
-    schema = base.schema.add(text_col, "string", False)
+    schema = extended(base, f"{text_col} string")
 
     def run(batches):
         voc = vocabulary(vocab_path)

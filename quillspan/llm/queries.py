@@ -24,12 +24,24 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspan.llm.chunking import substring_dedup
+
+    return substring_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspan.llm.sharding import shard_report
 
     return shard_report(_table(spark, sf_dir, "documents"), shards=16)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspan.llm.fmindex import contamination_report
+
+    return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspan.llm.bpe import round_trip_digests
 
@@ -38,7 +50,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dedup": op2_near_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_sharding": op4_sharding,
+    "op5_decontamination": op5_decontamination,
     "op10_bpe": op10_bpe,
 }
 

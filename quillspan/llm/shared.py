@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,3 +38,8 @@ def dropped(df: DataFrame | None) -> None:
         jvm = df.sparkSession._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def extended(df: DataFrame, ddl: str) -> T.StructType:
+    """df's schema with further columns."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
