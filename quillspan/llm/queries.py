@@ -42,6 +42,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspan.llm.chat import chat_report
+
+    return chat_report(_table(spark, sf_dir, "conversations"), budget=512, history=128)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspan.llm.bpe import round_trip_digests
 
@@ -53,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_sharding": op4_sharding,
     "op5_decontamination": op5_decontamination,
+    "op8_chat_windows": op8_chat_windows,
     "op10_bpe": op10_bpe,
 }
 
