@@ -42,12 +42,24 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspan.llm.media import media_report
+
+    return media_report(_table(spark, sf_dir, "documents"))
+
+
 def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspan.llm.chat import chat_report
 
     return chat_report(_table(spark, sf_dir, "conversations"), budget=512, history=128)
 
 
+def op9_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspan.llm.extraction import extract
+
+    return extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspan.llm.bpe import round_trip_digests
 
@@ -59,7 +71,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_sharding": op4_sharding,
     "op5_decontamination": op5_decontamination,
+    "op7_media": op7_media,
     "op8_chat_windows": op8_chat_windows,
+    "op9_extraction": op9_extraction,
     "op10_bpe": op10_bpe,
 }
 
