@@ -1,11 +1,14 @@
 """Near-duplicate groups: universal hash minima, banding, signature check, full-set confirmation, components.
 
 A document's set is its distinct word shingles. Documents with equal sets are one node. 128 universal hash minima in 32
-bands of 4 put nodes into buckets: two sets of similarity 0.75 share no bucket with a probability of 5e-6. Inside a
-bucket, pairs are never written out in full: each round picks random leaders, compares the other members that are not
-yet in the leader's component with it, first by signature, then on the full sets, and takes the leaders out. A bucket is
-done when all who are left in it are in one component, so large groups of copies need a round or two, and every pair of
-a bucket that could still link two components has been compared when the last bucket is done.
+bands of 4 put nodes into buckets: two sets of similarity 0.75 share no bucket with a probability of 5e-6.
+
+Pairs of a bucket are never written out. First each bucket's members are compared with one leader, by signature, then on
+the full sets, which joins most copies. What is then left of a bucket in more than one component goes through tasks of
+two blocks of members each, where sparse products of the sets' sketches find all pairs that may link two components; of
+each two components one pair that surely does is enough. These few pairs are confirmed on the full sets again. A sketch
+is the set itself in 32-bit hashes; only sets of over 4096 shingles are thinned by nested sampling, and their estimates
+get a margin. So each pair that shares a bucket has been compared, or was connected before.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from quillspan.llm.shared import dropped, written
 BANDS, WIDTH = 32, 4
 HASHES = BANDS * WIDTH
 WHITE_SPACE = bytes([0x20, *range(0x09, 0x0E)])
+SKETCH, SLAB, BLOCK = 4096, 4096, 512
 SURE = 5.5  # standard deviations below the threshold at which a signature's estimate excludes a pair
 
 _values = bk.byte_values(0x5EED)
@@ -103,17 +107,112 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return base.mapInArrow(run, f"id {kind}, n_shingles long, fa long, fb long, bands array<long>, sig binary")
 
 
+def sketch(shingles: np.ndarray) -> tuple[int, bytes]:
+    """Level and 32-bit hashes: all of them (level 0), or those whose last `level` bits are 0, so that SKETCH at most stay."""
+    x = np.unique((shingles & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+    level = 0
+    while len(x) > SKETCH:
+        level += 1
+        x = x[(x & np.uint32((1 << level) - 1)) == 0]
+    return level, x.astype("<u4").tobytes()
+
+
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(node, shingles) of (node, text): the sorted 64-bit hashes as bytes."""
+    """(node, shingles, level, sketch) of (node, text): the sorted 64-bit hashes as bytes, and their sketch."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.astype("<u8").tobytes() for _, s in shingle_sets(part.column(1), k)], pa.binary())], names=["node", "shingles"])
+                sets = [s for _, s in shingle_sets(part.column(1), k)]
+                levels, small = zip(*map(sketch, sets))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()), pa.array(levels, pa.int32()), pa.array(small, pa.binary())],
+                    names=["node", "shingles", "level", "sketch"],
+                )
 
     kind = docs.schema["node"].dataType.simpleString()
-    return docs.select("node", "text").mapInArrow(run, f"node {kind}, shingles binary")
+    return docs.select("node", "text").mapInArrow(run, f"node {kind}, shingles binary, level int, sketch binary")
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of a shares with each of b, by products of thin slabs of the two incidence matrices."""
+    va, vb = np.concatenate(a), np.concatenate(b)
+    shared = np.intersect1d(va, vb)
+    out = np.zeros((len(a), len(b)), np.float32)
+    sides = []
+    for values, sets in ((va, a), (vb, b)):
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.searchsorted(shared, values)
+        hit = (at < len(shared)) & (shared[np.minimum(at, max(len(shared) - 1, 0))] == values) if len(shared) else np.zeros(len(values), bool)
+        order = np.argsort(at[hit], kind="stable")
+        sides.append((at[hit][order], owner[hit][order], len(sets)))
+    for first in range(0, len(shared), SLAB):
+        slabs = []
+        for at, owner, n in sides:
+            lo, hi = np.searchsorted(at, (first, first + SLAB))
+            m = np.zeros((min(SLAB, len(shared) - first), n), np.float32)
+            m[at[lo:hi] - first, owner[lo:hi]] = 1
+            slabs.append(m)
+        out += slabs[0].T @ slabs[1]
+    return out
+
+
+def _block_pairs(a: list, b: list, same: bool, percent: int) -> list[tuple]:
+    """Pairs of members (node, component, level, sketch) of two blocks that may link two components."""
+    out = []
+    for level in sorted({x[2] for x in a} | {x[2] for x in b}):
+        # Pairs whose coarser level is this one are compared at it.
+        left, right = [x for x in a if x[2] <= level], [x for x in b if x[2] <= level]
+        if not left or not right:
+            continue
+        keep = np.uint32((1 << level) - 1)
+        va, vb = ([v[(v & keep) == 0] for v in (np.frombuffer(x[3], "<u4") for x in side)] for side in (left, right))
+        common = _common(va, vb)
+        na, nb = np.array([len(v) for v in va]), np.array([len(v) for v in vb])
+        union = na[:, None] + nb[None, :] - common
+        slack = 3 if level else 0
+        ca, cb = np.unique([x[1] for x in left + right], return_inverse=True)[1][: len(left)], np.unique([x[1] for x in left + right], return_inverse=True)[1][len(left) :]
+        at_level = np.maximum(np.array([x[2] for x in left])[:, None], np.array([x[2] for x in right])[None, :]) == level
+        open_ = (ca[:, None] != cb[None, :]) & (common > 0) & (100 * common >= (percent - slack) * union) & at_level
+        i, j = np.nonzero(open_)
+        if same:
+            i, j = i[i != j], j[i != j]
+        if not len(i):
+            continue
+        ratio = common[i, j] / union[i, j]
+        sure = 100 * common[i, j] >= (percent + slack) * union[i, j]
+        key = np.minimum(ca[i], cb[j]) * (len(left) + len(right)) + np.maximum(ca[i], cb[j])
+        # Of each two components the surest pair; where none is sure, all that are possible.
+        order = np.lexsort((-ratio, ~sure, key))
+        first = np.append(True, key[order][1:] != key[order][:-1])
+        has_sure = np.isin(key, key[order][first & sure[order]])
+        chosen = np.zeros(len(i), bool)
+        chosen[order[first]] = True
+        chosen |= ~has_sure
+        out += [(left[x][0], right[y][0]) for x, y in zip(i[chosen], j[chosen])]
+    return out
+
+
+def _open_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) for rows (bucket, parts, node, component, level, sketch); buckets are cut into `parts` blocks of members."""
+    kind = members.schema["node"].dataType.simpleString()
+    block = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = members.withColumn("own", block).withColumn("other", other)
+    dealt = dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    dealt = dealt.select("bucket", "lo", "hi", "own", "node", "component", "level", "sketch")
+
+    def run(table: pa.Table) -> pa.Table:
+        lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
+        rows = list(zip(*(table[c].to_pylist() for c in ("node", "component", "level", "sketch"))))
+        own = table["own"].to_pylist()
+        a = [r for r, o in zip(rows, own) if o == lo]
+        found = _block_pairs(a, a, True, percent) if lo == hi else _block_pairs(a, [r for r, o in zip(rows, own) if o == hi], False, percent)
+        found = sorted({(min(x), max(x)) for x in found})
+        return pa.table([pa.array([x[k] for x in found], table["node"].type) for k in (0, 1)], names=["a", "b"])
+
+    return dealt.groupBy("bucket", "lo", "hi").applyInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
@@ -170,32 +269,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = written(full_sets(texts.dropDuplicates(["node", "text"]), k), "sets")
     ma, mb = (marks.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sig").alias(f"g{x}")) for x in "ab")
     sa, sb = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    stars, turn = None, 0
-    while True:
-        at = active.join(stars, "node", "left") if stars else active.withColumn("component", F.col("node"))
-        at = at.withColumn("component", F.coalesce("component", "node"))
-        best = [F.min_by("node", F.xxhash64("node", F.lit(turn * 64 + j))) for j in range(min(1 << turn, 16))]
-        picked = at.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.array_distinct(F.array(*best)).alias("leaders"))
-        opened = written(at.join(picked.where("lo < hi"), "bucket"), "round")
-        dropped(active)
-        if opened.isEmpty():
-            break
-        led = opened.select("bucket", F.explode("leaders").alias("leader"), "node", "component").where("leader <> node")
-        is_leader = F.array_contains("leaders", F.col("node"))
-        heads = opened.where(is_leader).select("bucket", F.col("node").alias("leader"), F.col("component").alias("head"))
-        apart = led.join(heads, ["bucket", "leader"]).where("component <> head")
-        pairs = apart.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
         sized = pairs.join(ma, "a").join(mb, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        links = _confirmed(_alike(sized, percent).join(sa, "a").join(sb, "b"), percent)
-        if stars:
-            links = links.unionByName(stars.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        stars = connected_components(links)
-        active = written(opened.where(~is_leader).select("bucket", "node"), "buckets")
-        dropped(opened)
-        turn += 1
-    dropped(sets)
+        return _confirmed(_alike(sized, percent).join(sa, "a").join(sb, "b"), percent)
+
+    leader = F.min_by("node", F.xxhash64("node")).alias("leader")
+    led = written(active.join(active.groupBy("bucket").agg(leader), "bucket").where("node <> leader"), "led")
+    pairs = led.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+    links = written(confirmed(pairs), "links")
+    stars = connected_components(links)
+    rest = led.select("bucket", "node").join(stars, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    several = several.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    open_members = rest.join(several, "bucket").join(sets.select("node", "level", "sketch"), "node")
+    more = written(confirmed(_open_pairs(open_members, percent)), "links")
+    if not more.isEmpty():
+        stars = connected_components(links.unionByName(more))
+    for used in (active, led, marks, sets):
+        dropped(used)
     out = sigs.select("id", "n_shingles", "fa", "fb").join(groups, ["fa", "fb"], "left")
-    out = out.join(stars, "node", "left") if stars else out.withColumn("component", F.col("node"))
+    out = out.join(stars, "node", "left")
     has_set = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
     component = F.when(has_set, F.coalesce("component", "node")).otherwise(F.col("id"))
     out = out.withColumn("component_id", component)
