@@ -18,6 +18,12 @@ def vocab_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspan.llm.langid import language_report
+
+    return language_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspan.llm.minhash import near_duplicates
 
@@ -73,6 +79,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_near_dedup": op2_near_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_sharding": op4_sharding,
