@@ -179,7 +179,7 @@ def address_columns(url: Column, languages: list[str]) -> dict[str, Column]:
 def identified(rows: DataFrame, model: TextModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """rows (with text_col, declared, host, parent, suffix, hint) without the text, with language, posterior, text_language and rejected.
 
-    A row without letters in its text has no text evidence; it is rejected, as is one whose best posterior is below
+    A row whose text has fewer than three bytes or no letter has no text evidence; it is rejected, as is one whose best posterior is below
     `least`; rejected rows get the language 'und'. Any evidence may be null and is then left out. Repeated rows count as
     often as they stand and get the same result; an empty table stays empty; further columns are kept.
     """

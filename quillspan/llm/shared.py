@@ -16,8 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = jvm_dir.get() if jvm_dir.isDefined() else None
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="quillspan-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quillspan-"))
+        path = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return path.rstrip("/")
 
 

@@ -257,7 +257,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
     # One task fits the bounded sample; the driver gets the weights alone.
-    return pickle.loads(sides[0].unionByName(sides[1]).coalesce(1).mapInArrow(run, "model binary").first()["model"])
+    found = sides[0].unionByName(sides[1]).coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found["model"]) if found else fit([], np.zeros(0), np.zeros(0, bool))
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,7 +270,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         model = shared.value
         for batch in batches:
             scores = np.zeros(batch.num_rows)
-            for first, buf, offs in bk.blocks(batch.column(1), 2 << 20):
+            for first, buf, offs in bk.blocks(batch.column(1)):
                 scores[first : first + len(offs) - 1] = model.probabilities(model.logits(buf, offs))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=[id_col, "score"])
 
