@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.bpe import decode, encode
+from quillspan.llm.bpe import encode
 from quillspan.llm.chunking import substring_dedup
 from quillspan.llm.fmindex import decontaminate
 from quillspan.llm.langid import identified, of_documents, train
@@ -45,8 +45,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes the texts; the text that is returned is decoded from the ids."""
-    encoded = encode(docs, vocab_path()).drop("text")
-    return decode(encoded, vocab_path(), text_col="text").select(*docs.columns, F.size("token_ids").alias("n_tokens"), "token_ids")
+    return encode(docs, vocab_path(), decoded_col="text").select(*docs.columns, F.size("token_ids").alias("n_tokens"), "token_ids")
 
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("passages", passages), ("benchmark", benchmark), ("tokens", tokens)]

@@ -219,15 +219,17 @@ def _text_blocks(batch: pa.RecordBatch, text_col: str, most: int) -> Iterator[tu
         at = to
 
 
-def encode(docs: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str = "token_ids", block_bytes: int = 32 << 20) -> DataFrame:
-    """docs with a column of token ids, an array of int, for each whole text.
+def encode(docs: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str = "token_ids", decoded_col: str | None = None, block_bytes: int = 12 << 20) -> DataFrame:
+    """docs with a column of token ids, an array of int, for each whole text, and with decoded_col, if named, the text
+    decoded from the ids in the same task (it may take text_col's place).
 
-    Null and empty texts have no ids. Rows stay as they are, repeated ones too; a column named as ids_col is replaced.
-    `vocab_path` must be readable where tasks run. Memory is bounded by block_bytes of texts (or one longer text).
+    Null and empty texts have no ids. Rows stay as they are, repeated ones too; columns named as the new ones are
+    replaced. `vocab_path` must be readable where tasks run. Memory is bounded by block_bytes of texts (or one longer text).
     """
-    rest = [c for c in docs.columns if c != ids_col]
-    base = docs.select(*rest)
-    schema = extended(base, f"{ids_col} array<int>")
+    new = [ids_col, *([decoded_col] if decoded_col else [])]
+    rest = [c for c in docs.columns if c not in new]
+    base = docs.select(*rest, *([text_col] if text_col in new else []))
+    schema = extended(docs.select(*rest), f"{ids_col} array<int>" + f", {decoded_col} string" * bool(decoded_col))
 
     def run(batches):
         voc = vocabulary(vocab_path)
@@ -236,8 +238,9 @@ def encode(docs: DataFrame, vocab_path: str, text_col: str = "text", ids_col: st
                 rows = list(encode_block(voc, texts))
                 offs = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(rows).astype(np.int32)))
-                part = batch.slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*rest, ids_col])
+                part = batch.slice(at, len(texts)).select(list(range(len(rest))))
+                back = [pa.array([decode_ids(voc, r) for r in rows], pa.string())] if decoded_col else []
+                yield pa.RecordBatch.from_arrays([*part.columns, ids, *back], names=[*rest, *new])
 
     return base.mapInArrow(run, schema)
 
@@ -266,7 +269,7 @@ def _rows_of(lists: pa.ListArray) -> Iterator[np.ndarray | None]:
         yield flat[offs[i] : offs[i + 1]] if lists[i].is_valid else None
 
 
-def round_trip_digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
+def round_trip_digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 12 << 20) -> DataFrame:
     """Count and digest of each text's ids and the digest of what they decode to, without moving the ids out of the task.
 
     Returns (id_col, n_tokens, ids_sha256, decoded_sha256), a row for each row of docs; null is an empty text.
