@@ -105,8 +105,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     made = ["n_repeated", "removed_spans", "removed_bytes"]
     rest = [c for c in docs.columns if c not in made]
     pieces = chunks(docs, id_col, text_col, least, most)
-    first = pieces.groupBy("da", "db", "size").agg(F.min(F.struct("id", "mark", "at")).alias("first"), F.max(F.struct("id", "mark", "at")).alias("last"))
-    repeated = first.where(F.col("first") != F.col("last")).select("da", "db", "size", "first")
+    first = pieces.groupBy("da", "db", "size").agg(F.min(F.struct("id", "mark", "at")).alias("first"), F.count("*").alias("n"))
+    repeated = first.where("n > 1").select("da", "db", "size", "first")
     later = pieces.join(repeated, ["da", "db", "size"]).where(F.struct("id", "mark", "at") != F.col("first"))
     spans = later.groupBy("id", "mark").agg(F.sort_array(F.collect_set(F.struct("at", (F.col("at") + F.col("size")).alias("to")))).alias("_spans"))
     base = docs.select(*rest, F.xxhash64(text_col).alias("_mark"))

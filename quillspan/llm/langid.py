@@ -16,9 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from quillspan.llm import bytekernel as bk
-from quillspan.llm.shared import written
+from quillspan.llm.shared import thinned, written
 
 UNKNOWN = "und"
 BITS, GRAM = 16, 3
@@ -83,14 +84,13 @@ def fit_texts(texts: list[str], langs: list[str]) -> TextModel:
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> TextModel:
     """A text model from at most SAMPLE_ROWS rows of each declared language, those of least hash; fitted in one task."""
     usable = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.octet_length(text_col) <= SAMPLE_BYTES) & (F.trim(text_col) != ""))
-    usable = usable.select(F.col(text_col).alias("text"), F.lower(lang_col).alias("lang"))
-    names = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    sample = None
-    for name in sorted(names):
-        part = usable.where(F.col("lang") == name).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_ROWS)
-        sample = part if sample is None else sample.unionByName(part)
-    if sample is None:
+    usable = usable.select(F.col(text_col).alias("text"), F.lower(lang_col).alias("lang"), F.xxhash64(*docs.columns).alias("hash"))
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    if not counts:
         return TextModel([], np.zeros((0, 1 << BITS), np.float32))
+    share = thinned("lang", {r["lang"]: r["count"] for r in counts}, SAMPLE_ROWS, "hash")
+    least = W.partitionBy("lang").orderBy("hash", "text")
+    sample = usable.where(share).withColumn("n", F.row_number().over(least)).where(F.col("n") <= SAMPLE_ROWS).select("text", "lang")
 
     def run(batches):
         rows = [r for b in batches for r in b.to_pylist()]

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -43,3 +44,15 @@ def dropped(df: DataFrame | None) -> None:
 def extended(df: DataFrame, ddl: str) -> T.StructType:
     """df's schema with further columns."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
+def thinned(group: str, counts: dict, rows: int, hash_col: str) -> Column:
+    """A filter that lets about twice `rows` rows of each counted group through, those of low hash, and no others.
+
+    A sample by least hash that is taken behind it moves a bounded number of rows whatever the number of partitions.
+    """
+    at = F.pmod(hash_col, F.lit(1 << 31))
+    out = F.lit(False)
+    for value, n in counts.items():
+        out = F.when(F.col(group) == F.lit(value), at < int(min(1.0, (2 * rows + 50) / max(n, 1)) * (1 << 31))).otherwise(out)
+    return out

@@ -16,9 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from quillspan.llm import bytekernel as bk
 from quillspan.llm.bpe import gather_ranges
+from quillspan.llm.shared import thinned
 
 GRAMS = (3, 4, 5, 6, 7)
 BITS, DIMS, SEGMENT = 18, 4, 24
@@ -242,12 +244,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     nothing; repeated labels count once, as toxic if any says so.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(fold_of("doc_id") > 0)
-    order = F.xxhash64("doc_id")
+    known = known.withColumn("hash", F.xxhash64("doc_id"))
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows
+    least = W.partitionBy("toxic").orderBy("hash", "doc_id")
+    # Twice as many as are wanted, since some are too long; a bounded number of ids.
+    some = known.where(thinned("toxic", counts, 2 * SAMPLE_ROWS, "hash")).withColumn("n", F.row_number().over(least)).where(F.col("n") <= 2 * SAMPLE_ROWS)
     usable = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES) & (fold_of("doc_id") > 0))
-    sides = []
-    for label in (0, 1):
-        some = known.where(F.col("toxic") == label).orderBy(order, "doc_id").limit(2 * SAMPLE_ROWS)  # twice as many: some are too long
-        sides.append(usable.join(some, "doc_id").orderBy(order, "doc_id", "text").limit(SAMPLE_ROWS).select("doc_id", "text", "toxic"))
+    sample = usable.join(F.broadcast(some.select("doc_id", "toxic", "hash")), "doc_id").dropDuplicates(["doc_id", "text"])
+    least = W.partitionBy("toxic").orderBy("hash", "doc_id", "text")
+    sample = sample.withColumn("n", F.row_number().over(least)).where(F.col("n") <= SAMPLE_ROWS).select("doc_id", "text", "toxic")
 
     def run(batches):
         rows = [r for b in batches for r in b.to_pylist()]
@@ -257,7 +262,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
     # One task fits the bounded sample; the driver gets the weights alone.
-    found = sides[0].unionByName(sides[1]).coalesce(1).mapInArrow(run, "model binary").first()
+    found = sample.coalesce(1).mapInArrow(run, "model binary").first()
     return pickle.loads(found["model"]) if found else fit([], np.zeros(0), np.zeros(0, bool))
 
 
