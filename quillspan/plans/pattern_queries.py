@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspan.operators import experiences as X
 from quillspan.operators import placement as P
 from quillspan.operators import sequences as S
+from quillspan.plans.group_sql import group_oracles
 from quillspan.plans.mapping import EVENTS_SQL, session_events
 from quillspan.tables import snapshot
 
@@ -208,3 +209,4 @@ n AS (SELECT f.trajectory_id, f.sequence AS fs, f.fam, min(p.sequence) AS ps FRO
   WHERE f.type LIKE '%\\_fail' ESCAPE '\\' GROUP BY 1, 2, 3)
 SELECT trajectory_id, ps AS pass_sequence, max(fs) AS fail_sequence, arg_max(fam, fs) AS family FROM n GROUP BY 1, 2""",
 }
+ORACLE_SQL |= group_oracles(FR, HC, RF, FC, ORACLE_SQL["profiles"])

@@ -124,7 +124,7 @@ def file_touch_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     return touched.agg(F.bool_or(F.col("type") == "file_edit").alias("was_modified"), F.bool_or(F.col("type") == "file_create").alias("was_created"), F.count("*").alias("touches"))
 
 
-@query(f"{EVENTS_SQL} SELECT trajectory_id, sum(k) AS total, sum(k) FILTER (type = 'command') AS in_commands, arg_max(k, sequence) AS last_snapshot, arg_min(path, sequence) FILTER (path IS NOT NULL) AS first_path FROM t GROUP BY 1")
+@query(f"{EVENTS_SQL} SELECT trajectory_id, CAST(sum(k) AS BIGINT) AS total, CAST(sum(k) FILTER (type = 'command') AS BIGINT) AS in_commands, arg_max(k, sequence) AS last_snapshot, arg_min(path, sequence) FILTER (path IS NOT NULL) AS first_path FROM t GROUP BY 1")
 def usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session_events(spark, sf_dir).groupBy("trajectory_id").agg(
         F.sum("k").alias("total"), F.sum(F.when(F.col("type") == "command", F.col("k"))).alias("in_commands"), F.max_by("k", "sequence").alias("last_snapshot"),
