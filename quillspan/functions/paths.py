@@ -28,10 +28,14 @@ def normalized(path: Column) -> Column:
 
 def file_context(path: Column) -> Column:
     """The first context whose rule fits, else other."""
-    p = normalized(path)
+    return context_of_normalized(normalized(path))
+
+
+def context_of_normalized(path: Column) -> Column:
+    """file_context() of a path that is a normalized column already, so that it is cleaned once and not for each rule."""
     out = F.when(path.isNull() | (path == ""), "other")
     for name, rule in V.CONTEXT_RULES:
-        out = out.when(matches(p, rule), name)
+        out = out.when(matches(path, rule), name)
     return out.otherwise("other")
 
 

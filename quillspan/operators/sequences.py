@@ -14,8 +14,9 @@ from pyspark.sql.window import WindowSpec
 
 from quillspan.functions import values as V
 from quillspan.functions.commands import command_context
-from quillspan.functions.paths import file_context, is_vendored
+from quillspan.functions.paths import context_of_normalized, normalized
 from quillspan.functions.text import error_signature, is_correction, is_directive, looks_diagnostic, matches, stripped
+from quillspan.tables import snapshot
 
 GAP = 20
 COLUMNS = [
@@ -30,13 +31,13 @@ def _order() -> WindowSpec:
 
 def tagged(events: DataFrame) -> DataFrame:
     """events with context, vendored, command context, pass and fail family, and the running counts that detectors need."""
-    base = events.withColumns({
-        "context": F.when(F.col("path").isNotNull(), file_context(F.col("path"))).otherwise(""),
+    base = events.withColumn("clean_path", normalized(F.col("path"))).withColumns({
+        "context": F.when(F.col("path").isNotNull(), context_of_normalized(F.col("clean_path"))).otherwise(""),
         "cmd_context": command_context(F.col("command")),
         "fail_family": F.when(F.col("type").isin(*[f"{f}_fail" for f in V.FAMILIES]), F.regexp_replace("type", "_fail$", "")),
         "pass_family": F.when(F.col("type").isin(*[f"{f}_pass" for f in V.FAMILIES]), F.regexp_replace("type", "_pass$", "")),
     })
-    base = base.withColumn("edit", F.col("type").isin(*V.EDIT_TYPES) & F.col("path").isNotNull() & (F.col("path") != "") & ~is_vendored(F.col("path")))
+    base = base.withColumn("edit", F.col("type").isin(*V.EDIT_TYPES) & F.col("path").isNotNull() & (F.col("path") != "") & ~matches(F.col("clean_path"), V.VENDORED)).drop("clean_path")
     count = lambda x: F.sum(F.when(x, 1).otherwise(0)).over(_order().rowsBetween(W.unboundedPreceding, W.currentRow))
     so_far = F.struct(
         count(F.col("edit")).alias("edits"),
@@ -84,11 +85,41 @@ def with_next_pass(events: DataFrame, gap: int = GAP) -> DataFrame:
     return events.withColumn("next_pass", out)
 
 
-def failure_repairs(events: DataFrame, gap: int = GAP) -> DataFrame:
-    """A failing check, repair work, and the same check passing among the next `gap` events; events are with_next_pass()."""
+def prepared(events: DataFrame, gap: int = GAP) -> DataFrame:
+    """with_next_pass() and what each detector looks for around an event, all in the one order of a trajectory.
+
+    antecedents: contexts changed shortly before; fail: of a directive correction, the next failing event; changed and pairs:
+    of a change, its context and the later changes that it calls for; sig: of a failure, its diagnostic signature; last_pass:
+    each family's last pass. Events that no detector starts from are dropped.
+    """
     changed = F.when(F.col("type").isin(*V.CHANGE_TYPES) & F.col("edit"), F.col("context"))
-    seen = events.withColumn("antecedents", F.array_distinct(F.collect_list(changed).over(_order().rangeBetween(-gap, -1))))
-    hit = seen.where("fail_family is not null and next_pass is not null")
+    told = (F.col("type") == "human_correction") & is_correction(F.col("summary")) & is_directive(F.col("summary"))
+    fails = F.col("fail_family").isNotNull()
+    near = _order().rangeBetween(1, gap)
+    passing = F.min(F.when(F.col("pass_family").isNotNull(), F.struct("sequence", "pass_family"))).over(near)
+    base = with_next_pass(tagged(events), gap).withColumns({"changed": changed, "told": told})
+    base = base.withColumns({
+        "antecedents": F.array_distinct(F.collect_list("changed").over(_order().rangeBetween(-gap, -1))),
+        "fail": F.min(F.when(fails, F.struct("sequence", "fail_family", "so_far", "next_pass"))).over(_order().rowsBetween(1, gap)),
+        "family": passing["pass_family"],
+        "said": F.when(fails | (F.col("type") == "error"), diagnostic_text()),
+        "last_pass": F.array(*[F.max(F.when(F.col("pass_family") == f, F.col("sequence"))).over(W.partitionBy("trajectory_id")) for f in V.FAMILIES]),
+    })
+    pairs = []
+    for k, (a, b) in enumerate(V.TRANSITIONS):
+        second = F.min(F.when((F.col("changed") == b) & F.col("family").isNotNull(), F.struct("sequence", "family"))).over(near)
+        pairs.append(F.when(F.col("changed") == a, F.struct(second["sequence"].alias("b"), F.lit(k).alias("kind"), second["family"].alias("family"))))
+    base = base.withColumns({
+        "pairs": F.filter(F.array(*pairs), lambda x: x["b"].isNotNull()), "sig": F.when(F.col("said").isNotNull(), error_signature(F.col("said"))),
+        "fail": F.when(F.col("told"), F.col("fail")), "antecedents": F.when(fails & F.col("next_pass").isNotNull(), F.col("antecedents")),
+    })
+    base = base.select("trajectory_id", "project_id", "sequence", "type", "summary", "fail_family", "next_pass", "so_far", "told", "fail", "antecedents", "pairs", "sig", "last_pass")
+    return base.where("(fail_family is not null and next_pass is not null) or (told and fail is not null) or size(pairs) > 0 or coalesce(sig, '') <> ''")
+
+
+def failure_repairs(events: DataFrame) -> DataFrame:
+    """A failing check, repair work, and the same check passing among the next events; events are prepared()."""
+    hit = events.where("fail_family is not null and next_pass is not null")
     hit = hit.withColumns({f"b_{k}": v for k, v in _between(F.col("so_far"), F.col("next_pass.so_far")).items()})
     hit = hit.where("b_edits > 0 or b_migrations > 0")
     context = F.when(F.col("b_migrations") > 0, "migration").otherwise(dominant(F.col("b_contexts")))
@@ -102,11 +133,8 @@ def failure_repairs(events: DataFrame, gap: int = GAP) -> DataFrame:
 
 
 def correction_repairs(events: DataFrame, gap: int = GAP) -> DataFrame:
-    """A directive correction, the first failure behind it, work, and that check passing, all among the next `gap` events."""
-    fail = F.struct("sequence", "fail_family", "so_far", "next_pass")
-    seen = events.withColumn("fail", F.min_by(F.when(F.col("fail_family").isNotNull(), fail), F.when(F.col("fail_family").isNotNull(), F.col("sequence"))).over(_order().rowsBetween(1, gap)))
-    told = (F.col("type") == "human_correction") & is_correction(F.col("summary")) & is_directive(F.col("summary"))
-    hit = seen.where(told & F.col("fail.next_pass").isNotNull() & (F.col("fail.next_pass.sequence") <= F.col("sequence") + gap))
+    """A directive correction, the first failure behind it, work, and that check passing, all among the next `gap` events; events are prepared()."""
+    hit = events.where(F.col("told") & F.col("fail.next_pass").isNotNull() & (F.col("fail.next_pass.sequence") <= F.col("sequence") + gap))
     hit = hit.withColumns({f"b_{k}": v for k, v in _between(F.col("fail.so_far"), F.col("fail.next_pass.so_far")).items()}).where("b_edits > 0 or b_commands > 0")
     context = F.when(F.col("b_edits") > 0, dominant(F.col("b_contexts"))).when(F.col("b_migrations") > 0, "migration").otherwise("other")
     hit = hit.withColumn("ctx", context)
@@ -127,11 +155,8 @@ def diagnostic_text() -> Column:
 
 
 def repeated_failures(events: DataFrame, status: DataFrame) -> DataFrame:
-    """Failures with one diagnostic signature that stay unresolved; status has trajectory_id and final_status."""
-    fails = [*[f"{f}_fail" for f in V.FAMILIES], "error"]
-    seen = events.withColumn("sig", F.when(F.col("type").isin(*fails), error_signature(diagnostic_text())))
-    last_pass = [F.max(F.when(F.col("pass_family") == f, F.col("sequence"))).over(W.partitionBy("trajectory_id")) for f in V.FAMILIES]
-    seen = seen.withColumn("last_pass", F.array(*last_pass)).where(F.col("sig").isNotNull() & looks_diagnostic(F.col("sig")))
+    """Failures with one diagnostic signature that stay unresolved; events are prepared(), status has trajectory_id and final_status."""
+    seen = events.where(F.col("sig").isNotNull() & looks_diagnostic(F.col("sig")))
     hits = seen.groupBy("trajectory_id", "sig").agg(
         F.first("project_id").alias("project_id"), F.min("sequence").alias("lo"), F.max("sequence").alias("hi"), F.count("*").alias("n"),
         F.min_by("fail_family", "sequence").alias("family"), F.first("last_pass").alias("last_pass"),
@@ -149,21 +174,12 @@ def repeated_failures(events: DataFrame, status: DataFrame) -> DataFrame:
     )
 
 
-def file_changes(events: DataFrame, status: DataFrame, gap: int = GAP) -> DataFrame:
-    """In successful sessions, a change in one context followed by one that it calls for, and a check passing behind both.
+def file_changes(events: DataFrame, status: DataFrame) -> DataFrame:
+    """In successful sessions, a change in one context followed by one that it calls for, and a check passing behind both; events are prepared().
 
     Each kind of pair counts once and each first change once, in order: with three kinds that is three minima in turn.
     """
-    near = _order().rangeBetween(1, gap)
-    passing = F.min(F.when(F.col("pass_family").isNotNull(), F.struct("sequence", "pass_family"))).over(near)
-    change = F.col("type").isin(*V.CHANGE_TYPES) & F.col("edit")
-    seen = events.withColumns({"family": passing["pass_family"], "changed": F.when(change, F.col("context"))})
-    pairs = []
-    for k, (a, b) in enumerate(V.TRANSITIONS):
-        second = F.min(F.when((F.col("changed") == b) & F.col("family").isNotNull(), F.struct("sequence", "family"))).over(near)
-        pairs.append(F.when(F.col("changed") == a, F.struct(second["sequence"].alias("b"), F.lit(k).alias("kind"), second["family"].alias("family"))))
-    seen = seen.withColumn("pairs", F.filter(F.array(*pairs), lambda x: x["b"].isNotNull())).where(F.size("pairs") > 0)
-    seen = seen.join(status.where("final_status = 'success'").select("trajectory_id"), "trajectory_id", "left_semi")
+    seen = events.where(F.size("pairs") > 0).join(status.where("final_status = 'success'").select("trajectory_id"), "trajectory_id", "left_semi")
     one = seen.select("trajectory_id", "project_id", F.col("sequence").alias("a"), F.explode("pairs").alias("p"))
     whole = W.partitionBy("trajectory_id")
     pick = F.struct("a", F.col("p.b").alias("b"), F.col("p.kind").alias("kind"), F.col("p.family").alias("family"))
@@ -182,12 +198,15 @@ def file_changes(events: DataFrame, status: DataFrame, gap: int = GAP) -> DataFr
 
 
 def occurrences(events: DataFrame, status: DataFrame, gap: int = GAP) -> DataFrame:
-    """All detectors' rows, the first for each (group, classification) of a trajectory; file changes yield to a repair of the same group."""
-    base = with_next_pass(tagged(events), gap)
-    early = [failure_repairs(base, gap), correction_repairs(base, gap), repeated_failures(base, status)]
+    """All detectors' rows, the first for each (group, classification) of a trajectory; file changes yield to a repair of the same group.
+
+    The prepared events that a detector may start from are written once and read by all four.
+    """
+    base = snapshot(prepared(events, gap), "prepared")
+    early = [failure_repairs(base), correction_repairs(base, gap), repeated_failures(base, status)]
     early = [d.withColumn("detector", F.lit(k)) for k, d in enumerate(early)]
     early = early[0].unionByName(early[1]).unionByName(early[2])
-    late = file_changes(base, status, gap).withColumn("detector", F.lit(3))
+    late = file_changes(base, status).withColumn("detector", F.lit(3))
     late = late.join(early.select("trajectory_id", "group_key").distinct(), ["trajectory_id", "group_key"], "left_anti")
     first = W.partitionBy("trajectory_id", "group_key", "classification").orderBy("detector", "start_sequence")
     return early.unionByName(late).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")

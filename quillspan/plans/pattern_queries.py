@@ -16,7 +16,7 @@ KEYS = ["trajectory_id", "group_key", "classification", "start_sequence", "end_s
 
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.with_next_pass(S.tagged(session_events(spark, sf_dir)))
+    return S.prepared(session_events(spark, sf_dir))
 
 
 def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -89,7 +89,7 @@ def _with_ids(found: DataFrame) -> DataFrame:
 
 def span_events_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = session_events(spark, sf_dir)
-    found = S.failure_repairs(S.with_next_pass(S.tagged(events)))
+    found = S.failure_repairs(S.prepared(events))
     spans = P.span_events(_with_ids(found), events.drop("project_id"))
     return spans.groupBy("group_key").agg(F.count("*").alias("n_events"), F.count_distinct("type").alias("n_types"), F.count_distinct("path").alias("n_paths"))
 
