@@ -49,6 +49,7 @@ def blocks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndar
         to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
         yield at, data[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 def class_table(separators: bytes) -> np.ndarray:

@@ -272,7 +272,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         sized = pairs.join(ma, "a").join(mb, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        return _confirmed(_alike(sized, percent).join(sa, "a").join(sb, "b"), percent)
+        # Written: else each task would hold two Python workers, one for the signatures and one for the sets.
+        alike = written(_alike(sized, percent), "alike")
+        return _confirmed(alike.join(sa, "a").join(sb, "b"), percent)
 
     leader = F.min_by("node", F.xxhash64("node")).alias("leader")
     led = written(active.join(active.groupBy("bucket").agg(leader), "bucket").where("node <> leader"), "led")
