@@ -26,66 +26,68 @@ FAIL, PASS = ("test_fail", {"say": "ValueError: bad thing in x"}), ("test_pass",
 REPAIR = {1: ("user_prompt", {}), 2: _edit("app/models/user.py"), 3: FAIL, 4: _edit("db/migrations/2.py", "file_create"), 5: PASS}
 
 
-def _all(spark, sessions):
-    e = _events(spark, sessions)
-    return [r.asDict() for r in S.occurrences(e, S.final_status(e)).collect()]
+SAID = ("human_correction", {"say": "please use the helper instead"})
+BODY = {4: FAIL, 5: ("command", {"command": "ls", "exit": 0}), 6: _edit("src/api/x.py"), 7: PASS}
+BAD = ("build_fail", {"say": "ModuleNotFoundError: No module named 'foo'"})
+SESSIONS = {
+    "repair": REPAIR,
+    "no edit": {1: FAIL, 2: PASS},
+    "too far": {1: FAIL, **{k: ("assistant_message", {}) for k in range(2, 30)}, 30: _edit("a.py"), 31: PASS},
+    "vendored": {1: FAIL, 2: _edit("node_modules/x/index.js"), 3: PASS},
+    "tied": {1: FAIL, 2: _edit("docs/a.md"), 3: _edit("src/api/x.py"), 4: PASS},
+    "corrected": {3: SAID, **BODY},
+    "thanked": {3: ("human_correction", {"say": "ok thanks"}), **BODY},
+    "again": {1: BAD, 2: BAD, 3: ("abort", {})},
+    "resolved": {1: BAD, 2: BAD, 3: ("build_pass", {}), 4: ("completion", {"say": "done"})},
+    "change": {1: _edit("app/models/a.py"), 2: _edit("db/migrations/1.py", "file_create"), 3: PASS},
+}
+STATUSES = {
+    "success": [{1: FAIL, 2: PASS}, {1: ("completion", {"say": "done"})}], "aborted": [{1: PASS, 2: ("abort", {})}],
+    "partial": [{1: PASS, 2: FAIL}, {1: ("command", {"exit": 1})}, {1: ("command", {"exit": 2}), 2: ("completion", {"say": "done"})}],
+    "unknown": [{1: ("command", {"exit": 1}), 2: ("command", {"exit": 0})}, {1: ("completion", {"say": " "})}],
+}
+
+
+@pytest.fixture(scope="module")
+def found(spark):
+    e = _events(spark, SESSIONS)
+    rows = [r.asDict() for r in S.occurrences(e, S.final_status(e)).collect()]
+    return lambda tid, start="": [r for r in rows if r["trajectory_id"] == tid and r["group_key"].startswith(start)]
+
+
+def test_repair_is_found_once(found):
+    got = found("repair", "fr::")
+    assert [(r["group_key"], r["start_sequence"], r["end_sequence"], r["classification"], r["antecedents"]) for r in got] == [("fr::migration::test", 3, 5, "support", ["model"])]
+    assert [r["pattern"] for r in got] == ["failure_repair"]  # it takes the place of the file change of its group
 
 
-def test_repair_is_found_once(spark):
-    got = [r for r in _all(spark, {"t1": REPAIR}) if r["group_key"].startswith("fr::")]
-    assert [(r["group_key"], r["start_sequence"], r["end_sequence"], r["classification"], r["antecedents"]) for r in got] == [("fr::migration::test", 3, 5, "support", ["model"])]
+@pytest.mark.parametrize("tid", ["no edit", "too far", "vendored"])
+def test_no_repair(found, tid):
+    assert not found(tid, "fr::")
+
+
+def test_tied_contexts_are_ambiguous(found):
+    assert [(r["group_key"], r["classification"]) for r in found("tied", "fr::")] == [("fr::mixed::test", "ambiguous")]
+
+
+def test_directive_correction(found):
+    assert [(r["group_key"], r["start_sequence"], r["end_sequence"]) for r in found("corrected", "hc::")] == [("hc::backend::test", 3, 7)]
+    assert not found("thanked", "hc::")
+
+
+def test_repeated_failure(found):
+    assert [(r["classification"], r["start_sequence"], r["end_sequence"], r["failure_family"]) for r in found("again", "rf::")] == [("support", 1, 2, "build")]
+    assert not found("resolved", "rf::")
+
+
+def test_file_change_pattern(found):
+    assert [(r["pattern"], r["group_key"], r["antecedents"]) for r in found("change")] == [("file_change_pattern", "fr::migration::test", ["model"])]
 
 
-@pytest.mark.parametrize(
-    "events",
-    [
-        {1: FAIL, 2: PASS},
-        {1: FAIL, **{k: ("assistant_message", {}) for k in range(2, 30)}, 30: _edit("a.py"), 31: PASS},
-        {1: FAIL, 2: _edit("node_modules/x/index.js"), 3: PASS},
-    ],
-    ids=["no edit", "too far", "vendored"],
-)
-def test_no_repair(spark, events):
-    assert not [r for r in _all(spark, {"t1": events}) if r["group_key"].startswith("fr::")]
-
-
-def test_tied_contexts_are_ambiguous(spark):
-    got = _all(spark, {"t1": {1: FAIL, 2: _edit("docs/a.md"), 3: _edit("src/api/x.py"), 4: PASS}})
-    assert [(r["group_key"], r["classification"]) for r in got if r["group_key"].startswith("fr::")] == [("fr::mixed::test", "ambiguous")]
-
-
-def test_directive_correction(spark):
-    said = ("human_correction", {"say": "please use the helper instead"})
-    body = {4: FAIL, 5: ("command", {"command": "ls", "exit": 0}), 6: _edit("src/api/x.py"), 7: PASS}
-    got = [r for r in _all(spark, {"t1": {3: said, **body}}) if r["group_key"].startswith("hc::")]
-    assert [(r["group_key"], r["start_sequence"], r["end_sequence"]) for r in got] == [("hc::backend::test", 3, 7)]
-    assert not [r for r in _all(spark, {"t1": {3: ("human_correction", {"say": "ok thanks"}), **body}}) if r["group_key"].startswith("hc::")]
-
-
-def test_repeated_failure(spark):
-    bad = ("build_fail", {"say": "ModuleNotFoundError: No module named 'foo'"})
-    got = [r for r in _all(spark, {"t1": {1: bad, 2: bad, 3: ("abort", {})}}) if r["group_key"].startswith("rf::")]
-    assert [(r["classification"], r["start_sequence"], r["end_sequence"], r["failure_family"]) for r in got] == [("support", 1, 2, "build")]
-    assert not [r for r in _all(spark, {"t1": {1: bad, 2: bad, 3: ("build_pass", {}), 4: ("completion", {"say": "done"})}}) if r["group_key"].startswith("rf::")]
-
-
-def test_file_change_pattern(spark):
-    got = _all(spark, {"t1": {1: _edit("app/models/a.py"), 2: _edit("db/migrations/1.py", "file_create"), 3: PASS}})
-    assert [(r["pattern"], r["group_key"], r["antecedents"]) for r in got] == [("file_change_pattern", "fr::migration::test", ["model"])]
-    # A repair of the same group takes its place.
-    assert [r["pattern"] for r in _all(spark, {"t1": REPAIR})].count("file_change_pattern") == 0
-
-
-@pytest.mark.parametrize(
-    "events, status",
-    [
-        ({1: FAIL, 2: PASS}, "success"), ({1: PASS, 2: FAIL}, "partial"), ({1: PASS, 2: ("abort", {})}, "aborted"), ({1: ("command", {"exit": 1})}, "partial"),
-        ({1: ("command", {"exit": 1}), 2: ("command", {"exit": 0})}, "unknown"), ({1: ("completion", {"say": "done"})}, "success"),
-        ({1: ("command", {"exit": 2}), 2: ("completion", {"say": "done"})}, "partial"), ({1: ("completion", {"say": " "})}, "unknown"),
-    ],
-)
-def test_final_status(spark, events, status):
-    assert S.final_status(_events(spark, {"t1": events})).first()["final_status"] == status
+def test_final_status(spark):
+    sessions = {f"{status} {n}": e for status, many in STATUSES.items() for n, e in enumerate(many)}
+    got = {r["trajectory_id"]: r["final_status"] for r in S.final_status(_events(spark, sessions)).collect()}
+    assert got == {t: t.split()[0] for t in sessions}
 
 
 def _loop_repairs(events, gap=20):
