@@ -37,13 +37,22 @@ STEP = {
 }
 
 
-def transcript_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
-    """(file, content_hash, line, value) of all files below path; lines count from 1, blank ones too."""
-    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
+def split_lines(whole: DataFrame) -> DataFrame:
+    """(file, content_hash, line, value) of whole files (value, with file metadata); lines count from 1, blank ones too."""
     files = whole.select(F.col("_metadata.file_path").alias("file"), F.sha2("value", 256).alias("content_hash"), "value")
+    return lines_of(files)
+
+
+def lines_of(files: DataFrame) -> DataFrame:
+    """split_lines() of files that are rows (file, content_hash, value) already."""
     return files.select("file", "content_hash", F.posexplode(F.split("value", "\n")).alias("line", "value")).withColumn("line", F.col("line") + 1)
 
 
+def transcript_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
+    """split_lines() of all files below path."""
+    return split_lines(spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob))
+
+
 def _text(content, also: tuple[str, ...] = ()) -> str:
     if isinstance(content, str):
         return content
