@@ -249,11 +249,11 @@ def human_text(text: Column, depth: int = 4) -> Column:
     pair = "|".join(WRAPPERS)
     strip = lambda t: F.nullif(stripped(F.regexp_replace(t, rf"(?is)<({pair})>.*?</\1>", "")), F.lit(""))
     marked = lambda t: F.exists(F.array(*map(F.lit, INJECTED)), lambda m: F.startswith(t, m))
-    text = strip(text)
-    for _ in range(depth):
-        text = F.when(marked(text), strip(F.regexp_extract(text, r"(?s)^.*?\n\n(.*)$", 1))).otherwise(text)
-    tag = F.startswith(text, F.lit("<")) & F.endswith(text, F.lit(">")) & ~F.contains(text, F.lit("\n"))
-    return F.when(tag | marked(text), None).otherwise(text)
+    # Folds bind each step's text once; nested columns would repeat it in the plan at every depth.
+    step = lambda t, _: F.when(marked(t), strip(F.regexp_extract(t, r"(?s)^.*?\n\n(.*)$", 1))).otherwise(t)
+    left = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), strip(text), step)
+    tag = lambda t: F.startswith(t, F.lit("<")) & F.endswith(t, F.lit(">")) & ~F.contains(t, F.lit("\n"))
+    return F.get(F.transform(F.array(left), lambda t: F.when(tag(t) | marked(t), None).otherwise(t)), F.lit(0))
 
 
 def relative(path: Column, root: Column) -> Column:

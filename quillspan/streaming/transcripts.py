@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quillspan.operators.sequences import GAP, failure_repairs, prepared
 from quillspan.sources.transcripts import file_touches, lines_of, session_table, steps
+from quillspan.tables import snapshot
 
 
 def file_stream(spark: SparkSession, path: str, glob: str = "*.jsonl", files_per_batch: int = 1000) -> DataFrame:
@@ -25,9 +26,11 @@ def start_import(spark: SparkSession, path: str, layout: str, out: str, checkpoi
     """
 
     def keep(batch: DataFrame, number: int) -> None:
-        events, headers = session_table(steps(lines_of(batch), layout), root)
-        for name, table in (("events", events), ("headers", headers), ("touches", file_touches(events))):
-            table.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+        at = {name: f"{out}/{name}/batch={number}" for name in ("events", "headers", "touches")}
+        events, headers = session_table(snapshot(steps(lines_of(batch), layout), "steps"), root)
+        events.write.mode("overwrite").parquet(at["events"])
+        headers.write.mode("overwrite").parquet(at["headers"])
+        file_touches(spark.read.parquet(at["events"])).write.mode("overwrite").parquet(at["touches"])
 
     writer = file_stream(spark, path, **options).writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
