@@ -83,7 +83,7 @@ def test_messages(spark, tmp_path):
     assert got == [("user_prompt", None), ("file_read", "main.py"), ("command", None), ("test_pass", None), ("file_create", "README.md"), ("tool_call", None), ("assistant_message", None), ("tool_call", None)]
     head = headers.first()
     assert (head["final_status"], head["task"], head["cwd"], head["model"]) == ("success", "write a readme", "/w", "m")
-    assert {r["key"]: r["tokens"] for r in T.token_usage(steps, "messages").collect()} == {"input_tokens": 9}
+    assert {r["key"]: r["tokens"] for r in T.token_usage(steps, "messages").collect()} == {"input_tokens": 4 * 2 + 3}
     touched = {r["path"]: (r["was_read"], r["was_created"]) for r in T.file_touches(events).collect()}
     assert touched == {"main.py": (True, False), "README.md": (False, True)}
 
