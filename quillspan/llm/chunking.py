@@ -1,11 +1,12 @@
-"""Substring deduplication by content-defined chunking with a gear rolling hash.
-
-A text's bytes are hashed with a 16-bit gear hash, h = 2h + gear[byte], which depends on the last 16 bytes alone. A cut
-is proposed where five bits of it are 0 and moved behind the next white space (or to the next character where there is
-none near). A proposal counts only if the one before is at least `least` bytes away, so that whether a place is cut
-depends on its near surroundings alone: an insertion changes the chunks around it and no others. Longer stretches are
-cut every `most` bytes. Chunks are compared by a 128-bit digest over the whole table; of equal chunks the first one, by
-document and place, stays. A run of repeated chunks is removed if it has at least `run` bytes.
+"""Substring deduplication by windows at content-defined places with a gear rolling hash.
+
+A text's bytes are hashed with a 16-bit gear hash, h = 2h + gear[byte], which depends on the last 16 bytes alone. Of any
+WINDOW neighbouring places the one whose 16 bytes have the least hash is taken, so that whether a place is taken depends
+on its near surroundings alone, and an insertion changes the places around it and no others. The `run` bytes from each
+place on are compared by a 128-bit digest over the whole table. What is cut has stood as a whole, `run` bytes at least,
+in one earlier place: short sequences that stand in many texts never add up to a passage. A passage of at least run +
+WINDOW - 1 bytes that repeats has a window of its own wherever it stands, so none of them is missed. Windows are then
+extended byte by byte to both sides as far as they agree with their earlier text, so a passage's edges go with it.
 """
 
 from __future__ import annotations
@@ -14,14 +15,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from quillspan.llm import bytekernel as bk
-from quillspan.llm.shared import extended
+from quillspan.llm.shared import extended, written
 
 GEAR = (bk.byte_values(0x6EA2) >> np.uint64(40)).astype(np.uint16)
 CUT_BITS = np.uint16(0x1F << 11)
 SNAP = 24  # bytes within which a cut looks for white space
 _digest_a, _digest_b = bk.byte_values(0xA11CE), bk.byte_values(0xB0B)
+CHANCE = 8  # bytes at an edge that may agree by chance
+WINDOW = 64  # places among which one is taken; a power of two
+_letter = [x >= 0x80 or chr(x).isalnum() for x in range(256)]
 _white = ~bk.class_table(bytes([0x20, *range(0x09, 0x0E)]))
 
 
@@ -64,23 +69,128 @@ def chunk_bounds(buf: np.ndarray, offs: np.ndarray, least: int = 16, most: int =
     return cuts
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 16, most: int = 256) -> DataFrame:
-    """(id, mark, at, size, da, db): each chunk's place in bytes and digest; mark is a hash of the whole text."""
+def places(buf: np.ndarray, offs: np.ndarray, run: int) -> np.ndarray:
+    """Ascending places of least gear hash: one at least among any WINDOW neighbours whose next `run` bytes lie in their row.
+
+    Whether a place is taken depends on the bytes of those neighbours alone, so equal stretches have the same places.
+    """
+    n = len(buf)
+    room = np.maximum(np.diff(offs) - run + 1, 0)
+    if not room.any():
+        return np.zeros(0, np.int64)
+    key = np.full(n + WINDOW, np.iinfo(np.uint64).max, np.uint64)
+    valid = np.repeat(offs[:-1], room) + np.arange(room.sum()) - np.repeat(np.cumsum(room) - room, room)
+    key[valid] = (gear_hashes(buf)[valid + 15].astype(np.uint64) << np.uint64(40)) | valid.astype(np.uint64)
+    starts = np.cumsum(room) - room
+    short = (room > 0) & (room < WINDOW)
+    best = np.minimum.reduceat(key[valid], starts[room > 0])[short[room > 0]]
+    for step in (1, 2, 4, 8, 16, 32):
+        key[:-step] = np.minimum(key[:-step], key[step:])
+    wide = np.maximum(room - WINDOW + 1, 0)
+    whole = np.repeat(offs[:-1], wide) + np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide)
+    return np.unique(np.concatenate([best, key[whole]]) & np.uint64((1 << 40) - 1)).astype(np.int64)
+
+
+def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 96) -> DataFrame:
+    """(id, mark, at, da, db): places and digests of `run` bytes from there on; mark is a hash of the whole text."""
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
 
-    def run(batches):
+    def digests(batches):
         for batch in batches:
             for first, buf, offs in bk.blocks(batch.column(2)):
-                cuts = chunk_bounds(buf, offs, least, most)
-                ends = np.append(cuts[1:], len(buf))[: len(cuts)]
-                row = np.searchsorted(offs, cuts, "right") - 1
+                at = places(buf, offs, run)
+                row = np.searchsorted(offs, at, "right") - 1
+                da, db = (bk.span_hashes(buf, at, at + run, v).view(np.int64) for v in (_digest_a, _digest_b))
+                # Where a short pattern repeats itself, one place in WINDOW and the last one are enough.
+                new = np.ones(len(at), bool)
+                new[1:] = (da[1:] != da[:-1]) | (row[1:] != row[:-1]) | (np.diff(at) >= WINDOW)
+                nth = (at - at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]) // WINDOW
+                last = np.append(new[1:], True)
+                new[1:] |= nth[1:] != nth[:-1]
+                new |= last
+                at, row, da, db = at[new], row[new], da[new], db[new]
                 rows = pa.array(row + first)
-                da, db = (bk.span_hashes(buf, cuts, ends, v).view(np.int64) for v in (_digest_a, _digest_b))
-                at, size = (cuts - offs[row]).astype(np.int32), (ends - cuts).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *map(pa.array, (at, size, da, db))], names=["id", "mark", "at", "size", "da", "db"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *map(pa.array, ((at - offs[row]).astype(np.int32), da, db))], names=["id", "mark", "at", "da", "db"])
 
     kind = base.schema["id"].dataType.simpleString()
-    return base.mapInArrow(run, f"id {kind}, mark long, at int, size int, da long, db long")
+    return base.mapInArrow(digests, f"id {kind}, mark long, at int, da long, db long")
+
+
+def repeated(pieces: DataFrame, run: int) -> DataFrame:
+    """(id, mark, at, fid, fmark, fat): the windows that stand earlier, and their first occurrence; none overlaps its own."""
+    order = W.partitionBy("da", "db").orderBy("id", "mark", "at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    first = pieces.withColumn("first", F.first(F.struct("id", "mark", "at")).over(order))
+    first = first.select("id", "mark", "at", F.col("first.id").alias("fid"), F.col("first.mark").alias("fmark"), F.col("first.at").alias("fat"))
+    same = F.col("id").eqNullSafe(F.col("fid")) & (F.col("mark") == F.col("fmark"))
+    return first.where(~same | (F.col("at") - F.col("fat") >= run)).distinct()
+
+
+def segments(later: DataFrame, run: int) -> DataFrame:
+    """(id, mark, fid, fmark, shift, start, end, n): windows of one text with one earlier text at one shift, where they touch, joined."""
+    by = W.partitionBy("id", "mark", "fid", "fmark", "shift").orderBy("at")
+    placed = later.withColumn("shift", F.col("at") - F.col("fat"))
+    placed = placed.withColumn("new", F.coalesce(F.col("at") - F.lag("at").over(by) > run, F.lit(True)).cast("int"))
+    placed = placed.withColumn("nth", F.sum("new").over(by))
+    joined = placed.groupBy("id", "mark", "fid", "fmark", "shift", "nth").agg(F.min("at").alias("start"), (F.max("at") + run).alias("end"), F.count("*").alias("n"))
+    return joined.drop("nth")
+
+
+def extensions(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, mark, start, end) behind and before the segments: the bytes by which they and their earlier text still agree.
+
+    WINDOW bytes to each side are compared: if more agreed, another window would stand there. Only these bytes move.
+    """
+    # An edge is twice its place, and one more where the bytes behind it are compared.
+    left, right = (found.select("id", "mark", "fid", "fmark", (F.col(c) * 2 + k).alias("edge"), ((F.col(c) - F.col("shift")) * 2 + k).alias("fedge")) for k, c in enumerate(("start", "end")))
+    edges = left.unionByName(right)
+    wanted = edges.select("id", "mark", "edge").unionByName(edges.select(F.col("fid").alias("id"), F.col("fmark").alias("mark"), F.col("fedge").alias("edge")))
+    wanted = wanted.groupBy("id", "mark").agg(F.collect_set("edge").alias("edges")).withColumnsRenamed({"id": "_id", "mark": "_mark2"})
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    asked = base.join(wanted, base["id"].eqNullSafe(wanted["_id"]) & (base["mark"] == wanted["_mark2"])).select("id", "mark", "text", "edges")
+    kind = base.schema["id"].dataType.simpleString()
+
+    def around(batches):
+        for batch in batches:
+            rows, at, near = [], [], []
+            for i in range(batch.num_rows):
+                raw = batch.column(2)[i].as_py().encode()
+                for e in batch.column(3)[i].as_py():
+                    place = e // 2
+                    rows.append(i)
+                    at.append(e)
+                    near.append(raw[place : place + WINDOW] if e % 2 else raw[max(place - WINDOW, 0) : place][::-1])
+            rows = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at, pa.int32()), pa.array(near, pa.binary())], names=["id", "mark", "edge", "near"])
+
+    near = asked.mapInArrow(around, f"id {kind}, mark long, edge int, near binary").dropDuplicates(["id", "mark", "edge"])
+    near = written(near, "near")
+    own = near.withColumnsRenamed({"id": "_id", "mark": "_mark2", "edge": "_edge", "near": "a"})
+    edges = edges.join(own, edges["id"].eqNullSafe(own["_id"]) & (edges["mark"] == own["_mark2"]) & (edges["edge"] == own["_edge"])).drop("_id", "_mark2", "_edge")
+    first = near.withColumnsRenamed({"id": "_id", "mark": "_mark2", "edge": "_edge", "near": "b"})
+    edges = edges.join(first, edges["fid"].eqNullSafe(first["_id"]) & (edges["fmark"] == first["_mark2"]) & (edges["fedge"] == first["_edge"]))
+
+    def agreed(batches):
+        for batch in batches:
+            size = np.array([common(a, b) for a, b in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist())], np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(size)], names=["id", "mark", "edge", "fid", "fmark", "fedge", "size"])
+
+    edges = edges.select("id", "mark", "edge", "fid", "fmark", "fedge", "a", "b")
+    sized = edges.mapInArrow(agreed, f"id {kind}, mark long, edge int, fid {kind}, fmark long, fedge int, size int")
+    # A word more than most later texts share with this edge has come to stand there by chance.
+    here = ["fid", "fmark", "fedge"]
+    sized = sized.withColumn("votes", F.count("*").over(W.partitionBy(*here, "size")))
+    sized = sized.withColumn("most", F.max(F.struct("votes", "size")).over(W.partitionBy(*here)))
+    chance = (F.col("votes") < F.col("most.votes")) & (F.col("size") - F.col("most.size")).between(1, CHANCE)
+    sized = sized.withColumn("size", F.when(chance, F.col("most.size")).otherwise(F.col("size"))).where("size > 0")
+    place = (F.col("edge") / 2).cast("int")
+    behind = F.col("edge") % 2
+    return sized.select("id", "mark", (place - F.col("size") * (1 - behind)).alias("start"), (place + F.col("size") * behind).alias("end"))
+
+
+def common(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    return n if a[:n] == b[:n] else next(i for i in range(n) if a[i] != b[i])
 
 
 def merged_runs(spans: list[tuple[int, int]], run: int) -> list[tuple[int, int]]:
@@ -94,8 +204,26 @@ def merged_runs(spans: list[tuple[int, int]], run: int) -> list[tuple[int, int]]
     return [(a, b) for a, b in out if b - a >= run]
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 96, least: int = 16, most: int = 256) -> DataFrame:
-    """docs with repeated passages cut out of text_col, and n_repeated (chunks seen before), removed_spans (byte ranges of
+def trimmed(raw: bytes, a: int, b: int) -> tuple[int, int]:
+    """The span without what belongs to words outside it (their ends, marks and one white space), and in whole characters."""
+    if 0 < a < b and not _white[raw[a - 1]] and not _white[raw[a]] and (_letter[raw[a - 1]] or not _letter[raw[a]]):
+        a = next((x for x in range(a + 1, min(a + SNAP, b)) if _white[raw[x]]), a)
+    if a < b < len(raw) and not _white[raw[b - 1]] and not _white[raw[b]] and (_letter[raw[b]] or not _letter[raw[b - 1]]):
+        b = next((x for x in range(b - 1, max(b - SNAP, a), -1) if _white[raw[x - 1]]), b)
+    while a < b and raw[a] & 0xC0 == 0x80:
+        a += 1
+    while a < b < len(raw) and raw[b] & 0xC0 == 0x80:
+        b -= 1
+    if 0 < a < b < len(raw) and not _white[raw[a - 1]] and not _white[raw[b]]:
+        if _white[raw[b - 1]]:
+            b -= 1
+        elif _white[raw[a]]:
+            a += 1
+    return a, b
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 96) -> DataFrame:
+    """docs with repeated passages cut out of text_col, and n_repeated (windows seen before), removed_spans (byte ranges of
     the old text) and removed_bytes.
 
     The first occurrence, by id, text hash and place, stays whole (rows without an id come first). Rows that agree in id
@@ -104,37 +232,39 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     made = ["n_repeated", "removed_spans", "removed_bytes"]
     rest = [c for c in docs.columns if c not in made]
-    pieces = chunks(docs, id_col, text_col, least, most)
-    first = pieces.groupBy("da", "db", "size").agg(F.min(F.struct("id", "mark", "at")).alias("first"), F.count("*").alias("n"))
-    repeated = first.where("n > 1").select("da", "db", "size", "first")
-    later = pieces.join(repeated, ["da", "db", "size"]).where(F.struct("id", "mark", "at") != F.col("first"))
-    spans = later.groupBy("id", "mark").agg(F.sort_array(F.collect_set(F.struct("at", (F.col("at") + F.col("size")).alias("to")))).alias("_spans"))
+    if run < 16:
+        raise ValueError("run must be at least the 16 bytes of a gear hash")
+    later = segments(repeated(windows(docs, id_col, text_col, run), run), run)
+    later = written(later, "segments")
+    more = extensions(docs, later, id_col, text_col).withColumn("n", F.lit(0).cast("long"))
+    spans = later.select("id", "mark", "start", "end", "n").unionByName(more)
+    spans = spans.groupBy("id", "mark").agg(F.collect_set(F.struct(F.col("start").alias("at"), F.col("end").alias("to"))).alias("_spans"), F.sum("n").cast("int").alias("_n"))
     base = docs.select(*rest, F.xxhash64(text_col).alias("_mark"))
     spans = spans.withColumnsRenamed({"id": "_id", "mark": "_mark2"})
-    found = base.join(spans, base[id_col].eqNullSafe(spans["_id"]) & (base["_mark"] == spans["_mark2"]), "left").select(*rest, "_spans")
+    found = base.join(spans, base[id_col].eqNullSafe(spans["_id"]) & (base["_mark"] == spans["_mark2"]), "left").select(*rest, "_spans", "_n")
     schema = extended(docs.select(*rest), "n_repeated int, removed_spans array<struct<start:int,end:int>>, removed_bytes long")
     pair = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def cut(batches):
         place = rest.index(text_col)
         for batch in batches:
-            n, runs, gone, texts = [], [], [], {}
+            n, runs, gone, texts = batch.column(len(rest) + 1).fill_null(0), [], [], {}
             for i, s in enumerate(batch.column(len(rest)).to_pylist()):
-                n.append(len(s or ()))
                 keep = merged_runs([(x["at"], x["to"]) for x in s or ()], run)
-                runs.append([{"start": a, "end": b} for a, b in keep])
-                gone.append(sum(b - a for a, b in keep))
                 if keep:
                     raw, at, left = batch.column(place)[i].as_py().encode(), 0, []
+                    keep = [trimmed(raw, a, b) for a, b in keep]
                     for a, b in keep:
                         left.append(raw[at:a])
                         at = b
                     texts[i] = b"".join([*left, raw[at:]]).decode()
+                runs.append([{"start": a, "end": b} for a, b in keep])
+                gone.append(sum(b - a for a, b in keep))
             columns = list(batch.columns[: len(rest)])
             if texts:
                 mask = np.zeros(batch.num_rows, bool)
                 mask[list(texts)] = True
                 columns[place] = pa.compute.replace_with_mask(columns[place], pa.array(mask), pa.array(list(texts.values()), columns[place].type))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int32()), pa.array(runs, pair), pa.array(gone, pa.int64())], names=[*rest, *made])
+            yield pa.RecordBatch.from_arrays([*columns, n, pa.array(runs, pair), pa.array(gone, pa.int64())], names=[*rest, *made])
 
     return found.mapInArrow(cut, schema)

@@ -49,3 +49,13 @@ def test_edges(edges, docs_of):
     assert c.substring_dedup(docs_of([])).count() == 0
     copies = c.substring_dedup(docs_of([(1, "long enough " * 30), (2, "long enough " * 30)])).collect()
     assert {r["doc_id"]: len(r["text"]) for r in copies}[2] < 30
+
+
+def test_parts_of_many_documents_are_no_passage(docs_of):
+    rng = random.Random(8)
+    whole = prose(rng, 60)
+    rows = [(i, f"{prose(rng, 40)} #{whole[at : at + 85]}# {prose(rng, 40)}") for i, at in enumerate(range(0, len(whole), 12))]
+    rows += [(i, f"{prose(rng, 40)} {whole} {prose(rng, 40)}") for i in (900, 901)]
+    got = {r["doc_id"]: r for r in c.substring_dedup(docs_of(rows)).collect()}
+    assert all(got[i]["text"] == text and got[i]["removed_bytes"] == 0 for i, text in rows[:-1])
+    assert got[901]["removed_bytes"] > 0
