@@ -59,3 +59,12 @@ def test_parts_of_many_documents_are_no_passage(docs_of):
     got = {r["doc_id"]: r for r in c.substring_dedup(docs_of(rows)).collect()}
     assert all(got[i]["text"] == text and got[i]["removed_bytes"] == 0 for i, text in rows[:-1])
     assert got[901]["removed_bytes"] > 0
+
+
+def test_short_passages_go_whole(docs_of):
+    rng = random.Random(11)
+    passages = [" ".join(f"{prose(rng, 1)}{rng.randrange(10)}" for _ in range(51)) for _ in range(40)]
+    rows = [(i, f"{prose(rng, 30)} (A{i}) {passages[i % 40]} [B{i}] {prose(rng, 30)}") for i in range(120)]
+    got = {r["doc_id"]: r["text"] for r in c.substring_dedup(docs_of(rows)).collect()}
+    for i, text in rows:
+        assert got[i].split() == (text if i < 40 else text.replace(passages[i % 40], "")).split()
