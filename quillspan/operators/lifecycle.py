@@ -128,22 +128,24 @@ def splits(policies: DataFrame, versions: DataFrame, children: DataFrame) -> Dat
     return c.withColumn("error", error).withColumn("new_policy_id", F.when(F.col("error").isNull(), new)).withColumn("status", F.when(F.col("error").isNull(), "disabled"))
 
 
-def ancestry(lineage: DataFrame, most: int = 64) -> DataFrame:
-    """(version, ancestor, depth): each pair once with its shortest way, by one join a generation; cycles end by themselves.
+def ancestry(lineage: DataFrame) -> DataFrame:
+    """(version, ancestor, depth): each pair once with its shortest way; cycles end by themselves.
 
-    Each generation is written, and only pairs that are new go on; `most` bounds the generations of a damaged ledger.
+    A round joins all ways of up to `reach` generations with the longest of them, so their length doubles and a chain of n
+    versions takes log2(n) rounds. Each round is written, and they end when one finds no new pair.
     """
     edges = lineage.select(F.col("to_version").alias("version"), F.col("from_version").alias("ancestor")).where("version is not null and ancestor is not null").distinct()
     known = snapshot(edges.withColumn("depth", F.lit(1)), "ancestry")
-    front = known
-    up = edges.select(F.col("version").alias("ancestor"), F.col("ancestor").alias("next"))
-    for depth in range(2, most + 1):
-        found = front.join(up, "ancestor").select("version", F.col("next").alias("ancestor")).distinct().join(known, ["version", "ancestor"], "left_anti")
-        front = snapshot(found.withColumn("depth", F.lit(depth)), "ancestry")
+    reach = 1
+    while True:
+        longest = known.where(F.col("depth") == reach).select("version", F.col("ancestor").alias("middle"), "depth")
+        onward = known.select(F.col("version").alias("middle"), "ancestor", F.col("depth").alias("more"))
+        found = longest.join(onward, "middle").groupBy("version", "ancestor").agg(F.min(F.col("depth") + F.col("more")).alias("depth"))
+        front = snapshot(found.join(known, ["version", "ancestor"], "left_anti"), "ancestry")
         if front.isEmpty():
-            break
+            return known
         known = known.unionByName(front)
-    return known
+        reach *= 2
 
 
 def provenance(versions: DataFrame, links: DataFrame, comparisons: DataFrame, specs: DataFrame, reviews: DataFrame, evidence: DataFrame) -> DataFrame:

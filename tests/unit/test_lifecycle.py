@@ -103,6 +103,13 @@ def test_ancestry_ends_on_cycles(spark):
     assert got["c", "b"] == 1 and got["c", "a"] == 2 and got["c", "x"] == 1 and got["b", "x"] == 3 and len(got) == 12
 
 
+def test_ancestry_of_long_chains(spark):
+    e = spark.createDataFrame([("rewrite", f"v{i}", f"v{i + 1}") for i in range(99)] + [("merge", "v0", "v70")], "relation string, from_version string, to_version string")
+    got = {(r["version"], r["ancestor"]): r["depth"] for r in L.ancestry(e).collect()}
+    short = lambda i, j: i - j if j or i < 70 else i - 69
+    assert got == {(f"v{i}", f"v{j}"): short(i, j) for i in range(100) for j in range(i)}
+
+
 def test_ledger_rules(spark):
     df = spark.createDataFrame([(1, 5), (1, -1), (2, None)], "k int, v int")
     assert {r["rule"]: r["n"] for r in ledger.violations(df, ["k"], {"v >= 0": F.col("v") >= 0}).collect()} == {"unique: k": 1, "v >= 0": 2}
