@@ -13,7 +13,7 @@ from quillspan.llm.bpe import encode
 from quillspan.llm.chunking import substring_dedup
 from quillspan.llm.fmindex import decontaminate
 from quillspan.llm.langid import identified, of_documents, train
-from quillspan.llm.minhash import near_duplicates
+from quillspan.llm.minhash import near_rows
 from quillspan.llm.queries import vocab_path
 from quillspan.llm.shared import written
 
@@ -26,9 +26,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one text of each group of near duplicates."""
+    gone = near_rows(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+    return docs.join(gone, (docs["doc_id"] == gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_mark"]), "left_anti")
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,8 +73,8 @@ def _ids(batch: pa.RecordBatch) -> pa.Array:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
-    """(id, n_shingles, two set fingerprints, bands, signature of 16 bits a hash) of each row; null and blank texts are empty sets."""
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """(id, mark, n_shingles, two set fingerprints, bands, signature of 16 bits a hash) of each row; mark is a hash of the text; null and blank texts are empty sets."""
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
 
     def run(batches):
         seeds = bk.mix(np.arange(9000, 9000 + BANDS, dtype=np.uint64))
@@ -94,17 +94,18 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays(
                 [
                     _ids(batch),
+                    batch.column(2),
                     pa.array(n, pa.int64()),
                     pa.array(np.array(fa, np.uint64).view(np.int64)),
                     pa.array(np.array(fb, np.uint64).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), flat),
                     pa.array(sigs, pa.binary()),
                 ],
-                names=["id", "n_shingles", "fa", "fb", "bands", "sig"],
+                names=["id", "mark", "n_shingles", "fa", "fb", "bands", "sig"],
             )
 
     kind = base.schema["id"].dataType.simpleString()
-    return base.mapInArrow(run, f"id {kind}, n_shingles long, fa long, fb long, bands array<long>, sig binary")
+    return base.mapInArrow(run, f"id {kind}, mark long, n_shingles long, fa long, fb long, bands array<long>, sig binary")
 
 
 def sketch(shingles: np.ndarray) -> tuple[int, bytes]:
@@ -251,10 +252,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id_col, n_shingles, component_id, kept) for each row of docs.
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B|. component_id is the smallest id reachable, kept says
-    that it is the row's own. Null and blank texts have no shingles and stand alone. Rows that repeat an id count as one
-    document and link whatever their texts link; rows without an id are kept, in no component (null). An empty table
-    stays empty; other columns are ignored.
+    that the row's own text reaches no smaller one. Null and blank texts have no shingles and link nothing. Rows that
+    repeat an id count as one document and link whatever their texts link, but each is kept by its own text, so that of
+    like texts one stays; rows without an id are kept, in no component (null). An empty table stays empty; other columns
+    are ignored.
     """
+    return near_rows(docs, id_col, text_col, k, percent).drop("mark")
+
+
+def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of near_duplicates with mark, a hash of the text that tells rows of one id apart."""
     sigs = written(signatures(docs, id_col, text_col, k), "signatures")
     full = sigs.where("id is not null and n_shingles > 0")
     groups = full.groupBy("fa", "fb").agg(F.min("id").alias("node"))
@@ -290,10 +297,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         stars = connected_components(links.unionByName(more))
     for used in (active, led, marks, sets):
         dropped(used)
-    out = sigs.select("id", "n_shingles", "fa", "fb").join(groups, ["fa", "fb"], "left")
-    out = out.join(stars, "node", "left")
+    out = sigs.select("id", "mark", "n_shingles", "fa", "fb").join(groups, ["fa", "fb"], "left")
     has_set = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
-    component = F.when(has_set, F.coalesce("component", "node")).otherwise(F.col("id"))
-    out = out.withColumn("component_id", component)
-    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", kept.alias("kept"))
+    out = out.withColumn("node", F.when(has_set, F.col("node")).otherwise(F.col("id"))).join(stars, "node", "left")
+    out = out.withColumn("least", F.when(has_set, F.coalesce("component", "node")).otherwise(F.col("id"))).drop("component")
+    # Ids that stand for several texts link those texts' components.
+    reused = out.groupBy("id").agg(F.min("least").alias("lo"), F.max("least").alias("hi")).where("lo < hi").select("id")
+    reused = written(out.join(reused, "id").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct(), "reused")
+    if reused.isEmpty():
+        out = out.withColumn("component_id", F.col("least"))
+    else:
+        joined = connected_components(reused).withColumnsRenamed({"node": "least"})
+        out = out.join(joined, "least", "left").withColumn("component_id", F.coalesce("component", "least"))
+    kept = F.coalesce(F.col("id") == F.col("least"), F.lit(True))
+    return out.select(F.col("id").alias(id_col), "mark", "n_shingles", "component_id", kept.alias("kept"))

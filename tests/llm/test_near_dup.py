@@ -84,3 +84,15 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 101: 100}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_an_id_of_two_texts_keeps_the_clean_one(spark, docs_of):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (9, c), (9, None), (12, b), (14, c)]
+    docs = docs_of(rows)
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(docs).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 3, True), (9, 9, True), (9, 9, True), (12, 3, False), (14, 9, False)]
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(left, key=str) == sorted([(3, a), (5, b), (9, c), (9, None)], key=str)
