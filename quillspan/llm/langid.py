@@ -19,13 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quillspan.llm import bytekernel as bk
-from quillspan.llm.shared import thinned, written
+from quillspan.llm.shared import written
 
 UNKNOWN = "und"
 BITS, GRAM = 16, 3
 SAMPLE_ROWS = 600  # labelled rows of each language that the fit sees at most
-SAMPLE_BYTES = 16384  # longer texts teach nothing; they are identified whole
-MAX_LANGUAGES = 64
+SAMPLE_CHARS = 16384  # the fit sees the beginning of longer texts; they are identified whole
 STRENGTH = 8.0  # pseudo-rows of each smoothing step
 TEXT_GRAMS, TEXT_WEIGHT = 240, 0.4  # n-grams overlap: at most so many count, each for so much
 
@@ -83,27 +82,27 @@ def fit_texts(texts: list[str], langs: list[str]) -> TextModel:
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> TextModel:
     """A text model from at most SAMPLE_ROWS rows of each declared language, those of least hash; fitted in one task."""
-    usable = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.octet_length(text_col) <= SAMPLE_BYTES) & (F.trim(text_col) != ""))
-    usable = usable.select(F.col(text_col).alias("text"), F.lower(lang_col).alias("lang"), F.xxhash64(*docs.columns).alias("hash"))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return TextModel([], np.zeros((0, 1 << BITS), np.float32))
-    share = thinned("lang", {r["lang"]: r["count"] for r in counts}, SAMPLE_ROWS, "hash")
+    usable = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.trim(text_col) != ""))
+    usable = usable.select(F.substring(text_col, 1, SAMPLE_CHARS).alias("text"), F.lower(lang_col).alias("lang"), F.xxhash64(*docs.columns).alias("hash"))
+    # About twice the wanted rows of each language, those of low hash, so that a bounded number of rows moves.
+    share = usable.groupBy("lang").agg((F.lit(2.0 * SAMPLE_ROWS + 50) / F.count("*") * (1 << 31)).alias("below"))
+    usable = usable.join(F.broadcast(share), "lang").where(F.pmod("hash", F.lit(1 << 31)) < F.col("below"))
     least = W.partitionBy("lang").orderBy("hash", "text")
-    sample = usable.where(share).withColumn("n", F.row_number().over(least)).where(F.col("n") <= SAMPLE_ROWS).select("text", "lang")
+    sample = usable.withColumn("n", F.row_number().over(least)).where(F.col("n") <= SAMPLE_ROWS).select("text", "lang")
 
     def run(batches):
         rows = [r for b in batches for r in b.to_pylist()]
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(fit_texts([r["text"] for r in rows], [r["lang"] for r in rows]))], pa.binary())})
 
-    return pickle.loads(sample.coalesce(1).mapInArrow(run, "model binary").first()["model"])
+    found = sample.coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found["model"]) if found else fit_texts([], [])
 
 
 def text_evidence(rows: DataFrame, model: TextModel, text_col: str) -> DataFrame:
     """rows without text_col, with n_grams and text_ll, the weighed log likelihood of each of the model's languages."""
     rest = [c for c in rows.columns if c != text_col]
     base = rows.select(*rest, text_col)
-    shared = rows.sparkSession.sparkContext.broadcast(model)  # MAX_LANGUAGES tables at most
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # 256 KB for each language
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*rest).schema.fields), "n_grams long, text_ll array<double>"])
 
     def run(batches):

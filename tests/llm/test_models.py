@@ -95,3 +95,9 @@ def test_language_of_tables(edges, docs_of):
     got = langid.identified(docs, langid.train(edges)).collect()
     assert len(got) == 9 and {r["doc_id"] for r in got if r["rejected"]} == {1, 2, 3}
     assert langid.train(docs_of([])).languages == []
+
+
+def test_every_labelled_language_has_a_class(spark):
+    rows = [(i, f"text of language {i} " * (3 if i else 2000), f"l{i}") for i in range(70)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == sorted(f"l{i}" for i in range(70))
