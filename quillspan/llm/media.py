@@ -100,7 +100,7 @@ class _Sequence(Walker):
             self.waiting = []
         super().handle_starttag(tag, attrs)
 
-    def on_block(self, text, tag, link, apart, main):
+    def on_block(self, text, tag, link, apart, region):
         if tag == "figcaption" and self.waiting:
             for m in self.waiting:
                 m["caption"] = text

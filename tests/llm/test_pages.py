@@ -1,12 +1,14 @@
 import hashlib
+import random
+import re
 import zlib
 
 import pytest
 
-from quillspan.llm.extraction import extract, main_text
+from quillspan.llm.extraction import BAD, GOOD, INSIDE, NEAR, NOWHERE, OPEN, OUTSIDE, extract, first_label, labelled_blocks, main_text, second_labels
 from quillspan.llm.media import from_image, media_report, media_table, measured_media, parsed_sequences, resolved, stored_media, to_image
 
-GOOD = "this is the text of an article that we have written for you and it is long enough to be found by the rules of the method. " * 3
+ARTICLE = "this is the text of an article that we have written for you and it is long enough to be found by the rules of the method. " * 3
 
 
 @pytest.mark.parametrize(
@@ -17,13 +19,146 @@ GOOD = "this is the text of an article that we have written for you and it is lo
         ("<p>unclosed <b>bold<br><p>second&nbsp;&amp;  third", ""),
         ("<nav><p>menu</p></nav><article><h1>T</h1><p>a\n b</p><aside>side</aside><p>c &copy; d<p>e</article><footer>f</footer>", "T\na b\nc © d\ne"),
         ("<main><div class='comments'><p>reader</p></div><p>kept</p><form><p>no</p></form><script>var x='<p>';</script></main>", "kept"),
-        (f"<div class=ad>buy</div><h2>Title</h2><p>{GOOD}</p><p>short one</p><p>{GOOD}</p><p><a href=x>only a link here</a></p>", f"Title\n{GOOD.strip()}\nshort one\n{GOOD.strip()}"),
+        (f"<div class=ad>buy</div><h2>Title</h2><p>{ARTICLE}</p><p>short one</p><p>{ARTICLE}</p><p><a href=x>only a link here</a></p>", f"Title\n{ARTICLE.strip()}\nshort one\n{ARTICLE.strip()}"),
     ],
 )
 def test_main_text(html, want):
     assert main_text(html) == want
 
 
+DULL = "Zorvex plimtok grandel vistrum okkarel brentigal sorvamix trellgon varnick dolbrast omfurt kelvish " * 2
+LINKS = "<ul><li><a href=a>First link of a list</a></li><li><a href=b>Second link of a list</a></li></ul>"
+G, D = ARTICLE.strip(), DULL.strip()
+
+SHAPES = [
+    # Length and density decide where no element helps.
+    (f"<p>{G}</p>", G),
+    (f"<p>{D}</p>", ""),
+    ("<p>Too short.</p>", ""),
+    (f"<p>{G}</p><p>{D}</p>", G),
+    (f"<div>{G}</div><div>{G}</div>", f"{G}\n{G}"),
+    # Links make boilerplate.
+    (f"<p>{G}</p>{LINKS}", G),
+    (f"<p>{G}</p><p><a href=x>{G}</a></p>", G),
+    (f"{LINKS}<p>{G}</p>{LINKS}", G),
+    # Open blocks take their neighbours' labels.
+    (f"<p>{G}</p><p>Short.</p><p>{G}</p>", f"{G}\nShort.\n{G}"),
+    (f"{LINKS}<p>Short.</p>{LINKS}<p>{G}</p>", G),
+    (f"{LINKS}<h2>Head</h2><p>{G}</p>", f"Head\n{G}"),
+    (f"<p>{G}</p><h2>More to see</h2>{LINKS}", G),
+    (f"{LINKS}<p>Not a head.</p><p>{G}</p>", G),
+    # Inside an article the same passes decide, with the element as evidence.
+    (f"<article><p>{G}</p><p>{D}</p><p>{G}</p></article>", f"{G}\n{D}\n{G}"),
+    (f"<article><h1>Head</h1><p>Short.</p></article>", "Head\nShort."),
+    (f"<article><p>{G}</p>{LINKS}<p>See also</p>{LINKS}<p>{G}</p></article>", f"{G}\n{G}"),
+    (f"<article><p>{G}</p>{LINKS}</article>", G),
+    (f"<article><p>Short.</p>{LINKS}<p>{G}</p></article>", f"Short.\n{G}"),
+    (f"<article><p>{G} <a href=x>as we said</a> before.</p></article>", f"{G} as we said before."),
+    # Outside of it nothing is content by itself.
+    (f"<article><p>{G}</p></article><p>{G}</p>", G),
+    (f"<p>Before.</p><article><p>{G}</p></article><div>{D}</div>", G),
+    (f"<article><p>{G}</p></article><p>Between.</p><article><p>{G}</p></article>", f"{G}\nBetween.\n{G}"),
+    # Teasers inside main, parts of main that are no teasers.
+    (f"<main><p>{G}</p><p>{G}</p><article><h3>Else</h3><p>Short text. <a href=x>Read more</a></p></article></main>", f"{G}\n{G}"),
+    (f"<main><article><p>{G}</p></article><article><p>{G} <a href=x>link</a></p></article></main>", f"{G}\n{G} link"),
+    (f"<article><p>{G}</p><article class=x><p>Reply <a href=x>by a reader</a></p></article></article>", G),
+    # Set apart.
+    (f"<article><p>{G}</p><aside><p>{G}</p></aside></article>", G),
+    (f"<div class='user-comments'><p>{G}</p></div><p>{G}</p>", G),
+    (f"<header><h1>Site</h1></header><article><header><h1>Head</h1></header><p>{G}</p></article>", f"Head\n{G}"),
+    (f"<p hidden>{G}</p><div style='display: none'><p>{G}</p></div><p>{G}</p>", G),
+    # Silent elements end as HTML ends them.
+    ("<article><datalist><option value=a><option value=b></datalist><p>after</p></article>", "after"),
+    ("<article><select><option>one<option>two</select>after</article>", "after"),
+    ("<article><button>push<p>after</p></article>", "after"),
+    ("<article><div><button>push</div>after</article>", "after"),
+    ("<article><p>a</p><svg><g><text>b</text></g></svg><p>c</p></article>", "a\nc"),
+    ("<article><div><object><p>b</div><p>c</p></article>", "c"),
+    ("<article><noscript><p>b</div></noscript><p>c</p><textarea></article></textarea><p>d</article>", "c\nd"),
+]
+
+
+@pytest.mark.parametrize("html, want", SHAPES)
+def test_shapes(html, want):
+    assert main_text(html) == want
+
+
+def plain_second(labels, tags, places):
+    """The second pass by looking at every other block, for each block."""
+    out = []
+    for i, label in enumerate(labels):
+        where, region = places[i]
+        sides = []
+        for step in (-1, 1):
+            j, got = i + step, None
+            while got is None:
+                if where == INSIDE and (not 0 <= j < len(labels) or places[j] != (INSIDE, region)):
+                    got = GOOD
+                elif not 0 <= j < len(labels):
+                    got = BAD
+                elif labels[j] in (BAD, GOOD):
+                    got = labels[j]
+                j += step
+            sides.append(got)
+        if label not in (BAD, GOOD):
+            if sides[0] == sides[1]:
+                label = sides[0]
+            elif where == INSIDE:
+                label = GOOD
+            elif where == OUTSIDE:
+                label = BAD
+            elif tags[i] in ("h1", "h2", "h3", "h4", "h5", "h6"):
+                label = sides[1]
+            else:
+                label = GOOD if label == NEAR else BAD
+        out.append(label == GOOD)
+    return out
+
+
+def plain_first(text, link, apart, where):
+    words = [w for w in re.split(r"\W+", text.lower()) if w]
+    from quillspan.llm import extraction as e
+
+    share, stop = link / len(text), len([w for w in words if w in e.STOP_WORDS]) / (len(words) or 1)
+    if apart:
+        return BAD
+    if where == INSIDE:
+        if share > 0.8:
+            return BAD
+        return GOOD if len(text) >= 70 and stop >= 0.15 and share <= 0.33 else OPEN
+    if share > 0.33 or (link and len(text) < 70):
+        return BAD
+    if len(text) < 70:
+        return OPEN
+    if stop < 0.30:
+        return BAD
+    return GOOD if where == NOWHERE and stop >= 0.32 and len(text) > 200 else NEAR
+
+
+def test_passes_match_a_plain_form():
+    rng = random.Random(7)
+    for _ in range(400):
+        n = rng.randrange(1, 14)
+        kind, region, places = rng.choice([NOWHERE, OUTSIDE]), 1, []
+        for _ in range(n):
+            region += rng.random() < 0.2
+            places.append((INSIDE, region) if kind == OUTSIDE and rng.random() < 0.7 else (kind, 0))
+        labels = [rng.choice([BAD, OPEN, NEAR, GOOD]) for _ in range(n)]
+        tags = [rng.choice(["p", "h2", "li"]) for _ in range(n)]
+        assert second_labels(labels, tags, places) == plain_second(labels, tags, places)
+        text = " ".join(rng.choice(["the", "of", "brantic", "sorvel", "and"]) for _ in range(rng.randrange(1, 80)))
+        link, apart = rng.choice([0, 0, len(text) // 4, len(text) // 2, len(text)]), rng.random() < 0.1
+        for where in (INSIDE, OUTSIDE, NOWHERE):
+            assert first_label(text, link, apart, where) == plain_first(text, link, apart, where)
+
+
+def test_both_passes_decide_in_articles():
+    html = f"<nav><p>menu</p></nav><article><h1>Head</h1><p>{G}</p>{LINKS}<p>See also</p>{LINKS}</article>"
+    got = [(text, label, keep) for text, _, label, keep in labelled_blocks(html)]
+    links = [("First link of a list", BAD, False), ("Second link of a list", BAD, False)]
+    assert got == [("menu", BAD, False), ("Head", OPEN, True), (G, GOOD, True), *links, ("See also", OPEN, False), *links]
+
+
 def test_extract(spark):
     rows = spark.createDataFrame([(1, "u", None, "x"), (2, "u", "<article>é &#128512;</article>", "x"), (2, "u", "<article>é &#128512;</article>", "x"), (3, "u", "<article>" + "w " * 100000, "x")], "page_id long, url string, html string, text string")
     got = extract(rows).collect()
