@@ -1,9 +1,9 @@
 """Media columns: interleaved document sequences with payloads resolved by digest.
 
 HTML is parsed into an ordered array of text and media-reference structs. References name a stored object by the digest
-of its bytes; a join with the media table puts the object's columns into the struct, and positions and captions stay
-where they were. Objects are grey images (PGM, 8 bits a sample, 64 samples a row) whose header also keeps the unpadded
-length, so that any bytes can be stored without loss.
+of its bytes; a join with the table of objects brings the bytes to the reference, where they are read back, and positions
+and captions stay where they were. Objects are grey images (PGM, 8 bits a sample, 64 samples a row) whose header also
+keeps the unpadded length, so that any bytes can be stored without loss.
 """
 
 from __future__ import annotations
@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.html_events import Walker
-from quillspan.llm.shared import extended
+from quillspan.llm.shared import extended, written
 
 ROW = 64
+SPREAD = 4096  # an object with more than 1/SPREAD of all references is one of SPREAD at most, and its references are dealt out
 
 
 def to_image(raw: bytes) -> bytes:
@@ -66,27 +67,31 @@ def stored_media(docs: DataFrame, text_col: str = "text") -> DataFrame:
 MEASURES = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def measured_media(media: DataFrame) -> DataFrame:
-    """(digest, media) with what is read back from the stored bytes: lengths, digests of payload and stored form, feature."""
+def measured_media(media: DataFrame, media_col: str = "media") -> DataFrame:
+    """media with what is read back from the stored bytes in media_col, in place of them: lengths, digests of payload and stored form, feature.
+
+    Null bytes have null measures. Columns named as the measures are replaced.
+    """
+    names = [x.split()[0] for x in MEASURES.split(", ")]
+    rest = [c for c in media.columns if c not in (media_col, *names)]
+    base = media.select(*rest, media_col)
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows = []
-                for stored in part.column(1).to_pylist():
+                for held in part.column(len(rest)):
+                    if not held.is_valid:
+                        rows.append((None,) * len(names))
+                        continue
+                    stored = held.as_py()
                     n, samples = from_image(stored)
                     rows.append((n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-ROW:]), len(stored), hashlib.sha256(stored).hexdigest(), image_feature(samples)))
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=["digest", "media", *(x.split()[0] for x in MEASURES.split(", "))])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=[*rest, *names])
 
-    base = media.select("digest", "media")
-    return base.mapInArrow(run, extended(base, MEASURES))
-
-
-def media_table(stored: DataFrame, columns: list[str]) -> DataFrame:
-    """One row for each digest with the given columns; copies of an object are equal in all of them."""
-    return stored.where("digest is not null").groupBy("digest").agg(F.min(F.struct(*columns)).alias("object"))
+    return base.mapInArrow(run, extended(base.drop(media_col), MEASURES))
 
 
 class _Sequence(Walker):
@@ -133,32 +138,64 @@ def parsed_sequences(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return base.mapInArrow(run, extended(pages.select(*rest), f"items {ITEM}"))
 
 
-def resolved(sequences: DataFrame, media: DataFrame, key: str, prefix: str = "sha256:") -> DataFrame:
-    """(key, items) with the media table's `object` in each media struct whose reference names a known digest.
+def referenced(sequences: DataFrame, media: DataFrame, key: str, media_col: str = "media", prefix: str = "sha256:") -> DataFrame:
+    """A row for each item of `sequences`: key, pos, kind, text, ref, caption and media_col, the bytes that the reference names.
 
-    Text structs and unknown references have a null object and keep their places. key must be unique; a document with
-    no items gets an empty array. References are joined by digest, split where one is used very often.
+    media holds digest and media_col, copies allowed. Items without a reference that starts with `prefix` move no bytes
+    and take no part in the join. An object with more than 1/SPREAD of all references is laid out several times, in
+    proportion to them, and its references are dealt over these copies; there are fewer than SPREAD such objects, so
+    their digests are broadcast.
     """
-    one = sequences.select(key, F.posexplode_outer("items").alias("pos", "item"))
-    ref = F.when(F.startswith("item.ref", F.lit(prefix)), F.substr("item.ref", F.lit(len(prefix) + 1)))
-    joined = one.withColumn("digest", ref).join(media, "digest", "left")
-    packed = F.struct("pos", "item.kind", "item.text", "item.ref", "item.caption", "object")
-    lists = joined.groupBy(key).agg(F.collect_list(F.when(F.col("pos").isNotNull(), packed)).alias("items"))
+    one = sequences.select(F.col(key).alias("key"), F.posexplode_outer("items").alias("pos", "item"))
+    digest = F.when(F.startswith("item.ref", F.lit(prefix)), F.substr("item.ref", F.lit(len(prefix) + 1)))
+    one = written(one.select("key", "pos", "item.kind", "item.text", "item.ref", "item.caption", digest.alias("digest")), "items")
+    objects = media.select("digest", F.col(media_col).alias("bytes")).where("digest is not null and bytes is not null")
+    named = one.where("digest is not null")
+    counts = named.groupBy("digest").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0  # one number
+    often = F.broadcast(written(counts.where(F.col("n") * SPREAD > total).select("digest", F.ceil(F.col("n") * SPREAD / F.lit(max(total, 1))).cast("int").alias("copies")), "often"))
+    few = objects.join(often, "digest", "left_anti").groupBy("digest").agg(F.first("bytes").alias("bytes"))
+    plain = named.join(often, "digest", "left_anti").join(few, "digest", "left")
+    many = objects.join(often, "digest").groupBy("digest", "copies").agg(F.first("bytes").alias("bytes"))
+    many = many.select("digest", "bytes", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    dealt = named.join(often, "digest").withColumn("copy", F.pmod(F.xxhash64("key", "pos"), F.col("copies")).cast("int"))
+    dealt = dealt.join(many, ["digest", "copy"], "left")
+    columns = ["key", "pos", "kind", "text", "ref", "caption"]
+    out = one.where("digest is null").select(*columns, F.lit(None).cast("binary").alias("bytes"))
+    for part in (plain, dealt):
+        out = out.unionByName(part.select(*columns, "bytes"))
+    return out.withColumnsRenamed({"key": key, "bytes": media_col})
+
+
+def packed(items: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, items): rows of `referenced` put together again, in order, with the given columns as each item's object; null where all are."""
+    found = F.when(F.coalesce(*(F.col(c).cast("string") for c in columns)).isNotNull(), F.struct(*columns))
+    item = F.struct("pos", "kind", "text", "ref", "caption", found.alias("object"))
+    lists = items.groupBy(key).agg(F.collect_list(F.when(F.col("pos").isNotNull(), item)).alias("items"))
     return lists.select(key, F.array_sort("items", lambda a, b: a["pos"] - b["pos"]).alias("items"))
 
 
+def resolved(sequences: DataFrame, media: DataFrame, key: str, media_col: str = "media", prefix: str = "sha256:") -> DataFrame:
+    """(key, items) with the stored bytes, as object.<media_col>, in each media struct whose reference names a known digest.
+
+    Text structs and unknown references have a null object and keep their places. key must be unique; a document with
+    no items gets an empty array.
+    """
+    return packed(referenced(sequences, media, key, media_col, prefix), key, [media_col])
+
+
 def media_report(docs: DataFrame) -> DataFrame:
-    """Stores each document's text as an object, shows it in an interleaved page by digest, and reads it back through the join.
+    """Stores each document's text as an object, shows it in an interleaved page by digest, and reads it back behind the join.
 
     Returns doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature, and the
-    media's position and caption. The objects are measured where they are stored, so the join moves measures, not bytes.
+    media's position and caption. Objects are written to a table; the bytes that are measured are those that the join
+    brings from it. Null texts are empty, repeated rows and ids are documents of their own, and an empty table stays empty.
     """
     names = [x.split()[0] for x in MEASURES.split(", ")]
-    stored = stored_media(docs.select("doc_id", "text")).withColumn("row", F.monotonically_increasing_id())
+    stored = written(stored_media(docs.select("doc_id", "text")).withColumn("row", F.monotonically_increasing_id()), "objects")
     said = F.concat(F.lit("text of document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("?")))
     html = F.concat(F.lit("<article><p>"), said, F.lit('</p><figure><img src="sha256:'), "digest", F.lit('"><figcaption>'), said, F.lit("</figcaption></figure></article>"))
     pages = stored.select(F.struct("row", "doc_id").alias("key"), html.alias("html"))
-    objects = media_table(measured_media(stored.select("digest", "media")), names)
-    whole = resolved(parsed_sequences(pages), objects, "key")
+    whole = packed(measured_media(referenced(parsed_sequences(pages), stored, "key")), "key", names)
     shown = whole.select("key.doc_id", F.filter("items", lambda x: x["kind"] == "media")[0].alias("m"))
     return shown.select("doc_id", *(F.col(f"m.object.{n}").alias(n) for n in names), F.col("m.pos").alias("position"), F.col("m.caption").alias("caption"))

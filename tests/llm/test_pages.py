@@ -6,7 +6,8 @@ import zlib
 import pytest
 
 from quillspan.llm.extraction import BAD, GOOD, INSIDE, NEAR, NOWHERE, OPEN, OUTSIDE, extract, first_label, labelled_blocks, main_text, second_labels
-from quillspan.llm.media import from_image, media_report, media_table, measured_media, parsed_sequences, resolved, stored_media, to_image
+from quillspan.llm import media
+from quillspan.llm.media import from_image, media_report, parsed_sequences, resolved, stored_media, to_image
 
 ARTICLE = "this is the text of an article that we have written for you and it is long enough to be found by the rules of the method. " * 3
 
@@ -174,23 +175,37 @@ def test_images_are_lossless():
         from_image(to_image(b"abc")[:-1])
 
 
-def test_media_report(edges, docs_of):
+def test_media_report_matches_a_plain_form(edges, docs_of, monkeypatch):
+    rows = [(i, f"copy {i % 3 if i % 2 else i}" * (i % 7)) for i in range(300)]
+    for spread in (4096, 8):
+        monkeypatch.setattr(media, "SPREAD", spread)
+        got = {r["doc_id"]: r for r in media_report(docs_of(rows)).collect()}
+        assert len(got) == 300
+        for i, text in rows:
+            raw = text.encode()
+            whole = raw + bytes(-len(raw) % 64) if raw else bytes(64)
+            stored = b"P5\n# bytes %d\n64 %d\n255\n" % (len(raw), len(whole) // 64) + whole
+            sha = lambda x: hashlib.sha256(x).hexdigest()
+            want = (len(raw), len(whole), sha(whole), zlib.crc32(whole[-64:]), len(stored), sha(stored))
+            assert tuple(got[i][c] for c in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")) == want
+            assert got[i]["caption"] == f"text of document {i}" and got[i]["position"] == 1
+
+
+def test_media_report_edges(edges, docs_of):
     got = media_report(edges).collect()
     assert len(got) == 9 and all(r["caption"] and r["position"] == 1 for r in got)
     by = {r["doc_id"]: r for r in got}
-    want = "naïve 日本語 text 😀 with marks".encode()
-    padded = want + bytes(-len(want) % 64)
-    assert (by[6]["n_bytes"], by[6]["payload_sha256"], by[6]["tail_crc32"]) == (len(want), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+    assert by[6]["n_bytes"] == len(edges.where("doc_id = 6").first()["text"].encode())
     assert by[6]["feature"] == by[7]["feature"] and by[1]["payload_bytes"] == 64
     assert media_report(docs_of([])).count() == 0
 
 
 def test_sequences_stay_aligned(spark, docs_of):
-    media = stored_media(docs_of([(1, "one"), (2, "two")]).select("doc_id", "text"))
-    refs = {r["doc_id"]: r["digest"] for r in media.collect()}
+    stored = stored_media(docs_of([(1, "one"), (2, "two"), (3, "two")]).select("doc_id", "text"))
+    refs = {r["doc_id"]: r["digest"] for r in stored.collect()}
     html = f"<p>a</p><figure><img src='sha256:{refs[2]}'><figcaption>cap two</figcaption></figure><p>b<img src='sha256:{refs[1]}' alt='in line'>c</p><img src='sha256:feed'>"
     pages = spark.createDataFrame([("p", html), ("q", None), ("r", "")], "key string, html string")
-    out = {r["key"]: r["items"] for r in resolved(parsed_sequences(pages), media_table(measured_media(media.select("digest", "media")), ["n_bytes", "media"]), "key").collect()}
+    out = {r["key"]: r["items"] for r in resolved(parsed_sequences(pages), stored, "key").collect()}
     assert [(x["kind"], x["text"], x["caption"]) for x in out["p"]] == [("text", "a", None), ("media", None, "cap two"), ("text", "b", None), ("media", None, "in line"), ("text", "c", None), ("media", None, None)]
     assert [from_image(bytes(x["object"]["media"]))[1].rstrip(b"\0") for x in out["p"] if x["object"]] == [b"two", b"one"]
     assert out["p"][5]["object"] is None and out["q"] == [] and out["r"] == []
