@@ -2,14 +2,14 @@
 
 HTML is parsed into an ordered array of text and media-reference structs. References name a stored object by the digest
 of its bytes; a join with the table of objects brings the bytes to the reference, where they are read back, and positions
-and captions stay where they were. Objects are grey images (PGM, 8 bits a sample, 64 samples a row) whose header also
-keeps the unpadded length, so that any bytes can be stored without loss.
+and captions stay where they were. Objects are grey PNG images of 8 bits a sample, one row of samples each, which also
+keep the unpadded length as a text chunk, so that any bytes can be stored without loss.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
+import struct
 import zlib
 
 import numpy as np
@@ -21,21 +21,38 @@ from quillspan.llm.html_events import Walker
 from quillspan.llm.shared import extended, written
 
 ROW = 64
+PNG = b"\x89PNG\r\n\x1a\n"
 SPREAD = 4096  # an object with more than 1/SPREAD of all references is one of SPREAD at most, and its references are dealt out
 
 
+def _chunk(kind: bytes, data: bytes) -> bytes:
+    return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+
 def to_image(raw: bytes) -> bytes:
-    """A PGM image of the bytes, padded with zeros to whole rows, one row at least."""
-    rows = max(1, -(-len(raw) // ROW))
-    return b"P5\n# bytes %d\n%d %d\n255\n" % (len(raw), ROW, rows) + raw + bytes(rows * ROW - len(raw))
+    """A PNG image of the bytes, padded with zeros to a multiple of ROW samples, ROW at least, all in one row."""
+    samples = raw + bytes(ROW - len(raw) % ROW if len(raw) % ROW or not raw else 0)
+    head = struct.pack(">IIBBBBB", len(samples), 1, 8, 0, 0, 0, 0)
+    return PNG + _chunk(b"IHDR", head) + _chunk(b"tEXt", b"bytes\0%d" % len(raw)) + _chunk(b"IDAT", zlib.compress(b"\0" + samples, 6)) + _chunk(b"IEND", b"")
 
 
 def from_image(stored: bytes) -> tuple[int, bytes]:
     """Unpadded length and samples of a stored image; fails on anything else."""
-    head = re.match(rb"P5\n# bytes (\d+)\n(\d+) (\d+)\n255\n", stored)
-    if not head or len(stored) - head.end() != int(head[2]) * int(head[3]):
+    chunks, at = {}, len(PNG)
+    while at < len(stored):
+        size, kind = struct.unpack_from(">I4s", stored, at)
+        data = stored[at + 8 : at + 8 + size]
+        if stored[at + 8 + size : at + 12 + size] != struct.pack(">I", zlib.crc32(kind + data)):
+            raise ValueError("a broken chunk")
+        chunks[kind] = data
+        at += 12 + size
+    if not stored.startswith(PNG) or list(chunks) != [b"IHDR", b"tEXt", b"IDAT", b"IEND"]:
         raise ValueError("not a whole stored image")
-    return int(head[1]), stored[head.end() :]
+    width, height, *form = struct.unpack(">IIBBBBB", chunks[b"IHDR"])
+    row = zlib.decompress(chunks[b"IDAT"])
+    if (height, form) != (1, [8, 0, 0, 0, 0]) or len(row) != width + 1 or row[0]:
+        raise ValueError("not a stored image's form")
+    return int(chunks[b"tEXt"].split(b"\0")[1]), row[1:]
 
 
 def image_feature(samples: bytes) -> str:
@@ -147,8 +164,8 @@ def referenced(sequences: DataFrame, media: DataFrame, key: str, media_col: str
     their digests are broadcast.
     """
     one = sequences.select(F.col(key).alias("key"), F.posexplode_outer("items").alias("pos", "item"))
-    digest = F.when(F.startswith("item.ref", F.lit(prefix)), F.substr("item.ref", F.lit(len(prefix) + 1)))
-    one = written(one.select("key", "pos", "item.kind", "item.text", "item.ref", "item.caption", digest.alias("digest")), "items")
+    one = written(one.select("key", "pos", "item.kind", "item.text", "item.ref", "item.caption"), "items")
+    one = one.withColumn("digest", F.when(F.startswith("ref", F.lit(prefix)), F.substr("ref", F.lit(len(prefix) + 1))))
     objects = media.select("digest", F.col(media_col).alias("bytes")).where("digest is not null and bytes is not null")
     named = one.where("digest is not null")
     counts = named.groupBy("digest").agg(F.count("*").alias("n"))
@@ -196,6 +213,6 @@ def media_report(docs: DataFrame) -> DataFrame:
     said = F.concat(F.lit("text of document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("?")))
     html = F.concat(F.lit("<article><p>"), said, F.lit('</p><figure><img src="sha256:'), "digest", F.lit('"><figcaption>'), said, F.lit("</figcaption></figure></article>"))
     pages = stored.select(F.struct("row", "doc_id").alias("key"), html.alias("html"))
-    whole = packed(measured_media(referenced(parsed_sequences(pages), stored, "key")), "key", names)
-    shown = whole.select("key.doc_id", F.filter("items", lambda x: x["kind"] == "media")[0].alias("m"))
-    return shown.select("doc_id", *(F.col(f"m.object.{n}").alias(n) for n in names), F.col("m.pos").alias("position"), F.col("m.caption").alias("caption"))
+    shown = referenced(parsed_sequences(pages), stored, "key").where("kind = 'media'")
+    found = measured_media(shown.select("key.doc_id", "pos", "caption", "media"))
+    return found.select("doc_id", *names, F.col("pos").alias("position"), "caption")

@@ -26,7 +26,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read again: later plans start from the files, whoever is lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out

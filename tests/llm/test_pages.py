@@ -171,8 +171,10 @@ def test_images_are_lossless():
     for raw in (b"", b"x", bytes(range(256)), b"y" * 64, b"\0" * 65):
         n, samples = from_image(to_image(raw))
         assert n == len(raw) and samples[:n] == raw and not any(samples[n:]) and len(samples) % 64 == 0 and samples
-    with pytest.raises(ValueError):
-        from_image(to_image(b"abc")[:-1])
+    whole = to_image(b"abc")
+    for broken in (whole[:-1], whole[:-12], whole[:60] + b"?" + whole[61:], b"x" + whole[1:], b""):
+        with pytest.raises(ValueError):
+            from_image(broken)
 
 
 def test_media_report_matches_a_plain_form(edges, docs_of, monkeypatch):
@@ -184,7 +186,10 @@ def test_media_report_matches_a_plain_form(edges, docs_of, monkeypatch):
         for i, text in rows:
             raw = text.encode()
             whole = raw + bytes(-len(raw) % 64) if raw else bytes(64)
-            stored = b"P5\n# bytes %d\n64 %d\n255\n" % (len(raw), len(whole) // 64) + whole
+            part = lambda kind, data: len(data).to_bytes(4, "big") + kind + data + zlib.crc32(kind + data).to_bytes(4, "big")
+            head = len(whole).to_bytes(4, "big") + bytes([0, 0, 0, 1, 8, 0, 0, 0, 0])
+            parts = [(b"IHDR", head), (b"tEXt", b"bytes\0" + str(len(raw)).encode()), (b"IDAT", zlib.compress(b"\0" + whole, 6)), (b"IEND", b"")]
+            stored = b"\x89PNG\r\n\x1a\n" + b"".join(part(*p) for p in parts)
             sha = lambda x: hashlib.sha256(x).hexdigest()
             want = (len(raw), len(whole), sha(whole), zlib.crc32(whole[-64:]), len(stored), sha(stored))
             assert tuple(got[i][c] for c in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")) == want
