@@ -65,17 +65,23 @@ def image_feature(samples: bytes) -> str:
     return f"rows={len(a)};mean={mean:.4f};spread={spread:.4f};hash={bits:016x}"
 
 
-def stored_media(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs' other columns with digest (SHA-256 of the stored form) and media, the stored form of each whole text; null is empty."""
+def stored_media(docs: DataFrame, text_col: str = "text", once: bool = False) -> DataFrame:
+    """docs' other columns with digest (SHA-256 of the stored form) and media, the stored form of each whole text; null is empty.
+
+    With `once`, media is null where the same batch of rows holds the object already.
+    """
     rest = [c for c in docs.columns if c not in (text_col, "digest", "media")]
     base = docs.select(*rest, text_col)
 
     def run(batches):
         for batch in batches:
+            held = set()
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 media = [to_image(x.encode() if x is not None else b"") for x in part.column(len(rest)).to_pylist()]
                 digests = [hashlib.sha256(m).hexdigest() for m in media]
+                if once:
+                    media = [None if d in held or held.add(d) else m for d, m in zip(digests, media)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], pa.array(digests, pa.string()), pa.array(media, pa.binary())], names=[*rest, "digest", "media"])
 
     return base.mapInArrow(run, extended(docs.select(*rest), "digest string, media binary"))
@@ -165,8 +171,8 @@ def referenced(sequences: DataFrame, media: DataFrame, key: str, media_col: str
     """
     one = sequences.select(F.col(key).alias("key"), F.posexplode_outer("items").alias("pos", "item"))
     one = written(one.select("key", "pos", "item.kind", "item.text", "item.ref", "item.caption"), "items")
-    one = one.withColumn("digest", F.when(F.startswith("ref", F.lit(prefix)), F.substr("ref", F.lit(len(prefix) + 1))))
-    objects = media.select("digest", F.col(media_col).alias("bytes")).where("digest is not null and bytes is not null")
+    one = one.withColumn("digest", F.when(F.startswith("ref", F.lit(prefix)), F.unhex(F.substr("ref", F.lit(len(prefix) + 1)))))
+    objects = media.select(F.unhex("digest").alias("digest"), F.col(media_col).alias("bytes")).where("digest is not null and bytes is not null")
     named = one.where("digest is not null")
     counts = named.groupBy("digest").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0  # one number
@@ -209,7 +215,7 @@ def media_report(docs: DataFrame) -> DataFrame:
     brings from it. Null texts are empty, repeated rows and ids are documents of their own, and an empty table stays empty.
     """
     names = [x.split()[0] for x in MEASURES.split(", ")]
-    stored = written(stored_media(docs.select("doc_id", "text")).withColumn("row", F.monotonically_increasing_id()), "objects")
+    stored = written(stored_media(docs.select("doc_id", "text"), once=True).withColumn("row", F.monotonically_increasing_id()), "objects")
     said = F.concat(F.lit("text of document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("?")))
     html = F.concat(F.lit("<article><p>"), said, F.lit('</p><figure><img src="sha256:'), "digest", F.lit('"><figcaption>'), said, F.lit("</figcaption></figure></article>"))
     pages = stored.select(F.struct("row", "doc_id").alias("key"), html.alias("html"))
