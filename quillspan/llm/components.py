@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.shared import dropped, written
+from quillspan.llm.shared import dropped, joined_spread, written
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -17,20 +17,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(node, component) for each node with an edge; component is the smallest node reached.
 
     Self-loops, nulls, repeated and reversed edges are allowed; null ends and self-loops link nothing. No edges give an
-    empty table. A node's smallest neighbour is found by a partial aggregation and joined back, so no neighbour list is
-    ever held in a task. Each step is written to the shared folder; two numbers an iteration reach the driver.
+    empty table. A node's smallest neighbour is found by a partial aggregation and joined back, hubs by a broadcast of
+    bounded size, so no neighbour list is ever held in a task. Each step is written to the shared folder; two numbers an iteration reach the driver.
     """
     clean = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     current = written(clean, "star")
     mark = _mark(current)
     while mark[0]:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = joined_spread(both, least, ["u"], 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        following = written(small.union(least).distinct(), "small-star")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = joined_spread(large, least, ["u"], 2 * mark[0]).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        following = written(small.union(least.select("u", "m")).distinct(), "small-star")
         dropped(large)
         dropped(current)
         current, before, mark = following, mark, _mark(following)

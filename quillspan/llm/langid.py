@@ -5,6 +5,9 @@ Evidence: the text's byte n-gram likelihoods, the language that the markup decla
 address codes and the hosts' priors come from grouped counts of the languages that the texts alone suggest, over all
 rows. A host's prior is drawn to its parent domain's, that to its suffix's, and that to the whole table's, each by as
 many pseudo-rows as STRENGTH says; so hosts with few rows follow their surroundings.
+
+A text whose n-grams are much less familiar, over all languages alike, than those of labelled texts is in none of them:
+it is rejected, and tells nothing about its host.
 """
 
 from __future__ import annotations
@@ -19,14 +22,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quillspan.llm import bytekernel as bk
-from quillspan.llm.shared import written
+from quillspan.llm.shared import extended, joined_spread, written
 
 UNKNOWN = "und"
 BITS, GRAM = 16, 3
 SAMPLE_ROWS = 600  # labelled rows of each language that the fit sees at most
 SAMPLE_CHARS = 16384  # the fit sees the beginning of longer texts; they are identified whole
 STRENGTH = 8.0  # pseudo-rows of each smoothing step
-TEXT_GRAMS, TEXT_WEIGHT = 240, 0.4  # n-grams overlap: at most so many count, each for so much
+POWER = 0.75  # n-grams overlap and repeat: n of them weigh as n ** POWER would
+FAR = 9.0  # standard deviations below the labelled texts' familiarity at which a text is in no known language
+UNSEEN = np.array([-np.inf, 1.0, 1.0])
 
 _letters = np.full(256, 0x20, np.uint8)
 _letters[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -40,18 +45,30 @@ class TextModel:
 
     languages: list[str]
     table: np.ndarray
+    level: np.ndarray  # of known texts' mean n-gram familiarity: its mean, its variance, and that of one n-gram
+
+    def familiar(self) -> np.ndarray:
+        """By bucket, the log probability under all languages alike: a text that mixes languages is as familiar as one that doesn't."""
+        top = self.table.max(axis=0)
+        return top + np.log(np.exp(self.table - top).mean(axis=0))
 
-    def log_likelihoods(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number of n-grams with letters, and their mean log likelihoods, of each row."""
+    def log_likelihoods(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of n-grams with letters, their mean log likelihoods, and whether they are too unfamiliar, of each row."""
         bucket, used = _grams(buf, offs)
         rows = len(offs) - 1
         seen = np.concatenate([[0], np.cumsum(used)])
         n = seen[offs[1:]] - seen[offs[:-1]]
+
+        def means(by_bucket: np.ndarray) -> np.ndarray:
+            sums = np.concatenate([[0.0], np.cumsum(np.where(used, by_bucket[bucket], 0), dtype=np.float64)])
+            return (sums[offs[1:]] - sums[offs[:-1]]) / np.maximum(n, 1)
+
         out = np.zeros((rows, len(self.languages)))
         for k in range(len(self.languages)):
-            sums = np.concatenate([[0.0], np.cumsum(np.where(used, self.table[k][bucket], 0), dtype=np.float64)])
-            out[:, k] = (sums[offs[1:]] - sums[offs[:-1]]) / np.maximum(n, 1)
-        return n, out
+            out[:, k] = means(self.table[k])
+        mean, between, within = self.level
+        far = mean - FAR * np.sqrt(between + GRAM * within / np.maximum(n, 1))
+        return n, out, (n > 0) & (means(self.familiar()) < far) if self.languages else np.zeros(rows, bool)
 
 
 def _grams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,14 +87,32 @@ def _grams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS), used
 
 
-def fit_texts(texts: list[str], langs: list[str]) -> TextModel:
-    languages = sorted(set(langs))
+def _fit_tables(texts: list[str], langs: list[str], languages: list[str]) -> np.ndarray:
     counts = np.full((len(languages), 1 << BITS), 0.5)
     for k, lang in enumerate(languages):
         for _, buf, offs in bk.blocks(pa.array([t for t, x in zip(texts, langs) if x == lang], pa.large_string())):
             bucket, used = _grams(buf, offs)
             counts[k] += np.bincount(bucket[used], minlength=1 << BITS)
-    return TextModel(languages, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32))
+    return np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+
+
+def fit_texts(texts: list[str], langs: list[str]) -> TextModel:
+    """Tables from all texts; each half of them is measured with the tables of the other half for the level."""
+    languages, seen = sorted(set(langs)), []
+    for half in (0, 1):
+        other = TextModel(languages, _fit_tables(texts[1 - half :: 2], langs[1 - half :: 2], languages), UNSEEN)
+        by_bucket = other.familiar() if languages else np.zeros(0)
+        for _, buf, offs in bk.blocks(pa.array(texts[half::2], pa.large_string())):
+            bucket, used = _grams(buf, offs)
+            for a, z in zip(offs[:-1], offs[1:]):
+                x = by_bucket[bucket[a:z][used[a:z]]]
+                if len(x):
+                    seen.append((x.mean(), x.var(), len(x)))
+    level = UNSEEN
+    if len(seen) >= 8:  # too few texts show no level
+        mean, var, n = np.array(seen).T
+        level = np.array([mean.mean(), max(mean.var() - (var.mean() / n).mean(), 0.01), var.mean()])
+    return TextModel(languages, _fit_tables(texts, langs, languages), level)
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> TextModel:
@@ -99,25 +134,26 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Te
 
 
 def text_evidence(rows: DataFrame, model: TextModel, text_col: str) -> DataFrame:
-    """rows without text_col, with n_grams and text_ll, the weighed log likelihood of each of the model's languages."""
+    """rows without text_col, with n_grams, text_ll, the weighed log likelihood of each of the model's languages, and foreign."""
     rest = [c for c in rows.columns if c != text_col]
     base = rows.select(*rest, text_col)
     shared = rows.sparkSession.sparkContext.broadcast(model)  # 256 KB for each language
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*rest).schema.fields), "n_grams long, text_ll array<double>"])
+    schema = extended(rows.select(*rest), "n_grams long, text_ll array<double>, foreign boolean")
 
     def run(batches):
         model = shared.value
         for batch in batches:
-            ns, lls = [], []
+            ns, lls, far = [], [], []
             for _, buf, offs in bk.blocks(batch.column(len(rest))):
-                n, ll = model.log_likelihoods(buf, offs)
+                n, ll, unfamiliar = model.log_likelihoods(buf, offs)
                 ns.append(n)
-                lls.append(ll * (np.minimum(n, TEXT_GRAMS) * TEXT_WEIGHT)[:, None])
+                lls.append(ll * (n**POWER)[:, None])
+                far.append(unfamiliar)
             if not ns:
                 continue
             flat = np.concatenate(lls)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(np.concatenate(ns)), lists], names=[*rest, "n_grams", "text_ll"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(np.concatenate(ns)), lists, pa.array(np.concatenate(far))], names=[*rest, "n_grams", "text_ll", "foreign"])
 
     return base.mapInArrow(run, schema)
 
@@ -133,9 +169,9 @@ def _smoothed(table: DataFrame, above: str | Column) -> Column:
 
 
 def _prior_table(rows: DataFrame, languages: list[str]) -> DataFrame:
-    """(host, prior): hosts' language distributions, smoothed over parent domain, suffix and the whole."""
-    voting = rows.where("text_lang is not null and host is not null").select("host", F.coalesce("parent", "host").alias("parent"), F.coalesce("suffix", F.lit("")).alias("suffix"), "text_lang")
-    hosts = voting.groupBy("host", "parent", "suffix").agg(F.array(*_counts(languages)).alias("counts"))
+    """(host, prior, n): hosts' language distributions, smoothed over parent domain, suffix and the whole."""
+    voting = rows.where("host is not null").select("host", F.coalesce("parent", "host").alias("parent"), F.coalesce("suffix", F.lit("")).alias("suffix"), "text_lang")
+    hosts = voting.groupBy("host", "parent", "suffix").agg(F.array(*_counts(languages)).alias("counts"), F.count("*").alias("n"))
     hosts = written(hosts, "hosts")  # a row for each host
 
     def up(keys: list[str]) -> DataFrame:
@@ -149,18 +185,19 @@ def _prior_table(rows: DataFrame, languages: list[str]) -> DataFrame:
     suffix = suffix.select("suffix", _smoothed(suffix, whole).alias("p1"))
     parent = up(["parent", "suffix"]).join(suffix, "suffix")
     parent = parent.select("parent", "suffix", _smoothed(parent, "p1").alias("p2"))
-    return hosts.join(parent, ["parent", "suffix"]).select("host", _smoothed(hosts, "p2").alias("prior"))
+    up_to = parent.join(hosts.groupBy("parent", "suffix").agg(F.count("*").alias("n")), ["parent", "suffix"])
+    placed = joined_spread(hosts.withColumnRenamed("n", "rows"), up_to, ["parent", "suffix"], hosts.count())
+    return placed.select("host", _smoothed(placed, "p2").alias("prior"), F.col("rows").alias("n"))
 
 
 def _likelihood_table(rows: DataFrame, value: str, languages: list[str]) -> DataFrame:
-    """(value, log P(value | language)): counts by language, smoothed towards the value's share of all rows."""
-    seen = rows.where(F.col(value).isNotNull() & F.col("text_lang").isNotNull())
-    by = seen.groupBy(value).agg(F.array(*_counts(languages)).alias("counts"))
+    """(value, log P(value | language), n): counts by language, smoothed towards the value's share of all rows."""
+    by = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.array(*_counts(languages)).alias("counts"), F.count("*").alias("n"))
     totals = by.agg(F.array(*[F.sum(F.col("counts")[k]) for k in range(len(languages))]).alias("n")).first()["n"]
     totals = [x or 0.0 for x in totals]  # a number for each language
     share = (F.aggregate("counts", F.lit(0.0), lambda a, x: a + x) + 1) / (sum(totals) + 1)
     ll = F.zip_with("counts", F.array(*[F.lit(x) for x in totals]), lambda x, n: F.log((x + STRENGTH * share) / (n + STRENGTH)))
-    return by.select(value, ll.alias(f"{value}_ll"))
+    return by.select(value, ll.alias(f"{value}_ll"), "n")
 
 
 def address_columns(url: Column, languages: list[str]) -> dict[str, Column]:
@@ -178,31 +215,47 @@ def address_columns(url: Column, languages: list[str]) -> dict[str, Column]:
 def identified(rows: DataFrame, model: TextModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """rows (with text_col, declared, host, parent, suffix, hint) without the text, with language, posterior, text_language and rejected.
 
-    A row whose text has fewer than three bytes or no letter has no text evidence; it is rejected, as is one whose best posterior is below
-    `least`; rejected rows get the language 'und'. Any evidence may be null and is then left out. Repeated rows count as
-    often as they stand and get the same result; an empty table stays empty; further columns are kept.
+    Rejected, with language 'und', are rows whose text is null or blank, rows whose text is in no known language, rows
+    whose best posterior is below `least`, and rows whose text has no n-gram with a letter and that declare no language
+    and have no hint; a text such as 'A.' is decided by its other evidence. Any evidence may be null and is then left
+    out. Repeated rows count as often as they stand and get the same result; an empty table stays empty; further columns
+    are kept whatever their names, but those named as the new ones are replaced.
     """
     made = ["language", "posterior", "text_language", "rejected"]
+    evidence = ["declared", "host", "parent", "suffix", "hint"]
     rest = [c for c in rows.columns if c not in (text_col, *made)]
     languages = model.languages
     if not languages:
         blank = rows.select(*rest, F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("posterior"), F.lit(None).cast("string").alias("text_language"))
         return blank.withColumn("rejected", F.lit(True))
     named = F.array(*[F.lit(x) for x in languages])
-    found = text_evidence(rows.select(*rest, text_col), model, text_col)
-    best = F.when(F.col("n_grams") > 0, F.get(named, F.array_position("text_ll", F.array_max("text_ll")).cast("int") - 1))
+    flat = F.array(*[F.lit(1.0 / len(languages))] * len(languages))
+    says = F.coalesce(F.rlike(text_col, F.lit(r"\S")), F.lit(False))
+    base = rows.select(F.struct(*rest).alias("rest"), *evidence, says.alias("says"), F.col(text_col).alias("text"))
+    found = text_evidence(base, model, "text")
+    best = F.when((F.col("n_grams") > 0) & ~F.col("foreign"), F.get(named, F.array_position("text_ll", F.array_max("text_ll")).cast("int") - 1))
     found = written(found.withColumn("text_lang", best), "evidence")
-    out = found.join(_prior_table(found, languages).withColumnRenamed("host", "_h"), F.col("host").eqNullSafe(F.col("_h")), "left").drop("_h")
-    score = F.zip_with("text_ll", F.coalesce("prior", F.array(*[F.lit(1.0 / len(languages))] * len(languages))), lambda a, p: a + F.log(p))
-    for value in ("declared", "hint"):
-        out = out.join(_likelihood_table(found, value, languages), value, "left")
-        score = F.zip_with(score, F.coalesce(f"{value}_ll", F.array(*[F.lit(0.0)] * len(languages))), lambda a, b: a + b)
-    out = out.withColumn("_s", score).withColumn("_top", F.array_max("_s"))
-    posterior = 1 / F.aggregate("_s", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top")))
-    out = out.withColumn("posterior", posterior)
-    rejected = (F.col("n_grams") == 0) | (F.col("posterior") < least)
-    language = F.when(rejected, F.lit(UNKNOWN)).otherwise(F.get(named, F.array_position("_s", F.col("_top")).cast("int") - 1))
-    return out.select(*rest, language.alias("language"), "posterior", F.col("text_lang").alias("text_language"), rejected.alias("rejected"))
+    total, out, score = found.count(), found, F.col("text_ll")
+    for value, told, table in (
+        ("host", "prior", lambda: _prior_table(found, languages)),
+        ("declared", "declared_ll", lambda: _likelihood_table(found, "declared", languages)),
+        ("hint", "hint_ll", lambda: _likelihood_table(found, "hint", languages)),
+    ):
+        # Rows without the value wait outside of the join.
+        there = joined_spread(out.where(F.col(value).isNotNull()), written(table(), "told"), [value], total, "left")
+        out = there.unionByName(out.where(F.col(value).isNull()), allowMissingColumns=True)
+        if value == "host":
+            score = F.zip_with(score, F.coalesce("prior", flat), lambda a, p: a + F.log(p))
+        else:
+            score = F.zip_with(score, F.coalesce(told, F.transform(named, lambda x: F.lit(0.0))), lambda a, b: a + b)
+    out = out.withColumn("score", score).withColumn("top", F.array_max("score"))
+    out = out.withColumn("posterior", 1 / F.aggregate("score", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
+    told = (F.col("n_grams") > 0) | F.col("declared").isNotNull() | F.col("hint").isNotNull()
+    rejected = ~F.col("says") | F.col("foreign") | ~told | (F.col("posterior") < least)
+    language = F.when(rejected, F.lit(UNKNOWN)).otherwise(F.get(named, F.array_position("score", F.col("top")).cast("int") - 1))
+    return out.select(
+        *(F.col("rest").getField(c).alias(c) for c in rest), language.alias("language"), "posterior", F.col("text_lang").alias("text_language"), rejected.alias("rejected")
+    )
 
 
 def of_documents(docs: DataFrame, key: list[Column]) -> DataFrame:

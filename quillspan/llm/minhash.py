@@ -1,14 +1,14 @@
 """Near-duplicate groups: universal hash minima, banding, signature check, full-set confirmation, components.
 
 A document's set is its distinct word shingles. Documents with equal sets are one node. 128 universal hash minima in 32
-bands of 4 put nodes into buckets: two sets of similarity 0.75 share no bucket with a probability of 5e-6.
-
-Pairs of a bucket are never written out. First each bucket's members are compared with one leader, by signature, then on
-the full sets, which joins most copies. What is then left of a bucket in more than one component goes through tasks of
-two blocks of members each, where sparse products of the sets' sketches find all pairs that may link two components; of
-each two components one pair that surely does is enough. These few pairs are confirmed on the full sets again. A sketch
-is the set itself in 32-bit hashes; only sets of over 4096 shingles are thinned by nested sampling, and their estimates
-get a margin. So each pair that shares a bucket has been compared, or was connected before.
+bands of 4 put nodes into buckets: two sets of similarity 0.75 share no bucket with a probability of 5e-6. Buckets with
+the same members are one.
+
+Pairs of a bucket are never written out. In a round each bucket's members are compared with one leader, by signature,
+then on the full sets, which joins most copies; the leader is then done. Rounds go on with what is left of the large
+buckets that hold several components while a round halves it. What remains goes through tasks of two blocks of members
+each, which count the common shingles of all pairs on the full sets by sparse products and return a spanning forest of
+the components that are linked. So each pair that shares a bucket has been compared exactly, or was connected before.
 """
 
 from __future__ import annotations
@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 
 from quillspan.llm import bytekernel as bk
 from quillspan.llm.components import connected_components
-from quillspan.llm.shared import dropped, written
+from quillspan.llm.shared import joined_spread, written
 
 BANDS, WIDTH = 32, 4
 HASHES = BANDS * WIDTH
 WHITE_SPACE = bytes([0x20, *range(0x09, 0x0E)])
-SKETCH, SLAB, BLOCK = 4096, 4096, 512
+SLAB = 4096
+BLOCK, BLOCK_SHINGLES = 512, 1 << 18  # members, and shingles of all of them, of a block at about most
 SURE = 5.5  # standard deviations below the threshold at which a signature's estimate excludes a pair
 
 _values = bk.byte_values(0x5EED)
@@ -108,32 +109,17 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return base.mapInArrow(run, f"id {kind}, mark long, n_shingles long, fa long, fb long, bands array<long>, sig binary")
 
 
-def sketch(shingles: np.ndarray) -> tuple[int, bytes]:
-    """Level and 32-bit hashes: all of them (level 0), or those whose last `level` bits are 0, so that SKETCH at most stay."""
-    x = np.unique((shingles & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-    level = 0
-    while len(x) > SKETCH:
-        level += 1
-        x = x[(x & np.uint32((1 << level) - 1)) == 0]
-    return level, x.astype("<u4").tobytes()
-
-
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(node, shingles, level, sketch) of (node, text): the sorted 64-bit hashes as bytes, and their sketch."""
+    """(node, shingles) of (node, text): the sorted 64-bit hashes as bytes."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [s for _, s in shingle_sets(part.column(1), k)]
-                levels, small = zip(*map(sketch, sets))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()), pa.array(levels, pa.int32()), pa.array(small, pa.binary())],
-                    names=["node", "shingles", "level", "sketch"],
-                )
+                sets = [s.astype("<u8").tobytes() for _, s in shingle_sets(part.column(1), k)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    kind = docs.schema["node"].dataType.simpleString()
-    return docs.select("node", "text").mapInArrow(run, f"node {kind}, shingles binary, level int, sketch binary")
+    return docs.select("node", "text").mapInArrow(run, "node long, shingles binary")
 
 
 def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -159,61 +145,49 @@ def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _block_pairs(a: list, b: list, same: bool, percent: int) -> list[tuple]:
-    """Pairs of members (node, component, level, sketch) of two blocks that may link two components."""
-    out = []
-    for level in sorted({x[2] for x in a} | {x[2] for x in b}):
-        # Pairs whose coarser level is this one are compared at it.
-        left, right = [x for x in a if x[2] <= level], [x for x in b if x[2] <= level]
-        if not left or not right:
-            continue
-        keep = np.uint32((1 << level) - 1)
-        va, vb = ([v[(v & keep) == 0] for v in (np.frombuffer(x[3], "<u4") for x in side)] for side in (left, right))
-        common = _common(va, vb)
-        na, nb = np.array([len(v) for v in va]), np.array([len(v) for v in vb])
-        union = na[:, None] + nb[None, :] - common
-        slack = 3 if level else 0
-        ca, cb = np.unique([x[1] for x in left + right], return_inverse=True)[1][: len(left)], np.unique([x[1] for x in left + right], return_inverse=True)[1][len(left) :]
-        at_level = np.maximum(np.array([x[2] for x in left])[:, None], np.array([x[2] for x in right])[None, :]) == level
-        open_ = (ca[:, None] != cb[None, :]) & (common > 0) & (100 * common >= (percent - slack) * union) & at_level
-        i, j = np.nonzero(open_)
-        if same:
-            i, j = i[i != j], j[i != j]
-        if not len(i):
-            continue
-        ratio = common[i, j] / union[i, j]
-        sure = 100 * common[i, j] >= (percent + slack) * union[i, j]
-        key = np.minimum(ca[i], cb[j]) * (len(left) + len(right)) + np.maximum(ca[i], cb[j])
-        # Of each two components the surest pair; where none is sure, all that are possible.
-        order = np.lexsort((-ratio, ~sure, key))
-        first = np.append(True, key[order][1:] != key[order][:-1])
-        has_sure = np.isin(key, key[order][first & sure[order]])
-        chosen = np.zeros(len(i), bool)
-        chosen[order[first]] = True
-        chosen |= ~has_sure
-        out += [(left[x][0], right[y][0]) for x, y in zip(i[chosen], j[chosen])]
+def _root(up: dict, x: int) -> int:
+    while up.get(x, x) != x:
+        up[x] = up.get(up[x], up[x])
+        x = up[x]
+    return x
+
+
+def block_links(a: list[tuple], b: list[tuple] | None, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest, as component pairs, of all links between members (component, set) of two blocks; b is None for a block with itself."""
+    same = b is None
+    b = a if same else b
+    if not a or not b:
+        return []
+    (ca, sa), (cb, sb) = ((np.array([x[0] for x in side], np.int64), [x[1] for x in side]) for side in (a, b))
+    common = _common(sa, sb)
+    union = np.array([len(x) for x in sa])[:, None] + np.array([len(x) for x in sb])[None, :] - common
+    linked = (ca[:, None] != cb[None, :]) & (common > 0) & (100 * common >= percent * union)
+    if same:
+        linked = np.triu(linked, 1)
+    i, j = np.nonzero(linked)
+    up, out = {}, []
+    for x, y in np.unique(np.stack([np.minimum(ca[i], cb[j]), np.maximum(ca[i], cb[j])], 1), axis=0).tolist():
+        p, q = _root(up, x), _root(up, y)
+        if p != q:
+            up[max(p, q)] = min(p, q)
+            out.append((x, y))
     return out
 
 
-def _open_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) for rows (bucket, parts, node, component, level, sketch); buckets are cut into `parts` blocks of members."""
-    kind = members.schema["node"].dataType.simpleString()
+def _linked_components(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): components linked by members (bucket, parts, node, component, shingles); buckets are cut into `parts` blocks."""
     block = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = members.withColumn("own", block).withColumn("other", other)
-    dealt = dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-    dealt = dealt.select("bucket", "lo", "hi", "own", "node", "component", "level", "sketch")
+    dealt = members.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "component", "shingles")
 
     def run(table: pa.Table) -> pa.Table:
         lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
-        rows = list(zip(*(table[c].to_pylist() for c in ("node", "component", "level", "sketch"))))
-        own = table["own"].to_pylist()
-        a = [r for r, o in zip(rows, own) if o == lo]
-        found = _block_pairs(a, a, True, percent) if lo == hi else _block_pairs(a, [r for r, o in zip(rows, own) if o == hi], False, percent)
-        found = sorted({(min(x), max(x)) for x in found})
-        return pa.table([pa.array([x[k] for x in found], table["node"].type) for k in (0, 1)], names=["a", "b"])
+        rows = [(c, np.frombuffer(s, "<u8"), o) for c, s, o in zip(*(table[c].to_pylist() for c in ("component", "shingles", "own")))]
+        left = [r[:2] for r in rows if r[2] == lo]
+        found = block_links(left, None if lo == hi else [r[:2] for r in rows if r[2] == hi], percent)
+        return pa.table([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return dealt.groupBy("bucket", "lo", "hi").applyInArrow(run, f"a {kind}, b {kind}").distinct()
+    return dealt.groupBy("bucket", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
@@ -230,8 +204,7 @@ def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
                 keep.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def _alike(pairs: DataFrame, percent: int) -> DataFrame:
@@ -244,8 +217,80 @@ def _alike(pairs: DataFrame, percent: int) -> DataFrame:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, HASHES) for c in (2, 3))
             yield batch.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= least))
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    return pairs.select("a", "b", "ga", "gb").mapInArrow(run, f"a {kind}, b {kind}")
+    return pairs.select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long")
+
+
+def _buckets(members: DataFrame, turn: int) -> DataFrame:
+    """A row for each bucket of (bucket, node, component, n_shingles) that holds several components, of those with equal members one: n, parts, leader."""
+    mark = F.xxhash64("node", F.lit(turn))
+    found = members.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.sum("n_shingles").alias("shingles"),
+        F.bit_xor(mark).alias("x"), F.bit_xor(F.xxhash64(mark)).alias("y"), F.min_by(F.col("node"), mark).alias("leader"), F.min_by(F.col("component"), mark).alias("led_by"),
+    ).where("c0 < c1")
+    one = found.groupBy("n", "x", "y").agg(*(F.min(c).alias(c) for c in ("bucket", "leader", "led_by", "shingles")))
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    return one.select("bucket", "n", parts.alias("parts"), "leader", "led_by")
+
+
+def components_of_sets(groups: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """(node, component) for the nodes of `groups` (node, first, n_shingles, bands, sig) that a link joins to another."""
+    members = groups.select("node", F.explode("bands").alias("bucket"), F.col("node").alias("component"), "n_shingles")
+    n_members = BANDS * groups.count()
+    table = written(_buckets(members, 0), "buckets")
+    active = written(joined_spread(members, table.drop("parts"), ["bucket"], n_members).where("node <> leader"), "active")
+    chosen = written(active.select("node").unionByName(table.select(F.col("leader").alias("node"))).distinct(), "chosen")
+    marks = written(groups.select("node", "n_shingles", "sig").join(chosen, "node", "left_semi"), "marks")
+    place = groups.select("node", "first").join(chosen, "node", "left_semi")
+    texts = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark")).alias("first"), F.col(text_col).alias("text"))
+    sets = written(full_sets(texts.join(place, "first").dropDuplicates(["node"]), k), "sets")
+    ma, mb = (marks.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sig").alias(f"g{x}")) for x in "ab")
+    sa, sb = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+
+    def confirmed(led: DataFrame) -> DataFrame:
+        pairs = led.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+        sized = pairs.join(ma, "a").join(mb, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        # Written: else each task would hold two Python workers, one for the signatures and one for the sets.
+        alike = written(_alike(sized, percent), "alike")
+        return written(_confirmed(alike.join(sa, "a").join(sb, "b"), percent), "links")
+
+    stars, turn, before = connected_components(confirmed(active)), 0, None
+    rest = active.select("bucket", "node", "n_shingles")
+    while True:
+        named = rest.join(stars, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        turn += 1
+        table = written(_buckets(named, turn), "buckets")
+        size = table.agg(F.count("*").alias("buckets"), F.sum("n").alias("n"), F.max("parts").alias("parts")).first()
+        if not size["buckets"]:
+            return stars
+        rest = written(joined_spread(named, table, ["bucket"], rest.count()), "rest")
+        if size["parts"] == 1 or (before is not None and 2 * size["n"] > before):
+            break
+        before = size["n"]
+        more = confirmed(rest.where("component <> led_by"))
+        stars = _merged(stars, _between(more, stars))
+        rest = rest.where("node <> leader").select("bucket", "node", "n_shingles")
+    open_members = rest.select("bucket", "parts", "node", "component").join(sets, "node")
+    return _merged(stars, written(_linked_components(open_members, percent), "links"))
+
+
+def _between(links: DataFrame, stars: DataFrame) -> DataFrame:
+    """The components that links (a, b) join."""
+    for side in ("a", "b"):
+        links = links.join(stars.withColumnsRenamed({"node": side}), side, "left").withColumn(side, F.coalesce("component", side)).drop("component")
+    return written(links.where("a <> b").distinct(), "between")
+
+
+def _merged(stars: DataFrame, links: DataFrame) -> DataFrame:
+    """stars (node, component) with the components joined that links (a, b) between components name."""
+    if links.isEmpty():
+        return stars
+    larger = connected_components(links).select(F.col("node").alias("component"), F.col("component").alias("larger"))
+    counts = larger.join(stars.groupBy("component").agg(F.count("*").alias("n")), "component", "left").fillna(1, "n")
+    counts = written(counts, "merged")
+    moved = joined_spread(stars, counts, ["component"], stars.count(), "left").select("node", F.coalesce("larger", "component").alias("component"))
+    # Components of one node have no row in stars yet.
+    single = counts.select(F.col("component").alias("node"), F.col("larger").alias("component")).join(stars.select("node"), "node", "left_anti")
+    return written(moved.unionByName(single), "stars")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
@@ -255,59 +300,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that the row's own text reaches no smaller one. Null and blank texts have no shingles and link nothing. Rows that
     repeat an id count as one document and link whatever their texts link, but each is kept by its own text, so that of
     like texts one stays; rows without an id are kept, in no component (null). An empty table stays empty; other columns
-    are ignored.
+    are ignored, whatever their names.
     """
-    return near_rows(docs, id_col, text_col, k, percent).drop("mark")
-
-
-def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of near_duplicates with mark, a hash of the text that tells rows of one id apart."""
-    sigs = written(signatures(docs, id_col, text_col, k), "signatures")
-    full = sigs.where("id is not null and n_shingles > 0")
-    groups = full.groupBy("fa", "fb").agg(F.min("id").alias("node"))
-    nodes = full.join(groups.withColumnRenamed("node", "id"), ["fa", "fb", "id"], "left_semi").dropDuplicates(["id", "fa", "fb"])
-    members = nodes.select(F.col("id").alias("node"), F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
-    active = written(members.join(shared, "bucket"), "buckets")
-    chosen = active.select("node").distinct()
-    marks = nodes.select(F.col("id").alias("node"), "n_shingles", "sig").join(chosen, "node", "left_semi")
-    marks = written(marks, "marks")
-    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(chosen, "node", "left_semi")
-    sets = written(full_sets(texts.dropDuplicates(["node", "text"]), k), "sets")
-    ma, mb = (marks.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sig").alias(f"g{x}")) for x in "ab")
-    sa, sb = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        sized = pairs.join(ma, "a").join(mb, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        # Written: else each task would hold two Python workers, one for the signatures and one for the sets.
-        alike = written(_alike(sized, percent), "alike")
-        return _confirmed(alike.join(sa, "a").join(sb, "b"), percent)
-
-    leader = F.min_by("node", F.xxhash64("node")).alias("leader")
-    led = written(active.join(active.groupBy("bucket").agg(leader), "bucket").where("node <> leader"), "led")
-    pairs = led.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-    links = written(confirmed(pairs), "links")
-    stars = connected_components(links)
-    rest = led.select("bucket", "node").join(stars, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    several = several.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    open_members = rest.join(several, "bucket").join(sets.select("node", "level", "sketch"), "node")
-    more = written(confirmed(_open_pairs(open_members, percent)), "links")
-    if not more.isEmpty():
-        stars = connected_components(links.unionByName(more))
-    for used in (active, led, marks, sets):
-        dropped(used)
-    out = sigs.select("id", "mark", "n_shingles", "fa", "fb").join(groups, ["fa", "fb"], "left")
-    has_set = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
-    out = out.withColumn("node", F.when(has_set, F.col("node")).otherwise(F.col("id"))).join(stars, "node", "left")
-    out = out.withColumn("least", F.when(has_set, F.coalesce("component", "node")).otherwise(F.col("id"))).drop("component")
-    # Ids that stand for several texts link those texts' components.
+    out = near_rows(docs, id_col, text_col, k, percent)
     reused = out.groupBy("id").agg(F.min("least").alias("lo"), F.max("least").alias("hi")).where("lo < hi").select("id")
     reused = written(out.join(reused, "id").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct(), "reused")
     if reused.isEmpty():
         out = out.withColumn("component_id", F.col("least"))
     else:
+        # Ids that stand for several texts link those texts' components.
         joined = connected_components(reused).withColumnsRenamed({"node": "least"})
-        out = out.join(joined, "least", "left").withColumn("component_id", F.coalesce("component", "least"))
+        counts = written(out.groupBy("least").agg(F.count("*").alias("n")).join(joined, "least"), "reused")
+        there = joined_spread(out.where("least is not null"), counts, ["least"], out.count(), "left")
+        out = there.unionByName(out.where("least is null"), allowMissingColumns=True).withColumn("component_id", F.coalesce("component", "least"))
     kept = F.coalesce(F.col("id") == F.col("least"), F.lit(True))
-    return out.select(F.col("id").alias(id_col), "mark", "n_shingles", "component_id", kept.alias("kept"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", kept.alias("kept"))
+
+
+def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
+    """(id, n_shingles, least) for each row: least is the smallest id that the row's text reaches, its own where it has no words."""
+    sigs = written(signatures(docs, id_col, text_col, k), "signatures")
+    full = sigs.where("id is not null and n_shingles > 0")
+    same = full.groupBy("fa", "fb").agg(
+        F.min(F.struct("id", "mark")).alias("first"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"),
+    ).withColumn("node", F.monotonically_increasing_id())
+    groups = written(same, "groups")
+    stars = components_of_sets(groups, docs, id_col, text_col, k, percent)
+    named = groups.select("node", "fa", "fb", "n", "first.id").join(stars, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = written(named, "named")
+    least = written(named.groupBy("component").agg(F.min("id").alias("least"), F.count("*").alias("n")), "least")
+    sets = joined_spread(named.withColumnRenamed("n", "rows"), least, ["component"], named.count()).select("fa", "fb", "least", F.col("rows").alias("n"))
+    sets = written(sets, "least-of-sets")
+    out = joined_spread(full.select("id", "n_shingles", "fa", "fb"), sets, ["fa", "fb"], sigs.count()).select("id", "n_shingles", "least")
+    blank = sigs.where("id is null or n_shingles = 0").select("id", "n_shingles", F.col("id").alias("least"))
+    return written(out.unionByName(blank), "least-of-rows")

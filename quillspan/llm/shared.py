@@ -32,6 +32,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+SPREAD = 4096
+
+
+def joined_spread(rows: DataFrame, table: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
+    """rows joined with table, which has each key once and `n`, the number of its rows; how is inner or left.
+
+    Keys with more than total/SPREAD rows, of which there are fewer than SPREAD, are broadcast, so that their rows stay
+    where they are; all others are shuffled, and none of them fills a task. n isn't in the result.
+    """
+    often = F.col("n") * SPREAD > total
+    hot = F.broadcast(table.where(often).drop("n"))
+    rare = rows.join(hot.select(*keys), keys, "left_anti").join(table.where(~often).drop("n"), keys, how)
+    return rows.join(hot, keys).unionByName(rare)
+
+
 def dropped(df: DataFrame | None) -> None:
     """Deletes the files of a table that written() made and that no plan needs any more."""
     path = getattr(df, "_written_path", None)
@@ -41,6 +56,14 @@ def dropped(df: DataFrame | None) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or a longer one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def extended(df: DataFrame, ddl: str) -> T.StructType:
     """df's schema with further columns."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])

@@ -73,9 +73,67 @@ def test_evidence_is_fused(spark):
     assert got[0]["language"] == "en" and got[100]["language"] == "de" and got[0]["posterior"] > 0.99
     assert got[200]["language"] == "de" and got[201]["language"] == "en"
     assert got[203]["rejected"] and got[204]["rejected"] and got[203]["language"] == "und"
+    assert got[0]["text_language"] == "en" and got[200]["posterior"] > 0.5
     assert langid.identified(evidence(spark, []), m).count() == 0
 
 
+def test_posterior_matches_a_plain_form(spark):
+    """Bayes' rule by hand, from counts of the texts' own languages."""
+    m, names = model(), ["de", "en"]
+    rng = random.Random(3)
+    hosts = [("a.x.de", "x.de", "de"), ("b.x.de", "x.de", "de"), ("c.com", "c.com", "com"), (None, None, None)]
+    texts = ["theofing andthe", "cheung dereinche", "ofung", "the", "?!", None, "x" * 400]
+    rows = []
+    for i in range(120):
+        host = rng.choice(hosts)
+        rows.append((i, rng.choice(texts), rng.choice(["de", "en", "xx", None]), *host, rng.choice([None, "de"])))
+    got = {r["id"]: r for r in langid.identified(evidence(spark, rows), m).collect()}
+    seen = {}
+    for r in rows:
+        (_, buf, offs), *_ = list(bk.blocks(pa.array([r[1] or ""], pa.large_string()))) or [(0, np.zeros(0, np.uint8), np.array([0, 0]))]
+        n, ll, far = (x[0] for x in m.log_likelihoods(buf, offs))
+        seen[r[0]] = (n, ll * n**langid.POWER, far, names[int(ll.argmax())] if n and not far else None)
+    count = lambda key: np.array([sum(1 for r in rows if key(r) and seen[r[0]][3] == x) for x in names], float)
+    strength = langid.STRENGTH
+    for r in rows:
+        n, ll, far, _ = seen[r[0]]
+        prior = (count(lambda q: q[3] is not None) + strength / 2) / (count(lambda q: q[3] is not None).sum() + strength)
+        if r[3] is None:
+            prior = np.array([0.5, 0.5])
+        else:
+            for k in (5, 4, 3):
+                c = count(lambda q: q[k] == r[k])
+                prior = (c + strength * prior) / (c.sum() + strength)
+        score = ll + np.log(prior)
+        for k in (2, 6):
+            if r[k] is not None:
+                c, total = count(lambda q: q[k] == r[k]), count(lambda q: q[k] is not None)
+                share = (c.sum() + 1) / (total.sum() + 1)
+                score = score + np.log((c + strength * share) / (total + strength))
+        p = np.exp(score - score.max()) / np.exp(score - score.max()).sum()
+        gone = not (r[1] or "").strip() or far or (n == 0 and r[2] is None and r[6] is None) or p.max() < 0.5
+        assert got[r[0]]["rejected"] == gone
+        assert abs(got[r[0]]["posterior"] - p.max()) < 1e-9
+        assert got[r[0]]["language"] == ("und" if gone else names[int(p.argmax())])
+
+
+def test_clashing_names_are_kept(spark):
+    rows = evidence(spark, [(1, "theofing andthe", "en", "a", "a", "", None), (2, None, None, None, None, None, None)])
+    more = [F.lit(7).alias(c) for c in ("_h", "prior", "n_grams", "text_ll", "declared_ll", "_s", "_top", "text_lang", "rest", "score", "top", "n", "foreign")]
+    got = langid.identified(rows.select("*", *more), model())
+    assert set(got.columns) == {*rows.columns, "language", "posterior", "text_language", "rejected", "_h", "prior", "n_grams", "text_ll", "declared_ll", "_s", "_top", "text_lang", "rest", "score", "top", "n", "foreign"} - {"text"}
+    assert all(r["prior"] == r["top"] == r["text_lang"] == 7 for r in got.collect()) and got.count() == 2
+
+
+def test_texts_of_no_known_language_are_rejected(spark):
+    rng = random.Random(8)
+    m = model()
+    junk = [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(7)) for _ in range(60)), "".join(rng.choice("0123456789abcdef") for _ in range(600)), "Все люди рождаются свободными и равными " * 4]
+    mixed = "theofing andthe ingof cheung dereinche ungder " * 8
+    got = {r["id"]: r for r in langid.identified(evidence(spark, [(i, t, "en", "a", "a", "", None) for i, t in enumerate([*junk, mixed])]), m).collect()}
+    assert [got[i]["rejected"] for i in range(4)] == [True, True, True, False] and got[0]["text_language"] is None
+
+
 def test_host_priors_are_drawn_to_their_surroundings(spark):
     rows = spark.createDataFrame([("h1.x.de", "x.de", "de", "de")] * 40 + [("h2.x.de", "x.de", "de", "en")] + [("h3.y.com", "y.com", "com", "en")] * 40, "host string, parent string, suffix string, text_lang string")
     prior = {r["host"]: r["prior"] for r in langid._prior_table(rows, ["de", "en"]).collect()}

@@ -4,7 +4,8 @@ import re
 import numpy as np
 
 from quillspan.llm.components import connected_components
-from quillspan.llm.minhash import _block_pairs, near_duplicates, sketch
+from quillspan.llm import minhash
+from quillspan.llm.minhash import block_links, near_duplicates
 
 
 def brute(rows):
@@ -59,24 +60,81 @@ def test_empty(docs_of):
     assert near_duplicates(docs_of([])).collect() == []
 
 
-def test_blocks_find_every_open_component_pair():
+def _groups(pairs, names):
+    up = {x: x for x in names}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for x, y in pairs:
+        up[max(root(x), root(y))] = min(root(x), root(y))
+    return {x: root(x) for x in names}
+
+
+def test_blocks_link_every_open_component():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 300).astype(np.uint64)
     members = []
     for k in range(40):
         s = base.copy()
         s[rng.integers(0, 300, k)] = rng.integers(0, 2**63, k).astype(np.uint64)
-        s = np.unique(s)
-        members.append((k, k, *sketch(s), set(s.tolist())))
-    found = {tuple(sorted(x)) for x in _block_pairs([m[:4] for m in members], [m[:4] for m in members], True, 75)}
-    want = {(a[0], b[0]) for a in members for b in members if a[0] < b[0] and 100 * len(a[4] & b[4]) >= 75 * len(a[4] | b[4])}
-    assert found == want
-
-
-def test_thin_sketches_stay_comparable():
-    x = np.random.default_rng(2).integers(0, 2**63, 30000).astype(np.uint64)
-    level, small = sketch(x)
-    assert level == 3 and 0 < len(small) // 4 <= 4096
+        members.append((k // 2, np.unique(s)))
+    sets = [(c, set(x.tolist())) for c, x in members]
+    like = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    want = _groups([(a[0], b[0]) for a in sets for b in sets if a[0] < b[0] and like(a[1], b[1])], range(20))
+    found = block_links(members, None, 75)
+    assert _groups(found, range(20)) == want and len(found) == 20 - len(set(want.values()))
+    across = block_links(members[:25], members[25:], 75)
+    assert _groups(across, range(20)) == _groups([(a[0], b[0]) for a in sets[:25] for b in sets[25:] if like(a[1], b[1])], range(20))
+    assert block_links([], None, 75) == []
+
+
+def test_long_texts_at_the_threshold(docs_of):
+    words = [f"w{i}" for i in range(20004)]
+    # 20,000 shingles, of which the copies share 17,143 or 17,142 with the first: just above and just below 75 of 100.
+    rows = [(1, " ".join(words)), (2, " ".join(words[:17147] + [f"x{i}" for i in range(2857)])), (3, " ".join(words[:17146] + [f"y{i}" for i in range(2858)]))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(docs_of(rows)).collect()}
+    assert got == {1: (20000, 1), 2: (20000, 1), 3: (20000, 3)} == {i: x[:2] for i, x in brute(rows).items()}
+
+
+def chain(n, size=400, step=20):
+    """Texts of a sliding window over one word list: each is near only those close by, and all share buckets with many."""
+    return [(i, " ".join(f"w{j}" for j in range(i * step, i * step + size))) for i in range(n)]
+
+
+def test_large_buckets_of_many_components(docs_of, monkeypatch):
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(60)]
+    # 2,000 texts that share half of their words: one bucket or more holds them all, few are near each other.
+    rows = [(i, " ".join(common + [f"u{i}-{j}" for j in range(rng.choice([4, 50, 60]))])) for i in range(2000)]
+    want = brute_fast(rows)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs_of(rows)).collect()}
+    assert got == want
+    rows = chain(60)
+    want = {i: x[1] for i, x in brute(rows).items()}
+    for block in (512, 8):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        assert {r["doc_id"]: r["component_id"] for r in near_duplicates(docs_of(rows)).collect()} == want
+
+
+def brute_fast(rows):
+    """Components of texts that share one common part and are else distinct: linked if the common part is large enough in both."""
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    shared = set.intersection(*sets.values())
+    sizes = {i: len(s) for i, s in sets.items()}
+    pairs = [(a, b) for a in sizes for b in sizes if a < b and 100 * len(shared) >= 75 * (sizes[a] + sizes[b] - len(shared))]
+    return _groups(pairs, list(sizes))
+
+
+def test_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, 5, 6, 7), (2, text + " x", 5, 6, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id long, mark long, n long")
+    assert sorted((r["doc_id"], r["component_id"]) for r in near_duplicates(docs).collect()) == [(1, 1), (2, 1)]
+    by_text = spark.createDataFrame([(str(r[0]), r[1]) for r in rows], "node string, text string")
+    assert sorted((r["node"], r["component_id"]) for r in near_duplicates(by_text, "node").collect()) == [("1", "1"), ("2", "1")]
 
 
 def test_components(spark):
