@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspan.llm.shared import written
+from quillspan.llm.shared import fresh, written
 
 ROUNDS = 6
 PRIME = (1 << 31) - 1
@@ -88,22 +88,24 @@ def with_row_numbers(df: DataFrame, order: list[Column], number_col: str = "row_
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     in_range = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    dealt = written(dealt.withColumns({"_range": F.spark_partition_id(), "_in_range": in_range}), "numbered")
-    counts = sorted((r["_range"], r["count"]) for r in dealt.groupBy("_range").count().collect())
+    # The caller's columns stand apart from the three that are added.
+    dealt = written(dealt.select(F.struct(*df.columns).alias("row"), F.spark_partition_id().alias("range"), in_range.alias("nth")), "numbered")
+    counts = sorted((r["range"], r["count"]) for r in dealt.groupBy("range").count().collect())
     starts, total = [], 0
     for part, count in counts:
         starts.append((part, total))
         total += count
-    offsets = spark.createDataFrame(starts, "_range int, _start long")  # a row for each range: bounded by the partitions
-    numbered = dealt.join(F.broadcast(offsets), "_range").withColumn(number_col, F.col("_start") + F.col("_in_range"))
-    return numbered.drop("_range", "_in_range", "_start"), total
+    offsets = spark.createDataFrame(starts, "range int, start long")  # a row for each range: bounded by the partitions
+    numbered = dealt.join(F.broadcast(offsets), "range")
+    columns = [F.col("row").getField(c).alias(c) for c in df.columns if c != number_col]
+    return numbered.select(*columns, (F.col("start") + F.col("nth")).alias(number_col)), total
 
 
 def shuffled_shards(df: DataFrame, shards: int, order: list[Column], seed: int = 17) -> DataFrame:
     """df with row_number, shard and slot: a reproducible shuffle dealt into `shards` shards of sizes at most one apart.
 
     The result depends on the rows and the seed only, not on partitions or files. Any column may be null and rows may
-    repeat; an empty table stays empty. Columns named row_number, shard or slot are replaced.
+    repeat; an empty table stays empty. Columns named row_number, shard or slot are replaced, all others are kept.
     """
     base = df.drop("row_number", "shard", "slot")
     numbered, total = with_row_numbers(base, order)
@@ -113,8 +115,9 @@ def shuffled_shards(df: DataFrame, shards: int, order: list[Column], seed: int =
         for rows in batches:
             yield pd.Series(permuted(rows.to_numpy(), total, seed))
 
-    placed = numbered.withColumn("_position", position("row_number"))
-    return placed.withColumns({"shard": F.pmod("_position", F.lit(shards)).cast("int"), "slot": F.expr(f"_position div {shards}")}).drop("_position")
+    at = fresh(numbered, "position")
+    placed = numbered.withColumn(at, position("row_number"))
+    return placed.withColumns({"shard": F.pmod(at, F.lit(shards)).cast("int"), "slot": ((F.col(at) - F.pmod(at, F.lit(shards))) / shards).cast("long")}).drop(at)
 
 
 def shard_report(docs: DataFrame, shards: int = 16, seed: int = 17) -> DataFrame:

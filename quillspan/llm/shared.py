@@ -11,21 +11,38 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a temporary one of a local session."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = jvm_dir.get() if jvm_dir.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quillspan-"))
         path = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return path.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder of written tables in the shared one."""
+    return f"{shared_dir(spark)}/quillspan-{spark.sparkContext.applicationId}"
+
+
+def cleared(spark: SparkSession) -> None:
+    """Deletes all tables that this application's operators have written; their results can't be read any more."""
+    _delete(spark, own_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read again: later plans start from the files, whoever is lost."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
@@ -42,7 +59,10 @@ def joined_spread(rows: DataFrame, table: DataFrame, keys: list[str], total: int
     where they are; all others are shuffled, and none of them fills a task. n isn't in the result.
     """
     often = F.col("n") * SPREAD > total
-    hot = F.broadcast(table.where(often).drop("n"))
+    hot = table.where(often).drop("n")
+    # A row without keys meets nothing; with it the plan is of one form for all tables.
+    blank = table.sparkSession.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in hot.schema.fields))
+    hot = F.broadcast(hot.unionByName(blank))
     rare = rows.join(hot.select(*keys), keys, "left_anti").join(table.where(~often).drop("n"), keys, how)
     return rows.join(hot, keys).unionByName(rare)
 
@@ -51,9 +71,7 @@ def dropped(df: DataFrame | None) -> None:
     """Deletes the files of a table that written() made and that no plan needs any more."""
     path = getattr(df, "_written_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -39,3 +39,11 @@ def test_same_whatever_the_partitions(docs_of):
 def test_edges(edges, docs_of):
     assert shard_report(edges).count() == 9
     assert shard_report(docs_of([])).count() == 0
+
+
+def test_columns_of_any_name_are_kept(docs_of):
+    names = ["_range", "_in_range", "_start", "_position", "range", "nth", "start", "position", "row"]
+    docs = docs_of([(i, "t") for i in range(20)]).selectExpr("doc_id", *(f"'own' as {n}" for n in names), "1 as shard")
+    got = shuffled_shards(docs, 3, ["doc_id"]).collect()
+    assert set(got[0].asDict()) == {"doc_id", *names, "row_number", "shard", "slot"}
+    assert all(r[n] == "own" for r in got for n in names) and sorted(r["row_number"] for r in got) == list(range(20))
