@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quillspan.llm import bytekernel as bk
-from quillspan.llm.shared import extended, written
+from quillspan.llm.shared import extended, joined_spread, written
 
 GEAR = (bk.byte_values(0x6EA2) >> np.uint64(40)).astype(np.uint16)
 CUT_BITS = np.uint16(0x1F << 11)
@@ -26,6 +26,7 @@ SNAP = 24  # bytes within which a cut looks for white space
 _digest_a, _digest_b = bk.byte_values(0xA11CE), bk.byte_values(0xB0B)
 CHANCE = 8  # bytes at an edge that may agree by chance
 WINDOW = 64  # places among which one is taken; a power of two
+LOOK, OFTEN, SALTS = 0.02, 4096, 64  # share of rows looked at for frequent windows, at most so many of those, and parts that each is dealt into
 _letter = [x >= 0x80 or chr(x).isalnum() for x in range(256)]
 _white = ~bk.class_table(bytes([0x20, *range(0x09, 0x0E)]))
 
@@ -116,13 +117,31 @@ def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run
     return base.mapInArrow(digests, f"id {kind}, mark long, at int, da long, db long")
 
 
-def repeated(pieces: DataFrame, run: int) -> DataFrame:
-    """(id, mark, at, fid, fmark, fat): the windows that stand earlier, and their first occurrence; none overlaps its own."""
-    order = W.partitionBy("da", "db").orderBy("id", "mark", "at").rowsBetween(W.unboundedPreceding, W.currentRow)
-    first = pieces.withColumn("first", F.first(F.struct("id", "mark", "at")).over(order))
-    first = first.select("id", "mark", "at", F.col("first.id").alias("fid"), F.col("first.mark").alias("fmark"), F.col("first.at").alias("fat"))
-    same = F.col("id").eqNullSafe(F.col("fid")) & (F.col("mark") == F.col("fmark"))
-    return first.where(~same | (F.col("at") - F.col("fat") >= run)).distinct()
+def frequent(docs: DataFrame, id_col: str, text_col: str, run: int) -> DataFrame:
+    """(da, db) of windows that a part of the rows shows to be frequent, fewer than OFTEN; they only decide where rows are put."""
+    seen = windows(docs.select(id_col, text_col).sample(False, LOOK, 11), id_col, text_col, run).groupBy("da", "db").agg(F.count("*").alias("n"))
+    seen = written(seen.where("n > 3"), "frequent")
+    total = seen.agg(F.sum("n")).first()[0] or 0  # one number
+    return seen.where(F.col("n") * OFTEN > total).select("da", "db")
+
+
+def repeated(pieces: DataFrame, often: DataFrame, run: int) -> DataFrame:
+    """(id, mark, at, fid, fmark, fat): the windows that stand earlier, and their first occurrence; none overlaps its own.
+
+    Rows of the windows in `often` (da, db; few enough to broadcast) are dealt into SALTS parts, whose first occurrences are
+    then compared.
+    """
+    blank = often.sparkSession.range(1).select(*(F.lit(None).cast("long").alias(c) for c in ("da", "db")))
+    marked = pieces.join(F.broadcast(often.unionByName(blank).withColumn("often", F.lit(True))), ["da", "db"], "left")
+    marked = marked.withColumn("salt", F.when(F.col("often"), F.pmod(F.xxhash64("id", "mark", "at"), F.lit(SALTS))).otherwise(F.lit(0)))
+    order = W.partitionBy("da", "db", "salt").orderBy("id", "mark", "at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    first = marked.withColumn("first", F.first(F.struct("id", "mark", "at")).over(order))
+    same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark"))
+    later = ~same | (F.col("at") - F.col("first.at") >= run)
+    first = written(first.where(F.coalesce("often", F.lit(False)) | later).select("da", "db", "often", "id", "mark", "at", "first"), "repeated")
+    whole = first.where("often").groupBy("da", "db").agg(F.min("first").alias("whole"))  # a row for each frequent window
+    first = first.join(F.broadcast(whole), ["da", "db"], "left").withColumn("first", F.coalesce("whole", "first")).where(later)
+    return first.select("id", "mark", "at", F.col("first.id").alias("fid"), F.col("first.mark").alias("fmark"), F.col("first.at").alias("fat")).distinct()
 
 
 def segments(later: DataFrame, run: int) -> DataFrame:
@@ -140,13 +159,14 @@ def extensions(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) ->
 
     WINDOW bytes to each side are compared: if more agreed, another window would stand there. Only these bytes move.
     """
-    # An edge is twice its place, and one more where the bytes behind it are compared.
-    left, right = (found.select("id", "mark", "fid", "fmark", (F.col(c) * 2 + k).alias("edge"), ((F.col(c) - F.col("shift")) * 2 + k).alias("fedge")) for k, c in enumerate(("start", "end")))
+    # An edge is twice its place, and one more where the bytes behind it are compared. doc and fdoc are (id, mark).
+    doc, fdoc = F.struct("id", "mark").alias("doc"), F.struct(F.col("fid").alias("id"), F.col("fmark").alias("mark")).alias("fdoc")
+    left, right = (found.select(doc, fdoc, (F.col(c) * 2 + k).alias("edge"), ((F.col(c) - F.col("shift")) * 2 + k).alias("fedge")) for k, c in enumerate(("start", "end")))
     edges = left.unionByName(right)
-    wanted = edges.select("id", "mark", "edge").unionByName(edges.select(F.col("fid").alias("id"), F.col("fmark").alias("mark"), F.col("fedge").alias("edge")))
-    wanted = wanted.groupBy("id", "mark").agg(F.collect_set("edge").alias("edges")).withColumnsRenamed({"id": "_id", "mark": "_mark2"})
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    asked = base.join(wanted, base["id"].eqNullSafe(wanted["_id"]) & (base["mark"] == wanted["_mark2"])).select("id", "mark", "text", "edges")
+    wanted = edges.select("doc", "edge").unionByName(edges.select(F.col("fdoc").alias("doc"), F.col("fedge").alias("edge")))
+    wanted = wanted.groupBy("doc").agg(F.collect_set("edge").alias("edges"))
+    base = docs.select(F.col(id_col).alias("id"), F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark")).alias("doc"), F.col(text_col).alias("text"))
+    asked = base.join(wanted, "doc").select("id", F.col("doc.mark").alias("mark"), "text", "edges")
     kind = base.schema["id"].dataType.simpleString()
 
     def around(batches):
@@ -162,24 +182,28 @@ def extensions(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) ->
             rows = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at, pa.int32()), pa.array(near, pa.binary())], names=["id", "mark", "edge", "near"])
 
-    near = asked.mapInArrow(around, f"id {kind}, mark long, edge int, near binary").dropDuplicates(["id", "mark", "edge"])
+    near = asked.mapInArrow(around, f"id {kind}, mark long, edge int, near binary").select(doc, "edge", "near").dropDuplicates(["doc", "edge"])
     near = written(near, "near")
-    own = near.withColumnsRenamed({"id": "_id", "mark": "_mark2", "edge": "_edge", "near": "a"})
-    edges = edges.join(own, edges["id"].eqNullSafe(own["_id"]) & (edges["mark"] == own["_mark2"]) & (edges["edge"] == own["_edge"])).drop("_id", "_mark2", "_edge")
-    first = near.withColumnsRenamed({"id": "_id", "mark": "_mark2", "edge": "_edge", "near": "b"})
-    edges = edges.join(first, edges["fid"].eqNullSafe(first["_id"]) & (edges["fmark"] == first["_mark2"]) & (edges["fedge"] == first["_edge"]))
+    edges = written(edges.join(near.withColumnRenamed("near", "a"), ["doc", "edge"]), "edges")
+    here = ["fdoc", "fedge"]
+    first = near.select(F.col("doc").alias("fdoc"), F.col("edge").alias("fedge"), F.col("near").alias("b"))
+    first = written(edges.groupBy(*here).agg(F.count("*").alias("n")).join(first, here), "first")
+    total = edges.count()
+    edges = joined_spread(edges, first, here, total)
 
     def agreed(batches):
         for batch in batches:
-            size = np.array([common(a, b) for a, b in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist())], np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(size)], names=["id", "mark", "edge", "fid", "fmark", "fedge", "size"])
+            size = np.array([common(a, b) for a, b in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist())], np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(size)], names=["id", "mark", "edge", "first", "fedge", "size"])
 
-    edges = edges.select("id", "mark", "edge", "fid", "fmark", "fedge", "a", "b")
-    sized = edges.mapInArrow(agreed, f"id {kind}, mark long, edge int, fid {kind}, fmark long, fedge int, size int")
+    # A first text's place stands as one number for its edge, to which the sizes' counts are joined.
+    edges = edges.select("doc.id", "doc.mark", "edge", F.xxhash64("fdoc").alias("first"), "fedge", "a", "b")
+    sized = written(edges.mapInArrow(agreed, f"id {kind}, mark long, edge int, first long, fedge int, size int"), "sized")
     # A word more than most later texts share with this edge has come to stand there by chance.
-    here = ["fid", "fmark", "fedge"]
-    sized = sized.withColumn("votes", F.count("*").over(W.partitionBy(*here, "size")))
-    sized = sized.withColumn("most", F.max(F.struct("votes", "size")).over(W.partitionBy(*here)))
+    votes = written(sized.groupBy("first", "fedge", "size").agg(F.count("*").alias("n")), "votes")
+    most = votes.groupBy("first", "fedge").agg(F.max(F.struct(F.col("n").alias("votes"), "size")).alias("most"))
+    votes = written(votes.join(most, ["first", "fedge"]), "votes").withColumn("votes", F.col("n"))
+    sized = joined_spread(sized, votes, ["first", "fedge", "size"], total)
     chance = (F.col("votes") < F.col("most.votes")) & (F.col("size") - F.col("most.size")).between(1, CHANCE)
     sized = sized.withColumn("size", F.when(chance, F.col("most.size")).otherwise(F.col("size"))).where("size > 0")
     place = (F.col("edge") / 2).cast("int")
@@ -228,31 +252,33 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     The first occurrence, by id, text hash and place, stays whole (rows without an id come first). Rows that agree in id
     and text are one document: they are cut alike, each only against others. Null texts stay null, empty ones empty; an
-    empty table stays empty. Columns named as the three new ones are replaced.
+    empty table stays empty. Columns named as the three new ones are replaced, all others are kept whatever their names.
     """
     made = ["n_repeated", "removed_spans", "removed_bytes"]
     rest = [c for c in docs.columns if c not in made]
     if run < 16:
         raise ValueError("run must be at least the 16 bytes of a gear hash")
-    later = segments(repeated(windows(docs, id_col, text_col, run), run), run)
+    often = frequent(docs, id_col, text_col, run)
+    later = segments(repeated(windows(docs, id_col, text_col, run), often, run), run)
     later = written(later, "segments")
     more = extensions(docs, later, id_col, text_col).withColumn("n", F.lit(0).cast("long"))
     spans = later.select("id", "mark", "start", "end", "n").unionByName(more)
-    spans = spans.groupBy("id", "mark").agg(F.collect_set(F.struct(F.col("start").alias("at"), F.col("end").alias("to"))).alias("_spans"), F.sum("n").cast("int").alias("_n"))
-    base = docs.select(*rest, F.xxhash64(text_col).alias("_mark"))
-    spans = spans.withColumnsRenamed({"id": "_id", "mark": "_mark2"})
-    found = base.join(spans, base[id_col].eqNullSafe(spans["_id"]) & (base["_mark"] == spans["_mark2"]), "left").select(*rest, "_spans", "_n")
-    schema = extended(docs.select(*rest), "n_repeated int, removed_spans array<struct<start:int,end:int>>, removed_bytes long")
+    spans = spans.groupBy("id", "mark").agg(F.collect_set(F.struct(F.col("start").alias("at"), F.col("end").alias("to"))).alias("spans"), F.sum("n").cast("int").alias("n"))
+    spans = spans.select(F.struct("id", "mark").alias("doc"), "spans", "n")
+    # The other columns travel as one, so that none can clash.
+    others = [c for c in rest if c != text_col]
+    base = docs.select(F.struct(*others).alias("others"), F.col(text_col).alias("text"), F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark")).alias("doc"))
+    found = base.join(spans, "doc", "left").select("others", "text", "spans", "n")
+    schema = extended(base.select("others", "text"), "n_repeated int, removed_spans array<struct<start:int,end:int>>, removed_bytes long")
     pair = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def cut(batches):
-        place = rest.index(text_col)
         for batch in batches:
-            n, runs, gone, texts = batch.column(len(rest) + 1).fill_null(0), [], [], {}
-            for i, s in enumerate(batch.column(len(rest)).to_pylist()):
+            n, runs, gone, texts, whole = batch.column(3).fill_null(0), [], [], {}, batch.column(1)
+            for i, s in enumerate(batch.column(2).to_pylist()):
                 keep = merged_runs([(x["at"], x["to"]) for x in s or ()], run)
                 if keep:
-                    raw, at, left = batch.column(place)[i].as_py().encode(), 0, []
+                    raw, at, left = whole[i].as_py().encode(), 0, []
                     keep = [trimmed(raw, a, b) for a, b in keep]
                     for a, b in keep:
                         left.append(raw[at:a])
@@ -260,11 +286,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     texts[i] = b"".join([*left, raw[at:]]).decode()
                 runs.append([{"start": a, "end": b} for a, b in keep])
                 gone.append(sum(b - a for a, b in keep))
-            columns = list(batch.columns[: len(rest)])
             if texts:
                 mask = np.zeros(batch.num_rows, bool)
                 mask[list(texts)] = True
-                columns[place] = pa.compute.replace_with_mask(columns[place], pa.array(mask), pa.array(list(texts.values()), columns[place].type))
-            yield pa.RecordBatch.from_arrays([*columns, n, pa.array(runs, pair), pa.array(gone, pa.int64())], names=[*rest, *made])
+                whole = pa.compute.replace_with_mask(whole, pa.array(mask), pa.array(list(texts.values()), whole.type))
+            yield pa.RecordBatch.from_arrays([batch.column(0), whole, n, pa.array(runs, pair), pa.array(gone, pa.int64())], names=["others", "text", *made])
 
-    return found.mapInArrow(cut, schema)
+    done = found.mapInArrow(cut, schema)
+    return done.select(*(F.col("text").alias(c) if c == text_col else F.col("others").getField(c).alias(c) for c in rest), *made)

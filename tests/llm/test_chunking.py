@@ -68,3 +68,47 @@ def test_short_passages_go_whole(docs_of):
     got = {r["doc_id"]: r["text"] for r in c.substring_dedup(docs_of(rows)).collect()}
     for i, text in rows:
         assert got[i].split() == (text if i < 40 else text.replace(passages[i % 40], "")).split()
+
+
+def plain_dedup(rows, run):
+    """The bytes that may go, for each row in order: places whose `run` bytes stand in an earlier text, or before them."""
+    seen, out = set(), {}
+    for i, text in rows:
+        raw = text.encode()
+        here = {}
+        for k in range(len(raw) - run + 1):
+            here.setdefault(raw[k : k + run], k)
+        old = [k for k in range(len(raw) - run + 1) if raw[k : k + run] in seen or k - here[raw[k : k + run]] >= run]
+        may = set()
+        for k in old:
+            may.update(range(k, k + run))
+        out[i] = may
+        seen.update(raw[k : k + run] for k in range(len(raw) - run + 1))
+    return out
+
+
+def test_what_is_cut_stands_earlier(docs_of, monkeypatch):
+    """Against all byte windows: nothing is cut but what has stood in an earlier text, and of long repeats all but edges is cut."""
+    rng = random.Random(21)
+    shared = [prose(rng, n) for n in (70, 90, 120, 12)]
+    rows = []
+    for i in range(60):
+        parts = [prose(rng, rng.randrange(10, 60))]
+        for _ in range(rng.randrange(3)):
+            parts += [rng.choice(shared), prose(rng, rng.randrange(5, 40))]
+        rows.append((i, " ".join(parts)))
+    may = plain_dedup(rows, 96)
+    for look in (0.02, 1.0):
+        monkeypatch.setattr(c, "LOOK", look)
+        got = {r["doc_id"]: r for r in c.substring_dedup(docs_of(rows)).collect()}
+        for i, text in rows:
+            gone = {k for s in got[i]["removed_spans"] for k in range(s["start"], s["end"])}
+            assert not gone - may[i], i
+            assert len(may[i] - gone) <= 0.12 * len(may[i]) + 2 * c.SNAP * len(got[i]["removed_spans"]), i
+
+
+def test_clashing_columns_are_kept(docs_of):
+    names = ["_mark", "_id", "_spans", "_mark2", "_n", "others", "text2", "spans", "doc", "n", "id", "mark"]
+    docs = docs_of([(1, "long enough " * 30), (2, "long enough " * 30)]).selectExpr("doc_id", "text", *(f"'own' as {n}" for n in names))
+    got = c.substring_dedup(docs).collect()
+    assert list(got[0].asDict())[: 2 + len(names)] == ["doc_id", "text", *names] and all(r[n] == "own" for r in got for n in names)
