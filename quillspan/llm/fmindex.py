@@ -10,6 +10,7 @@ sampled position, and their words merged into removal spans.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quillspan.llm import bytekernel as bk
 from quillspan.llm.bpe import gather_ranges
-from quillspan.llm.shared import extended
+from quillspan.llm.shared import extended, written
 
 SAMPLE = 8
 INDEX_SYMBOLS = 1 << 20  # an index is closed after the run in which it passes this size
@@ -241,17 +242,31 @@ def _joined(raw: bytes, words: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def phrase_blocks(bench: DataFrame, window: int, item_col: str = "item_id", text_col: str = "text") -> list:
-    """Broadcasts of the test items' windows, each of a bounded number of bytes of text; further items go into further blocks."""
-    spark = bench.sparkSession
+def phrase_parts(bench: DataFrame, item_col: str = "item_id", text_col: str = "text") -> list[DataFrame]:
+    """The test items (item, text) in parts of about PHRASE_BYTES bytes of text at most, so that each can be broadcast."""
     rows = bench.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text")).where("text is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // PHRASE_BYTES))
-    out = []
-    for k in range(n):
-        part = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else rows
-        out.append(spark.sparkContext.broadcast(phrases([(r["item"], r["text"]) for r in part.collect()], window)))
-    return out
+    return [rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else rows for k in range(n)]
+
+
+HITS = "items array<string>, hits array<struct<start:int,end:int>>"
+_pair = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def found_in(docs: DataFrame, part: DataFrame, window: int) -> DataFrame:
+    """docs (with text as the last column) without the text, with items and hits, the byte ranges of the words inside one part's windows."""
+    shared = docs.sparkSession.sparkContext.broadcast(phrases([(r["item"], r["text"]) for r in part.collect()], window))
+    rest = docs.columns[:-1]
+
+    def run(batches):
+        for batch in batches:
+            _, _, items, spans = _scan(batch.column(len(rest)), [shared])
+            named = pa.array([sorted(items.get(i, ())) for i in range(batch.num_rows)], pa.list_(pa.string()))
+            hits = pa.array([[{"start": a, "end": b} for a, b in spans.get(i, ())] for i in range(batch.num_rows)], _pair)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], named, hits], names=[*rest, "items", "hits"])
+
+    return docs.mapInArrow(run, extended(docs.select(*rest), HITS))
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", window: int = 10, cut: bool = True) -> DataFrame:
@@ -260,38 +275,52 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", win
 
     A window is `window` consecutive words of an item, or the whole item if it is shorter. Null texts have no words and
     stay null; items without words or text are in no document. Repeated items and rows change nothing. An empty bench
-    hits nothing. Columns named as the new ones are replaced.
+    hits nothing. Columns named as the new ones are replaced, all others are kept. Test items of more than PHRASE_BYTES
+    are searched part by part: one part is broadcast at a time, its hits are written, and all hits are merged.
     """
     made = ["n_words", "n_hit", "items", "removal_spans"]
     rest = [c for c in docs.columns if c not in made]
-    blocks = phrase_blocks(bench, window)
-    base = docs.select(*rest)
-    schema = extended(base, "n_words long, n_hit long, items array<string>, removal_spans array<struct<start:int,end:int>>")
-    pair = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    place = rest.index(text_col)
+    others = [c for c in rest if c != text_col]
+    whole = F.struct(*others) if others else F.lit(None).cast("boolean")
+    base = docs.select(whole.alias("others"), F.col(text_col).alias("text"))
+    parts = phrase_parts(bench)
+    if len(parts) == 1:
+        hit = found_in(base.select("others", F.col("text").alias("kept"), "text"), parts[0], window).withColumnRenamed("kept", "text")
+    else:
+        base = written(base.withColumn("place", F.monotonically_increasing_id()), "texts")
+        each = [written(found_in(base.select("place", "text"), part, window).where(F.size("hits") > 0), "hits") for part in parts]
+        merged = reduce(DataFrame.unionByName, each).groupBy("place").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("hits")).alias("hits"))
+        hit = base.join(merged, "place", "left")
+    hit = hit.select("others", "text", "items", "hits")
+    schema = extended(base.select("others", "text"), "n_words long, n_hit long, items array<string>, removal_spans array<struct<start:int,end:int>>")
 
     def run(batches):
         for batch in batches:
-            n_words, n_hit, items, spans = _scan(batch.column(place), blocks)
-            joined, texts = {}, {}
-            for i, words in spans.items():
-                raw = batch.column(place)[i].as_py().encode()
-                joined[i] = _joined(raw, words)
-                at, left = 0, []
-                for a, b in joined[i]:
-                    left.append(raw[at:a])
-                    at = b
-                texts[i] = b"".join([*left, raw[at:]]).decode()
-            columns = list(batch.columns)
-            if cut and texts:
+            texts, n_words = batch.column(1), np.zeros(batch.num_rows, np.int64)
+            for first, buf, offs in bk.blocks(texts):
+                n_words[first : first + len(offs) - 1] = np.bincount(bk.word_spans(buf, offs, _inside)[2], minlength=len(offs) - 1)
+            n_hit, joined, left = np.zeros(batch.num_rows, np.int64), [], {}
+            for i, hits in enumerate(batch.column(3).to_pylist()):
+                words = sorted({(x["start"], x["end"]) for x in hits or ()})
+                n_hit[i] = len(words)
+                spans = []
+                if words:
+                    raw, at, pieces = texts[i].as_py().encode(), 0, []
+                    spans = _joined(raw, words)
+                    for a, b in spans:
+                        pieces.append(raw[at:a])
+                        at = b
+                    left[i] = b"".join([*pieces, raw[at:]]).decode()
+                joined.append([{"start": a, "end": b} for a, b in spans])
+            if cut and left:
                 mask = np.zeros(batch.num_rows, bool)
-                mask[list(texts)] = True
-                columns[place] = pa.compute.replace_with_mask(columns[place], pa.array(mask), pa.array([texts[i] for i in sorted(texts)], columns[place].type))
-            named = pa.array([sorted(items.get(i, ())) for i in range(batch.num_rows)], pa.list_(pa.string()))
-            cuts = pa.array([[{"start": a, "end": b} for a, b in joined.get(i, ())] for i in range(batch.num_rows)], pair)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words), pa.array(n_hit), named, cuts], names=[*rest, *made])
+                mask[list(left)] = True
+                texts = pa.compute.replace_with_mask(texts, pa.array(mask), pa.array(list(left.values()), texts.type))
+            named = pa.array([sorted(set(x or ())) for x in batch.column(2).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(n_words), pa.array(n_hit), named, pa.array(joined, _pair)], names=["others", "text", *made])
 
-    return base.mapInArrow(run, schema)
+    done = hit.mapInArrow(run, schema)
+    return done.select(*(F.col("text").alias(c) if c == text_col else F.col("others").getField(c).alias(c) for c in rest), *made)
 
 
 def contamination_report(docs: DataFrame, bench: DataFrame, window: int = 10) -> DataFrame:

@@ -2,7 +2,9 @@ import random
 import re
 
 import numpy as np
+import pytest
 
+from quillspan.llm import fmindex
 from quillspan.llm.fmindex import FMIndex, contamination_report, decontaminate
 
 
@@ -37,7 +39,9 @@ def fixture():
     return [*docs, (60, None), (61, "x same words here y")], items
 
 
-def test_matches_brute_force(spark, docs_of):
+@pytest.mark.parametrize("phrase_bytes", [16 << 20, 400])
+def test_matches_brute_force(spark, docs_of, monkeypatch, phrase_bytes):
+    monkeypatch.setattr(fmindex, "PHRASE_BYTES", phrase_bytes)  # the second: several parts of test items
     docs, items = fixture()
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {r["doc_id"]: r for r in contamination_report(docs_of(docs), bench).collect()}
@@ -63,3 +67,10 @@ def test_edges(spark, edges, docs_of):
     assert contamination_report(docs_of([]), empty).count() == 0
     some = spark.createDataFrame([(1, "word word"), (1, "word word")], "item_id long, text string")
     assert contamination_report(edges, some).where("n_hit = 40000 and n_items = 1").count() == 1
+
+
+def test_clashing_columns_are_kept(spark, docs_of):
+    names = ["place", "others", "hits", "kept"]
+    docs = docs_of([(1, "a b same words here c")]).selectExpr("doc_id", "text", "'mine' as items", *(f"'own' as {n}" for n in names))
+    row = decontaminate(docs, spark.createDataFrame([(1, "same words here")], "item_id long, text string")).first()
+    assert all(row[n] == "own" for n in names) and row["items"] == ["1"] and row["text"].split() == ["a", "b", "c"]
