@@ -4,28 +4,29 @@ A word is the bag of its byte n-grams, boundaries included, hashed into buckets
 the mean of its words, a word the mean of its n-grams; two linear outputs and a softmax follow. Embeddings and outputs
 are trained together by full-batch gradient steps with momentum. A document's label is only known for the whole, so a toxic document teaches by
 its most toxic segments and a clean one by all; a document's score is that of its most toxic segment, calibrated on
-documents kept out of the training. Misspelled words share most of their n-grams with the words they stand for.
+documents kept out of the training. Misspelled words share most of their n-grams with the words they stand for; copies
+of training texts in which every other word has one letter added, lost or changed teach that a part of them is enough.
 """
 
 from __future__ import annotations
 
 import pickle
+import random
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from quillspan.llm import bytekernel as bk
 from quillspan.llm.bpe import gather_ranges
 from quillspan.llm.shared import thinned
 
 GRAMS = (3, 4, 5, 6, 7)
-BITS, DIMS, SEGMENT = 18, 4, 24
-SAMPLE_ROWS = 2000  # labelled rows of each class that training sees at most, chosen by a hash of the id
-SAMPLE_BYTES = 8192  # longer texts teach nothing; they are scored whole
+BITS, DIMS, SEGMENT = 18, 8, 24
+SAMPLE_ROWS = 2000  # labelled rows of each class that training sees, about at most, chosen by a hash of the id
+SAMPLE_BYTES = 8 << 20  # bytes of their texts of each class, in the order of that hash; a text is taken whole or not
 STEP = (0.6, 0.1, 0.05)  # longest step of an embedding, an output and a bias in a round
 FEW, TIE = 4, 6.0  # n-grams in fewer training documents, or with a weaker tie to the label in standard deviations, are ignored
 
@@ -117,7 +118,36 @@ def _pooled(value: np.ndarray, words: np.ndarray, half_row: np.ndarray) -> np.nd
     return v / np.maximum(w, SEGMENT / 4)
 
 
-def fit(texts: list[str], labels: np.ndarray, keep_out: np.ndarray, rounds: int = 120, seed: int = 5) -> Model:
+class _Sums:
+    """Sums of rows by a fixed index: the order and borders of equal indices are found once."""
+
+    def __init__(self, index: np.ndarray, size: int):
+        self.order = np.argsort(index, kind="stable")
+        at = index[self.order]
+        self.starts = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, int)
+        self.ids, self.size = at[self.starts], size
+
+    def __call__(self, rows: np.ndarray, pick: np.ndarray) -> np.ndarray:
+        """The sums of rows[pick]."""
+        out = np.zeros((self.size, rows.shape[1]), np.float32)
+        if len(self.ids):
+            out[self.ids] = np.add.reduceat(rows[pick[self.order]], self.starts, axis=0)
+        return out
+
+
+def misspelled(text: str, rng: random.Random) -> str:
+    """The text with one letter added, lost or changed in about half of its words of four letters and more."""
+
+    def change(word: str) -> str:
+        if len(word) < 4 or rng.random() < 0.5:
+            return word
+        at, letter = rng.randrange(1, len(word)), chr(97 + rng.randrange(26))
+        return word[:at] + rng.choice([letter + word[at:], word[at + 1 :], letter + word[at + 1 :]])
+
+    return " ".join(map(change, text.split(" ")))
+
+
+def fit(texts: list[str], labels: np.ndarray, keep_out: np.ndarray, rounds: int = 90, seed: int = 5) -> Model:
     """A model of texts with labels 0 and 1; keep_out marks rows used for calibration only."""
     column = pa.array(texts, pa.large_string())
     (_, buf, offs), *more = list(bk.blocks(column, 1 << 40)) or [(0, np.zeros(0, np.uint8), np.zeros(1, np.int64))]
@@ -169,8 +199,11 @@ def fit(texts: list[str], labels: np.ndarray, keep_out: np.ndarray, rounds: int
 
     peak = [0.0, 0.0, 0.0]
 
+    by_word, by_gram = _Sums(owner, len(where)), _Sums(grams, len(ids))
+    by_half, by_token = _Sums(half, n_half), _Sums(tokens, len(where))
+
     def mean_words() -> np.ndarray:
-        return np.stack([np.bincount(owner, emb[grams, k], minlength=len(where)) for k in range(DIMS)], 1).astype(np.float32) / count[:, None]
+        return by_word(emb, grams) / count[:, None]
 
     pair = np.append(half_row[1:] == half_row[:-1], False)
     size = words.astype(np.float32)
@@ -179,7 +212,7 @@ def fit(texts: list[str], labels: np.ndarray, keep_out: np.ndarray, rounds: int
 
     def forward() -> tuple[np.ndarray, np.ndarray]:
         wv = mean_words()
-        seg = np.stack([np.bincount(half, wv[tokens, k], minlength=n_half) for k in range(DIMS)], 1).astype(np.float32)
+        seg = by_half(wv, tokens)
         both = seg.copy()
         both[:-1] += np.where(pair[:-1, None], seg[1:], 0)
         both /= size[:, None]
@@ -202,8 +235,8 @@ def fit(texts: list[str], labels: np.ndarray, keep_out: np.ndarray, rounds: int
         grads = [None, dz.T @ seg, dz.sum(0)]
         back = (dz @ lin) / size[:, None]
         back[1:] += np.where(pair[:-1, None], back[:-1].copy(), 0)
-        dw = np.stack([np.bincount(tokens, back[half, k], minlength=len(where)) for k in range(DIMS)], 1) / count[:, None]
-        grads[0] = np.stack([np.bincount(grams, dw[owner, k], minlength=len(ids)) for k in range(DIMS)], 1).astype(np.float32)
+        dw = by_token(back.astype(np.float32), half) / count[:, None]
+        grads[0] = by_gram(dw, owner)
         # Plain momentum, scaled for all of a matrix at once: rare n-grams move little, consistent ones far.
         for q, (param, grad, (m, _)) in enumerate(zip((emb, lin, bias), grads, state)):
             m *= 0.8
@@ -238,27 +271,39 @@ def fold_of(doc_id) -> object:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from at most SAMPLE_ROWS labelled rows of each class, none of them held out.
+    """A model from about SAMPLE_ROWS labelled rows of each class, none of them held out.
 
-    The sample is the rows of least hash of the id: the same for the same tables. Null texts, labels and ids teach
-    nothing; repeated labels count once, as toxic if any says so.
+    The sample is the rows of low hash of the id: the same for the same tables, whatever their length. Null texts, labels
+    and ids teach nothing; repeated labels count once, as toxic if any says so.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(fold_of("doc_id") > 0)
     known = known.withColumn("hash", F.xxhash64("doc_id"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows
-    least = W.partitionBy("toxic").orderBy("hash", "doc_id")
-    # Twice as many as are wanted, since some are too long; a bounded number of ids.
-    some = known.where(thinned("toxic", counts, 2 * SAMPLE_ROWS, "hash")).withColumn("n", F.row_number().over(least)).where(F.col("n") <= 2 * SAMPLE_ROWS)
-    usable = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES) & (fold_of("doc_id") > 0))
-    sample = usable.join(F.broadcast(some.select("doc_id", "toxic", "hash")), "doc_id").dropDuplicates(["doc_id", "text"])
-    least = W.partitionBy("toxic").orderBy("hash", "doc_id", "text")
-    sample = sample.withColumn("n", F.row_number().over(least)).where(F.col("n") <= SAMPLE_ROWS).select("doc_id", "text", "toxic")
+    some = known.where(thinned("toxic", counts, SAMPLE_ROWS // 2, "hash"))
+    usable = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (fold_of("doc_id") > 0))
+    # The labels are a bounded number of rows; a reused id may bring several texts.
+    sample = usable.join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic", "hash")
 
     def run(batches):
-        rows = [r for b in batches for r in b.to_pylist()]
-        rows.sort(key=lambda r: (r["toxic"], str(r["doc_id"]), r["text"]))
-        keep = np.array([zlib.crc32(f"kept {r['doc_id']}".encode()) % 5 == 0 for r in rows], bool)
-        model = fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows], np.float64), keep)
+        kept: dict[int, list] = {}
+        for b in batches:
+            for r in b.to_pylist():
+                kept.setdefault(r["toxic"], []).append((r["hash"], str(r["doc_id"]), r["text"]))
+        rows = []
+        for label, own in sorted(kept.items()):
+            own = sorted(set(own))
+            size = np.cumsum([len(t.encode()) for _, _, t in own])
+            rows += [(label, i, t) for (_, i, t), n in zip(own, size) if n <= SAMPLE_BYTES]
+        keep = [zlib.crc32(f"kept {i}".encode()) % 5 == 0 for _, i, _ in rows]
+        rng, taught = random.Random(7), [r for r, k in zip(rows, keep) if not k]
+        clean = [r for r in taught if r[0] == 0]
+        # As many clean copies as toxic ones, and some more.
+        copied = [r for r in taught if r[0] > 0]
+        copied += clean[: len(copied) + len(clean) // 4]
+        tests = [r for r, k in zip(rows, keep) if k]
+        rows += [(label, i, misspelled(t, rng)) for label, i, t in copied + tests]
+        keep += [False] * len(copied) + [True] * len(tests)
+        model = fit([t for _, _, t in rows], np.array([label for label, _, _ in rows], np.float64), np.array(keep, bool))
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
     # One task fits the bounded sample; the driver gets the weights alone.
