@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quillspan.llm import bytekernel as bk
-from quillspan.llm.shared import extended, joined_spread, written
+from quillspan.llm.shared import extended, written
 
 UNKNOWN = "und"
 BITS, GRAM = 16, 3
@@ -185,9 +185,7 @@ def _prior_table(rows: DataFrame, languages: list[str]) -> DataFrame:
     suffix = suffix.select("suffix", _smoothed(suffix, whole).alias("p1"))
     parent = up(["parent", "suffix"]).join(suffix, "suffix")
     parent = parent.select("parent", "suffix", _smoothed(parent, "p1").alias("p2"))
-    up_to = parent.join(hosts.groupBy("parent", "suffix").agg(F.count("*").alias("n")), ["parent", "suffix"])
-    placed = joined_spread(hosts.withColumnRenamed("n", "rows"), up_to, ["parent", "suffix"], hosts.count())
-    return placed.select("host", _smoothed(placed, "p2").alias("prior"), F.col("rows").alias("n"))
+    return hosts.join(parent, ["parent", "suffix"]).select("host", _smoothed(hosts, "p2").alias("prior"), "n")
 
 
 def _likelihood_table(rows: DataFrame, value: str, languages: list[str]) -> DataFrame:
@@ -235,19 +233,11 @@ def identified(rows: DataFrame, model: TextModel, text_col: str = "text", least:
     found = text_evidence(base, model, "text")
     best = F.when((F.col("n_grams") > 0) & ~F.col("foreign"), F.get(named, F.array_position("text_ll", F.array_max("text_ll")).cast("int") - 1))
     found = written(found.withColumn("text_lang", best), "evidence")
-    total, out, score = found.count(), found, F.col("text_ll")
-    for value, told, table in (
-        ("host", "prior", lambda: _prior_table(found, languages)),
-        ("declared", "declared_ll", lambda: _likelihood_table(found, "declared", languages)),
-        ("hint", "hint_ll", lambda: _likelihood_table(found, "hint", languages)),
-    ):
-        # Rows without the value wait outside of the join.
-        there = joined_spread(out.where(F.col(value).isNotNull()), written(table(), "told"), [value], total, "left")
-        out = there.unionByName(out.where(F.col(value).isNull()), allowMissingColumns=True)
-        if value == "host":
-            score = F.zip_with(score, F.coalesce("prior", flat), lambda a, p: a + F.log(p))
-        else:
-            score = F.zip_with(score, F.coalesce(told, F.transform(named, lambda x: F.lit(0.0))), lambda a, b: a + b)
+    out = found.join(_prior_table(found, languages).drop("n"), "host", "left")
+    score = F.zip_with("text_ll", F.coalesce("prior", flat), lambda a, p: a + F.log(p))
+    for value in ("declared", "hint"):
+        out = out.join(_likelihood_table(found, value, languages).drop("n"), value, "left")
+        score = F.zip_with(score, F.coalesce(f"{value}_ll", F.transform(named, lambda x: F.lit(0.0))), lambda a, b: a + b)
     out = out.withColumn("score", score).withColumn("top", F.array_max("score"))
     out = out.withColumn("posterior", 1 / F.aggregate("score", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
     told = (F.col("n_grams") > 0) | F.col("declared").isNotNull() | F.col("hint").isNotNull()

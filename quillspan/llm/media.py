@@ -170,7 +170,7 @@ def referenced(sequences: DataFrame, media: DataFrame, key: str, media_col: str
     their digests are broadcast.
     """
     one = sequences.select(F.col(key).alias("key"), F.posexplode_outer("items").alias("pos", "item"))
-    one = written(one.select("key", "pos", "item.kind", "item.text", "item.ref", "item.caption"), "items")
+    one = written(one.select("key", "pos", "item.kind", "item.text", "item.ref", "item.caption"), "items", "zstd")
     one = one.withColumn("digest", F.when(F.startswith("ref", F.lit(prefix)), F.unhex(F.substr("ref", F.lit(len(prefix) + 1)))))
     objects = media.select(F.unhex("digest").alias("digest"), F.col(media_col).alias("bytes")).where("digest is not null and bytes is not null")
     named = one.where("digest is not null")
@@ -215,7 +215,7 @@ def media_report(docs: DataFrame) -> DataFrame:
     brings from it. Null texts are empty, repeated rows and ids are documents of their own, and an empty table stays empty.
     """
     names = [x.split()[0] for x in MEASURES.split(", ")]
-    stored = written(stored_media(docs.select("doc_id", "text"), once=True).withColumn("row", F.monotonically_increasing_id()), "objects")
+    stored = written(stored_media(docs.select("doc_id", "text"), once=True).withColumn("row", F.monotonically_increasing_id()), "objects", "zstd")
     said = F.concat(F.lit("text of document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("?")))
     html = F.concat(F.lit("<article><p>"), said, F.lit('</p><figure><img src="sha256:'), "digest", F.lit('"><figcaption>'), said, F.lit("</figcaption></figure></article>"))
     pages = stored.select(F.struct("row", "doc_id").alias("key"), html.alias("html"))

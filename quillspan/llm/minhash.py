@@ -235,9 +235,8 @@ def _buckets(members: DataFrame, turn: int) -> DataFrame:
 def components_of_sets(groups: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """(node, component) for the nodes of `groups` (node, first, n_shingles, bands, sig) that a link joins to another."""
     members = groups.select("node", F.explode("bands").alias("bucket"), F.col("node").alias("component"), "n_shingles")
-    n_members = BANDS * groups.count()
     table = written(_buckets(members, 0), "buckets")
-    active = written(joined_spread(members, table.drop("parts"), ["bucket"], n_members).where("node <> leader"), "active")
+    active = written(members.join(table.drop("parts", "n"), "bucket").where("node <> leader"), "active")
     chosen = written(active.select("node").unionByName(table.select(F.col("leader").alias("node"))).distinct(), "chosen")
     marks = written(groups.select("node", "n_shingles", "sig").join(chosen, "node", "left_semi"), "marks")
     place = groups.select("node", "first").join(chosen, "node", "left_semi")
@@ -262,7 +261,7 @@ def components_of_sets(groups: DataFrame, docs: DataFrame, id_col: str, text_col
         size = table.agg(F.count("*").alias("buckets"), F.sum("n").alias("n"), F.max("parts").alias("parts")).first()
         if not size["buckets"]:
             return stars
-        rest = written(joined_spread(named, table, ["bucket"], rest.count()), "rest")
+        rest = written(named.join(table.drop("n"), "bucket"), "rest")
         if size["parts"] == 1 or (before is not None and 2 * size["n"] > before):
             break
         before = size["n"]
