@@ -10,6 +10,67 @@ from quillspan.functions import values as V
 from quillspan.functions.commands import command_family
 from quillspan.functions.paths import directory, extension, language, repository_path
 from quillspan.functions.scores import placement_scores
+from quillspan.functions.text import collapsed
+
+# Patterns that say what to do, triage marks that bar a proposal, and absolute paths in texts.
+ACTIONABLE = ("failure_repair", "file_change_pattern", "human_correction_repair")
+BARRED = ("false_positive", "needs_more_evidence")
+ABSOLUTE_PATH = r"(?:(?:[A-Za-z]:[\\/])|(?:~[\\/])|(?<![A-Za-z0-9_.-])/)[^\s,;:()\[\]{}<>\"']+"
+CONTENT_LIMIT = 500
+
+
+def eligible(experiences: DataFrame) -> DataFrame:
+    """Experiences that may be placed: candidates that no review has set aside; one without a mark is unreviewed."""
+    return experiences.where((F.col("status") == "candidate") & ~F.coalesce("review_status", F.lit("unreviewed")).isin(*BARRED))
+
+
+def public_content(lesson: Column, summary: Column, title: Column) -> Column:
+    """The first text that isn't empty, on one line, without absolute paths, at most CONTENT_LIMIT long; empty if none."""
+    own = lambda c: F.nullif(c, F.lit(""))
+    text = F.coalesce(own(lesson), own(summary), own(title), F.lit(""))
+    flat = collapsed(F.replace(text, F.lit("\x00"), F.lit(" ")))
+    return F.regexp_replace(F.substring(F.regexp_replace(flat, ABSOLUTE_PATH, "[repository path omitted]"), 1, CONTENT_LIMIT), r"\s+$", "")
+
+
+def diagnostics(placed: DataFrame) -> DataFrame:
+    """(group_key, placement, code, polarity): what speaks for (+) and against (-) each placement, a row each.
+
+    placed has a row for each group and placement with the columns of features().
+    """
+    c = F.col
+    scoped = F.coalesce(c("scope_value"), F.lit("")) != ""
+    sign = lambda good: F.when(good, "+").otherwise("-")
+    say = lambda when, code, polarity: F.when(when, F.struct(F.lit(code).alias("code"), polarity.alias("polarity")))
+    for_ = lambda name: c("placement") == name
+    weak, vague = c("support_ratio") < 0.75, c("actionability") < 0.5
+    wait = for_("defer")
+    notes = F.array(
+        say(F.lit(True), "support", sign(c("support_count") > 0)), say(c("contradiction_count") > 0, "contradictions", F.lit("-")),
+        say(for_("global_rule"), "global_gate", sign(c("global_eligible"))), say(for_("global_rule") & scoped, "specific_scope", F.lit("-")),
+        say(for_("project_rule"), "project_concentration", sign(c("project_concentration") >= 0.75)), say(for_("project_rule") & scoped, "scope_alternative", F.lit("-")),
+        say(for_("scoped_rule"), "scope_evidence", sign(scoped)), say(for_("skill"), "procedure", sign(c("procedural_complexity") >= 0.5)),
+        say(wait & weak, "weak_or_mixed", F.lit("+")), say(wait & vague, "actionability", F.lit("+")), say(wait & ~weak & ~vague, "actionability", F.lit("-")),
+    )
+    rows = placed.select("group_key", "placement", F.explode(F.filter(notes, lambda x: x.isNotNull())).alias("x"))
+    return rows.select("group_key", "placement", "x.code", "x.polarity")
+
+
+def source_fingerprints(experiences: DataFrame, evidence: DataFrame, version: str, keys: list[str], evidence_keys: list[str]) -> DataFrame:
+    """(group_key, fingerprint): a SHA-256 over the named columns of an experience and of all its evidence, and the version.
+
+    Evidence counts as a set of row digests in order, so that its order in the table has no part.
+    """
+    line = lambda names: F.to_json(F.struct(*sorted(names)), {"ignoreNullFields": "false"})
+    each = evidence.select("group_key", F.sha2(line(evidence_keys), 256).alias("d")).groupBy("group_key").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ","), 256).alias("e"))
+    own = experiences.select("group_key", line(keys).alias("own")).join(each, "group_key", "left")
+    return own.select("group_key", F.sha2(F.concat_ws("|", F.lit(version), "own", F.coalesce("e", F.lit(""))), 256).alias("fingerprint"))
+
+
+def outdated(experiences: DataFrame, fingerprints: DataFrame, sets: DataFrame, version: str) -> DataFrame:
+    """Eligible experiences whose proposals are to be made anew: sets (group_key, fingerprint, version, n) has none with
+    the same fingerprint and version and all five rows."""
+    done = sets.where((F.col("version") == version) & (F.col("n") == 5)).select("group_key", "fingerprint")
+    return eligible(experiences).join(fingerprints, "group_key").join(done, ["group_key", "fingerprint"], "left_anti")
 
 
 def span_events(occurrences: DataFrame, events: DataFrame) -> DataFrame:
@@ -86,7 +147,7 @@ def features(evidence: DataFrame, experiences: DataFrame, events: DataFrame) ->
         "cross_project_support": F.least(F.lit(1.0), F.greatest(F.lit(0), F.col("project_count") - 1) / 2.0),
         "project_concentration": share("top"),
         "context_consistency": share("context_top"),
-        "actionability": F.when(n < 2, 0.25).when(F.col("pattern") == "repeated_failure", 0.35).otherwise(1.0),
+        "actionability": F.when(n < 2, 0.25).when(F.col("pattern") == "repeated_failure", 0.35).when(F.col("pattern").isin(*ACTIONABLE), 1.0).otherwise(0.5),
     })
     gate = (F.col("project_count") >= 2) & (F.col("low") >= 2) & (F.col("project_concentration") <= 0.75)
     return out.withColumn("global_eligible", gate).drop("top", "low", "context_top")

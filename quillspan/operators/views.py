@@ -76,6 +76,42 @@ def placement_list(proposals: DataFrame, placement: str | None = None, recommend
     return best.orderBy(F.desc("score"), "group_key")
 
 
+def placement_counts(sets: DataFrame, proposals: DataFrame) -> DataFrame:
+    """One row (proposal_sets, proposals)."""
+    return sets.agg(F.count("*").alias("proposal_sets")).crossJoin(proposals.agg(F.count("*").alias("proposals")))
+
+
+def proposal_context(proposals: DataFrame, experiences: DataFrame, evidence: DataFrame, projects: DataFrame) -> DataFrame:
+    """proposals with their experience's title and pattern, and the greatest root of the projects in its evidence (null if none)."""
+    roots = evidence.join(projects.select("project_id", "root"), "project_id").groupBy("group_key").agg(F.max("root").alias("project_root"))
+    return proposals.join(experiences.select("group_key", "title", "pattern"), "group_key").join(roots, "group_key", "left")
+
+
+def proposal_evidence(proposal_evidence: DataFrame, occurrences: DataFrame, projects: DataFrame) -> DataFrame:
+    """(proposal_id, role, occurrence columns, project_name, root) in order of session and occurrence."""
+    found = proposal_evidence.join(occurrences, "occurrence_id").join(projects.select("project_id", F.col("name").alias("project_name"), "root"), "project_id", "left")
+    return found.orderBy("proposal_id", "trajectory_id", "occurrence_id")
+
+
+def policy_lineage(lineage: DataFrame, versions: DataFrame) -> DataFrame:
+    """(policy_id, lineage columns): each edge from or to a version of a policy, once a policy."""
+    ends = lineage.select("*", F.explode(F.array_distinct(F.array("from_version", "to_version"))).alias("version_id"))
+    return ends.join(versions.select("version_id", "policy_id"), "version_id").select("policy_id", *lineage.columns).dropDuplicates(["policy_id", "lineage_id"])
+
+
+def split_children(lineage: DataFrame, versions: DataFrame, version_id) -> DataFrame:
+    """Versions that a split made of one."""
+    edges = lineage.where((F.col("relation") == "split_from") & (F.col("from_version") == F.lit(version_id)))
+    return versions.join(edges.select(F.col("to_version").alias("version_id")).distinct(), "version_id")
+
+
+def inspection_sample(groups: DataFrame, seed: int = 0, top: int = 20, middle: int = 10, low: int = 10) -> DataFrame:
+    """The best groups, some by seeded chance and the weakest, with `part`; a group may be in several."""
+    take = lambda order, n, part: groups.orderBy(*order, "group_key").limit(n).withColumn("part", F.lit(part))
+    chance = take([F.xxhash64("group_key", F.lit(seed))], middle, "random")
+    return take([F.desc("score")], top, "top").unionByName(chance).unionByName(take([F.asc("score")], low, "lowest"))
+
+
 def review_list(sets: DataFrame, states: DataFrame, status: str | None = None) -> DataFrame:
     """Proposal sets with the state of their review; without one they are unreviewed, with outdated sources stale."""
     out = sets.join(states, "review_id", "left")

@@ -180,9 +180,10 @@ _K = f"CASE l_partkey % 16 {' '.join(f'WHEN {i} THEN {k!r}' for i, k in enumerat
 @query(f"SELECT l_partkey % 16 AS command, {_K} AS kind, CASE WHEN {_K} IN ('test', 'lint', 'build') THEN {_K} || CASE WHEN l_linenumber % 2 = 0 THEN '_pass' ELSE '_fail' END END AS outcome, count(*) AS n FROM lineitem GROUP BY ALL")
 def classify_command(spark: SparkSession, sf_dir: str) -> DataFrame:
     which = F.pmod("l_partkey", F.lit(16))
-    x = table(spark, sf_dir, "lineitem").select(which.alias("command"), F.element_at(F.array(*map(F.lit, _COMMANDS)), (which + 1).cast("int")).alias("c"), (F.col("l_linenumber") % 2).alias("exit"))
-    x = x.withColumn("kind", command_kind(F.col("c"))).withColumn("outcome", outcome_type(F.col("kind"), F.col("exit")))
-    return x.groupBy("command", "kind", "outcome").agg(F.count("*").alias("n"))
+    # Each distinct pair of command and exit is classified once; lines only count.
+    pairs = table(spark, sf_dir, "lineitem").groupBy(which.alias("command"), (F.col("l_linenumber") % 2).alias("exit")).agg(F.count("*").alias("n"))
+    x = pairs.withColumn("kind", command_kind(F.element_at(F.array(*map(F.lit, _COMMANDS)), (F.col("command") + 1).cast("int"))))
+    return x.groupBy("command", "kind", outcome_type(F.col("kind"), F.col("exit")).alias("outcome")).agg(F.sum("n").alias("n"))
 
 
 @query(

@@ -8,6 +8,7 @@ over the steps. Layout `rollout` has envelopes with a payload; layout `messages`
 from __future__ import annotations
 
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,7 @@ from quillspan.functions import values as V
 from quillspan.functions.commands import command_kind, outcome_type
 from quillspan.functions.paths import normalized
 from quillspan.functions.text import bounded, redacted, stripped, summarized
+from quillspan.functions.times import iso_instant
 from quillspan.operators.sequences import final_status
 
 # Wrappers that tools put around prompts, and marks of texts without one.
@@ -28,6 +30,10 @@ INJECTED = (
 )
 EDIT_TOOLS, SEARCH_TOOLS = ("Edit", "MultiEdit", "NotebookEdit"), ("Grep", "Glob", "LS")
 SHELLS = ("-lc", "-c", "-ic")
+HIDDEN = "[encrypted]"
+SHELL_NAMES = ("sh", "bash", "zsh")
+QUOTED_COMMAND = r'(?:cmd|command)\s*:\s*"([^"]+)"'
+EXIT = r"exit(?:\s+code)?[:\s]+(\d{1,3})"
 USAGE = ("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens")
 
 STEP = {
@@ -53,10 +59,18 @@ def transcript_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> D
     return split_lines(spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob))
 
 
-def _text(content, also: tuple[str, ...] = ()) -> str:
+def _text(content, hidden: str | None = None) -> str:
+    """The texts of content's blocks, a line each; a rollout names encrypted blocks by `hidden`, and takes texts of any type."""
     if isinstance(content, str):
         return content
-    parts = [b.get("text") or "" for b in content or [] if isinstance(b, dict) and b.get("type") in ("text", "input_text", "output_text", *also)]
+    parts = []
+    for b in content if isinstance(content, list) else ():
+        if isinstance(b, str):
+            parts.append(b)
+        elif isinstance(b, dict) and isinstance(b.get("text"), str) and (hidden or b.get("type") in (None, "text")):
+            parts.append(b["text"])
+        elif isinstance(b, dict) and b.get("type") == "encrypted_content" and hidden:
+            parts.append(hidden)
     return "\n".join(p for p in parts if p)
 
 
@@ -84,7 +98,7 @@ def rollout_steps(obj: dict) -> list[dict]:
         return [{"kind": "note", "text": "context compacted"}]
     if kind == "response_item":
         if sub == "message":
-            return [{"kind": {"user": "human", "assistant": "say"}.get(p.get("role"), "skip"), "text": _text(p.get("content")), "raw": True, "works": True}]
+            return [{"kind": {"user": "human", "assistant": "say"}.get(p.get("role"), "skip"), "text": _text(p.get("content"), HIDDEN), "raw": True, "works": True}]
         if sub in ("function_call", "custom_tool_call", "local_shell_call"):
             given = p.get("input") or p.get("arguments") or ""
             return [{"kind": "call", "call_id": p.get("call_id") or p.get("id"), "tool": p.get("name") or sub, "command": freeform_command(given), "text": str(given), "raw": True, "works": True}]
@@ -106,13 +120,13 @@ def rollout_steps(obj: dict) -> list[dict]:
         return []
     what = item.get("type")
     if what == "UserMessage":
-        return [{"kind": "human", "text": _text(item.get("content"))}]
+        return [{"kind": "human", "text": _text(item.get("content"), HIDDEN)}]
     if what in ("AgentMessage", "Plan"):
-        return [{"kind": "say", "text": _text(item.get("content")) if what == "AgentMessage" else item.get("text") or "", "works": True}]
+        return [{"kind": "say", "text": _text(item.get("content"), HIDDEN) if what == "AgentMessage" else item.get("text") or "", "works": True}]
     if what == "CommandExecution":
         argv, parsed = item.get("command"), [x for x in item.get("parsed_cmd") or [] if isinstance(x, dict)]
-        command = argv if isinstance(argv, str) else argv[2] if isinstance(argv, list) and len(argv) >= 3 and argv[1] in SHELLS else " ".join(map(str, argv or []))
-        tail = next((x.strip() for x in (item.get("aggregated_output"), item.get("stdout"), item.get("stderr")) if isinstance(x, str) and x.strip()), None)
+        command = argv_command(argv)
+        tail = next((x.strip() for x in (item.get("formatted_output"), item.get("aggregated_output"), item.get("stdout"), item.get("stderr")) if isinstance(x, str) and x.strip()), None)
         ran = {"kind": "ran", "command": command, "exit_code": _number(item.get("exit_code")), "hint": parsed[0].get("type") if parsed else None, "text": tail[-400:] if tail else None, "works": True}
         return [ran, *({"kind": "read", "path": x["path"]} for x in parsed if x.get("type") == "read" and x.get("path"))]
     if what == "FileChange":
@@ -181,7 +195,9 @@ def message_steps(obj: dict) -> list[dict]:
     elif kind == "system" and obj.get("subtype") == "compact_boundary":
         out.append({"kind": "note", "text": "context compacted"})
     elif kind in ("ai-title", "last-prompt", "custom-title"):
-        out.append({"kind": "title", "tool": kind, "text": obj.get("aiTitle") or obj.get("lastPrompt") or obj.get("customTitle")})
+        for tool in ("aiTitle", "lastPrompt"):
+            if obj.get(tool):
+                out.append({"kind": "title", "tool": tool, "text": str(obj[tool])})
     if obj.get("isApiErrorMessage"):
         out.append({"kind": "api_error", "text": "API error message", "sidechain": side})
     if obj.get("interruptedByShutdown") or obj.get("isAbortedMidStream"):
@@ -189,28 +205,43 @@ def message_steps(obj: dict) -> list[dict]:
     return out
 
 
+def argv_command(argv) -> str | None:
+    """The command of an argument list: what a shell is given to run, else all arguments."""
+    if isinstance(argv, list) and argv:
+        shell = len(argv) >= 3 and str(argv[0]).endswith(SHELL_NAMES) and str(argv[1]) in SHELLS
+        return str(argv[2]) if shell else " ".join(map(str, argv))
+    return argv if isinstance(argv, str) else None
+
+
 def freeform_command(given) -> str | None:
-    """The command in a tool call's free input: a mapping's, JSON's, or a short raw text."""
-    if isinstance(given, list):
-        return " ".join(map(str, given))
+    """The command in a tool call's free input: a mapping's, JSON's, a quoted one, or a raw text within the limit of commands."""
     if isinstance(given, dict):
-        found = next((given[k] for k in ("command", "cmd", "script", "shell") if given.get(k)), None)
-        return freeform_command(found) if isinstance(found, list) else found
-    try:
-        inner = json.loads(given)
-    except (TypeError, ValueError):
-        return given.strip() if isinstance(given, str) and 0 < len(given.strip()) < 200 and "\n" not in given.strip() else None
-    return freeform_command(inner) if isinstance(inner, (dict, list)) else None
+        values = (given.get(k) for k in ("command", "cmd", "script", "shell"))
+        return next((argv_command(v) for v in values if (isinstance(v, str) and v.strip()) or (isinstance(v, list) and v)), None)
+    if not isinstance(given, str):
+        return None
+    given = given.strip()
+    if given.startswith("{"):
+        try:
+            return freeform_command(json.loads(given))
+        except ValueError:
+            return None
+    if quoted := re.search(QUOTED_COMMAND, given):
+        return quoted[1]
+    return given if 0 < len(given) < V.COMMAND_LIMIT else None
 
 
 def output_exit(output) -> int | None:
-    """The exit code that a tool's output names."""
-    import re
-
-    if isinstance(output, dict):
-        return _number(output.get("exit_code"))
-    found = re.search(r"exit(?:ed)?(?: with)?(?: code)?[:\s]+(-?\d+)", output, re.I) if isinstance(output, str) else None
-    return int(found[1]) if found else None
+    """The exit code that a tool's output names; 0 if it says that all went well."""
+    if isinstance(output, dict) and isinstance(output.get("exit_code"), int):
+        return output["exit_code"]
+    if isinstance(output, list):
+        text = " ".join(str(b.get("text") or "") for b in output if isinstance(b, dict))
+    else:
+        text = str(output.get("output") or "") if isinstance(output, dict) else output if isinstance(output, str) else ""
+    if found := re.search(EXIT, text, re.I):
+        return int(found[1])
+    return 0 if "Script completed" in text or "succeeded" in text.lower() else None
 
 
 LAYOUTS = {"rollout": rollout_steps, "messages": message_steps}
@@ -267,7 +298,8 @@ def session_table(all_steps: DataFrame, root: str | None = None) -> tuple[DataFr
     """Events and headers of the files in steps().
 
     Events: trajectory_id (the file), project_id (null), sequence from 1, type, ts, path, command, exit_code, summary,
-    tool, redacted. Headers: trajectory_id, cwd, branch, version, model, task, tokens, n_warnings, final_status, reason.
+    tool, redacted. Headers: trajectory_id, cwd, branch, version, model, task (the first prompt,
+    else the title, else the last prompt), started_at and ended_at (of the events, ISO in UTC), n_warnings, final_status, reason.
     """
     file = W.partitionBy("file")
     order = file.orderBy("line", "pos")
@@ -329,11 +361,13 @@ def session_table(all_steps: DataFrame, root: str | None = None) -> tuple[DataFr
     # Status signals: a stop counts unless a clean end follows; an aborted turn if work was done since the last prompt.
     worked = is_("turn_aborted") & busy
     last = lambda value, when: F.max_by(F.when(when, value), F.when(when, place))
+    titled = lambda tool: is_("title") & (F.col("tool") == tool)
     main = is_("ended") & (~F.coalesce("sidechain", F.lit(False)) | sub)
     heads = s.groupBy("file").agg(
         F.min_by("cwd", F.when(F.col("cwd").isNotNull(), place)).alias("cwd"), F.min_by("branch", F.when(F.col("branch").isNotNull(), place)).alias("branch"),
         last(F.col("version"), F.col("version").isNotNull()).alias("version"), last(F.col("model"), F.col("model").isNotNull()).alias("model"),
-        bounded(F.min_by("said.text", F.when(is_("human") & (place == F.col("first")), place)), V.TASK_LIMIT).alias("task"),
+        F.min_by("said.text", F.when(is_("human") & (place == F.col("first")), place)).alias("asked"),
+        F.min_by("text", F.when(titled("aiTitle"), place)).alias("title"), F.max_by("said.text", F.when(titled("lastPrompt"), place)).alias("prompt"),
         F.count_if(is_("warning")).alias("n_warnings"), F.max(worked).alias("turn_aborted"), last(is_("stopped"), is_("stopped") | main).alias("stopped"),
         last(F.col("text"), main).alias("ended"), last(F.col("text"), is_("completion")).alias("completed"),
     )
@@ -345,6 +379,9 @@ def session_table(all_steps: DataFrame, root: str | None = None) -> tuple[DataFr
         ), lambda x: x.isNotNull())).alias("x"),
     ).select("trajectory_id", F.lit(1 << 30).alias("sequence"), "x.type", F.lit(None).cast("int").alias("exit_code"), "x.summary")
     status = final_status(events.select("trajectory_id", "sequence", "type", "exit_code", "summary").unionByName(signals))
+    stamp = iso_instant(F.col("ts"))
+    bounds = events.groupBy(F.col("trajectory_id").alias("file")).agg(F.min(stamp).alias("started_at"), F.max(stamp).alias("ended_at"))
+    heads = heads.withColumn("task", bounded(F.coalesce("asked", "title", "prompt"), V.TASK_LIMIT)).drop("asked", "title", "prompt").join(bounds, "file", "left")
     headers = heads.drop("turn_aborted", "stopped", "ended", "completed").withColumnRenamed("file", "trajectory_id").join(status, "trajectory_id", "left")
     return events, headers
 
@@ -363,3 +400,8 @@ def file_touches(events: DataFrame) -> DataFrame:
     flag = lambda name, kind: F.bool_or(F.col("type") == kind).alias(name)
     at = events.where("path is not null and path <> ''").groupBy("trajectory_id", "path")
     return at.agg(flag("was_read", "file_read"), flag("was_created", "file_create"), flag("was_modified", "file_edit"), flag("was_deleted", "file_delete"))
+
+
+def files_changed(touches: DataFrame) -> DataFrame:
+    """(trajectory_id, path) of file_touches() that a session created, modified or deleted, in order of the path."""
+    return touches.where("was_created or was_modified or was_deleted").select("trajectory_id", "path").orderBy("trajectory_id", "path")
