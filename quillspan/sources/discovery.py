@@ -67,8 +67,7 @@ def named(files: DataFrame, looks: DataFrame, layout: str) -> DataFrame:
 def numbered(text: DataFrame) -> DataFrame:
     """(file, line, value) of text rows with file metadata; lines are in order of their place, which is their row's in its split."""
     place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    rows = text.select(F.col("_metadata.file_path").alias("file"), place.alias("line"), "value")
-    return rows
+    return text.select(F.col("_metadata.file_path").alias("file"), place.alias("line"), "value")
 
 
 def discovered(spark: SparkSession, path: str, layout: str) -> DataFrame:
@@ -83,7 +82,7 @@ def discovered(spark: SparkSession, path: str, layout: str) -> DataFrame:
     files = listed.select(F.col("path").alias("file"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size_bytes"))
     lines = numbered(spark.read.options(**options).text(path))
     if layout == "messages":
-        root = F.lit(path.rstrip("/").removeprefix("file://") + "/")
+        root = path.rstrip("/").removeprefix("file://") + "/"
         below = lambda c: F.substring_index(F.col(c), root, -1)
         shape = r"^[^/]+/[^/]+\.jsonl$|^[^/]+/[^/]+/subagents/[^/]+\.jsonl$"
         files, lines = (x.where(F.rlike(below("file"), F.lit(shape))) for x in (files, lines))
