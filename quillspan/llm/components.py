@@ -26,11 +26,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while mark[0]:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = joined_spread(both, least, ["u"], 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = joined_spread(both, least, ["u"], 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = joined_spread(large, least, ["u"], 2 * mark[0]).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        following = written(small.union(least.select("u", "m")).distinct(), "small-star")
+        # An edge to the smallest neighbour stays, all others go on to it; edges made twice by the large star end here.
+        small = joined_spread(large, least, ["u"], 2 * mark[0]).select(F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
+        following = written(small.distinct(), "small-star")
         dropped(large)
         dropped(current)
         current, before, mark = following, mark, _mark(following)

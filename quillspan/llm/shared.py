@@ -59,12 +59,16 @@ def joined_spread(rows: DataFrame, table: DataFrame, keys: list[str], total: int
     where they are; all others are shuffled, and none of them fills a task. n isn't in the result.
     """
     often = F.col("n") * SPREAD > total
-    hot = table.where(often).drop("n")
+    values = [c for c in table.columns if c not in (*keys, "n")]
+    packed = F.struct(*values).alias("_hot")
+    hot = table.where(often).select(*keys, packed)
     # A row without keys meets nothing; with it the plan is of one form for all tables.
     blank = table.sparkSession.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in hot.schema.fields))
-    hot = F.broadcast(hot.unionByName(blank))
-    rare = rows.join(hot.select(*keys), keys, "left_anti").join(table.where(~often).drop("n"), keys, how)
-    return rows.join(hot, keys).unionByName(rare)
+    # Both branches ask for the same columns of the same left join, so that its table is aggregated and broadcast once.
+    met = rows.join(F.broadcast(hot.unionByName(blank)), keys, "left")
+    there = met.where("_hot is not null").select(*rows.columns, *(F.col("_hot").getField(c).alias(c) for c in values))
+    rare = met.where("_hot is null").drop("_hot").join(table.where(~often).drop("n"), keys, how)
+    return there.unionByName(rare)
 
 
 def dropped(df: DataFrame | None) -> None:
