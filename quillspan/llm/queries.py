@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspan.llm.exponion import CLUSTER_SQL
 from quillspan.llm.infill import INFILL_SQL
+from quillspan.llm.rules import RULES_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +82,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(_table(spark, sf_dir, "documents"), vocab_path())
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspan.llm.rules import rules_report
+
+    return rules_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspan.llm.exponion import cluster_report
+
+    return cluster_report(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspan.llm.infill import infill_report
 
@@ -97,9 +111,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_windows": op8_chat_windows,
     "op9_extraction": op9_extraction,
     "op10_bpe": op10_bpe,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_exponion": op12_exponion,
     "op13_infill": op13_infill,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_quality_rules": RULES_SQL,
+    "op12_exponion": CLUSTER_SQL,
     "op13_infill": INFILL_SQL,
 }
