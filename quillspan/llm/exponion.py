@@ -50,7 +50,7 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _root(d: np.ndarray) -> np.ndarray:
     if d.dtype == object:
-        d = np.array([float(x) if x.bit_length() < 1000 else np.inf for x in d])
+        d = np.array([float(x) if int(x).bit_length() < 1000 else np.inf for x in d])
     return np.sqrt(d)
 
 
@@ -87,7 +87,8 @@ class Ball:
             radius = (2 * upper[rows] + self.gap[j]) * (1 + MARGIN)
             reach = np.searchsorted(self.far[j], radius, side="right")
             # No centroid outside the ball is nearer than this.
-            second = np.where(reach < len(self.far[j]), radius - upper[rows], np.inf)
+            with np.errstate(invalid="ignore"):
+                second = np.where(reach < len(self.far[j]), radius - upper[rows], np.inf)
             longest_first = np.argsort(-reach, kind="stable")
             for place, other in enumerate(self.order[j]):
                 inside = longest_first[: np.searchsorted(-reach[longest_first], -place, side="left")]
@@ -99,7 +100,7 @@ class Ball:
                 second[inside] = np.minimum(second[inside], _root(np.where(nearer, best[inside], d)))
                 best[inside] = np.where(nearer, d, best[inside])
                 number[inside] = np.where(nearer, other, number[inside])
-            # Where both are infinite, nothing is known of the second.
+            # Radius and bound may both be infinite; nothing is known of the second then.
             a[rows], upper[rows], lower[rows] = number, _root(best) * (1 + MARGIN), np.nan_to_num(second, nan=0.0, posinf=np.inf) * (1 - MARGIN)
         return a, upper, lower, scanned
 

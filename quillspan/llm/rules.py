@@ -4,8 +4,9 @@ A text has counts (words, symbols, repeated lines, words in repeated windows) an
 a whole number that is higher for worse texts. A rule rejects a text whose signal reaches its cutoff. Cutoffs are chosen
 in each stratum from labelled texts, of which equal ones count once, in two halves told apart by a digest of the text:
 
-* Clean texts of the first half order the candidates. Level l of LEVELS gives each rule the lowest cutoff that rejects no
-  more than its part of l/LEVELS of the allowed share, so levels are nested, from the laxest to the strictest.
+* Clean texts of the first half order the candidates. The first levels put each rule's cutoff well above the greatest
+  signal of a clean text; from then on, for l from 0 to BUDGETS, a level gives each rule the lowest cutoff that rejects no
+  more than its part of l/BUDGETS of the allowed share. So levels are nested, from the laxest to the strictest.
 * Clean texts of the second half, the holdout, test them: of n texts level l rejects k. P(Bin(n, share) <= k), the exact
   binomial tail, is the chance to see so few if the level's false rejections were above the share. Levels are tested in
   their order up to the first that fails, so a stratum needs no correction for its levels; over strata the error is
@@ -36,7 +37,9 @@ MARK = rf"[^\p{{L}}\p{{M}}\p{{N}}{SPACE}]"
 WINDOW = 5
 RULES = ("symbols", "marks", "capitals", "repeats", "lines", "long", "short")
 TOP = 1000  # greatest signal
-LEVELS = 8
+MARGINS = ((4, 5), (3, 2))  # the first levels' cutoffs: halves of the greatest clean signal, and what is added
+BUDGETS = 8
+LEVELS = len(MARGINS) + BUDGETS + 1
 SHARE = 30  # false rejections allowed, in a thousand clean texts
 ERROR = 0.05  # chance that the allowed share is passed in any stratum
 LEAST = 200  # clean holdout texts of a stratum of its own
@@ -138,8 +141,9 @@ def _paths(seen: DataFrame, share: int) -> DataFrame:
     counts = one.groupBy("pool", "rule", "value").agg(F.count("*").alias("n"))  # TOP + 1 rows a rule and pool at most
     along = W.partitionBy("pool", "rule")
     counts = counts.withColumns({"above": F.sum("n").over(along.orderBy(F.desc("value"))), "all": F.sum("n").over(along)})
-    allowed = lambda level: F.floor(F.col("all") * (share * level) / (1000 * LEVELS * len(RULES)))
-    cut = F.array(*(F.max(F.when(F.col("above") > allowed(level), F.col("value"))) + 1 for level in range(LEVELS + 1)))
+    allowed = lambda part: F.floor(F.col("all") * (share * part) / (1000 * BUDGETS * len(RULES)))
+    wide = [(F.floor(F.max("value") * halves / 2) + more + 1).cast("int") for halves, more in MARGINS]
+    cut = F.array(*wide, *(F.max(F.when(F.col("above") > allowed(part), F.col("value"))) + 1 for part in range(BUDGETS + 1)))
     cuts = counts.groupBy("pool", "rule").agg(cut.alias("cut"))
     return cuts.groupBy("pool").agg(F.array_sort(F.collect_list(F.struct("rule", "cut"))).alias("cuts")).select("pool", F.col("cuts.cut").alias("cuts"))
 
@@ -163,9 +167,9 @@ def chosen_cutoffs(observations: DataFrame, share: int = SHARE, error: float = E
     # A pool whose texts are all of the holdout has no cutoffs, and rejects nothing.
     paths = pools.groupBy("pool").agg(F.sum("n").alias("n")).join(_paths(seen, share), "pool", "left")
     met = joined_spread(seen, paths, ["pool"], total)
-    hit = F.coalesce(F.array_min(F.filter(F.sequence(F.lit(0), F.lit(LEVELS)), lambda x: _reached(F.col("cuts"), F.col("signals"), x))), F.lit(LEVELS + 1))
+    hit = F.coalesce(F.array_min(F.filter(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda x: _reached(F.col("cuts"), F.col("signals"), x))), F.lit(LEVELS))
     met = met.select("pool", "clean", "holdout", "cuts", hit.alias("hit"))
-    by_level = lambda which: F.array(*(F.count_if(which & (F.col("hit") <= level)) for level in range(LEVELS + 1)))
+    by_level = lambda which: F.array(*(F.count_if(which & (F.col("hit") <= level)) for level in range(LEVELS)))
     met = met.groupBy("pool").agg(
         F.first("cuts", ignorenulls=True).alias("cuts"), F.count_if(is_held).alias("n_clean"), F.count_if(~F.col("clean")).alias("n_junk"),
         by_level(is_held).alias("wrong"), by_level(~F.col("clean")).alias("right"),
@@ -174,8 +178,8 @@ def chosen_cutoffs(observations: DataFrame, share: int = SHARE, error: float = E
     strata = met.count()
     tails = F.transform("wrong", lambda k: binomial_tail(k, F.col("n_clean"), share / 1000))
     one = met.withColumn("p", tails)
-    failed = F.array_min(F.filter(F.sequence(F.lit(0), F.lit(LEVELS)), lambda x: F.get("p", x) > error / max(strata, 1)))
-    one = one.withColumn("certified", F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(F.coalesce(failed, F.lit(LEVELS + 1))))
+    failed = F.array_min(F.filter(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda x: F.get("p", x) > error / max(strata, 1)))
+    one = one.withColumn("certified", F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(F.coalesce(failed, F.lit(LEVELS))))
     # The gain in whole numbers: junk rejected x clean texts - clean rejected x junk texts. Of equal gains the least level.
     gain = lambda x: F.struct((F.get("right", x) * F.col("n_clean") - F.get("wrong", x) * F.col("n_junk")).alias("gain"), (-x).alias("level"))
     best = F.when(F.col("certified") > 0, -F.array_max(F.transform(F.sequence(F.lit(0), F.col("certified") - 1), gain))["level"])
@@ -218,7 +222,8 @@ def rules_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def rules_sql(share: int = SHARE, error: float = ERROR, least: int = LEAST) -> str:
     """The report's rows in DuckDB SQL."""
-    levels, rules = LEVELS, len(RULES)
+    rules, first = len(RULES), len(MARGINS)
+    wide = " UNION ALL ".join(f"SELECT pool, rule, {i} AS level, (max(v) * {halves}) // 2 + {more + 1} AS cut FROM summed GROUP BY pool, rule" for i, (halves, more) in enumerate(MARGINS))
     return rf"""
 WITH docs AS MATERIALIZED (
     SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS stratum, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
@@ -246,8 +251,10 @@ pools AS MATERIALIZED (SELECT stratum, CASE WHEN count(*) FILTER (clean AND hold
 seen AS MATERIALIZED (SELECT pool, clean, holdout, signals FROM observed JOIN pools USING (stratum)),
 valued AS (SELECT pool, unnest(signals) AS v, unnest(range({rules})) AS rule FROM seen WHERE clean AND NOT holdout),
 summed AS (SELECT pool, rule, v, sum(count(*)) OVER (PARTITION BY pool, rule ORDER BY v DESC) AS above, sum(count(*)) OVER (PARTITION BY pool, rule) AS n FROM valued GROUP BY pool, rule, v),
-cuts AS MATERIALIZED (SELECT pool, rule, level, max(v) + 1 AS cut FROM summed, range({levels + 1}) AS l(level) WHERE above > (n * {share} * level) // {1000 * levels * rules} GROUP BY pool, rule, level),
-hits AS (SELECT pool, clean, holdout, level, (SELECT bool_or(signals[rule + 1] >= cut) FROM cuts WHERE cuts.pool = seen.pool AND cuts.level = l.level) AS hit FROM seen, range({levels + 1}) AS l(level)),
+cuts AS MATERIALIZED (
+    SELECT pool, rule, part + {first} AS level, max(v) + 1 AS cut FROM summed, range({BUDGETS + 1}) AS l(part) WHERE above > (n * {share} * part) // {1000 * BUDGETS * rules} GROUP BY pool, rule, part
+    UNION ALL {wide}),
+hits AS (SELECT pool, clean, holdout, level, (SELECT bool_or(signals[rule + 1] >= cut) FROM cuts WHERE cuts.pool = seen.pool AND cuts.level = l.level) AS hit FROM seen, range({LEVELS}) AS l(level)),
 tested AS MATERIALIZED (
     SELECT pool, level, count(*) FILTER (clean AND holdout) AS n, count(*) FILTER (clean AND holdout AND hit) AS k, count(*) FILTER (NOT clean) AS j, count(*) FILTER (NOT clean AND hit) AS caught
     FROM hits GROUP BY pool, level),
@@ -257,7 +264,7 @@ valued_p AS MATERIALIZED (
 failing AS (SELECT pool, min(level) AS level FROM valued_p WHERE p > {error} / (SELECT count(DISTINCT pool) FROM tested) GROUP BY pool),
 best AS (
     SELECT v.pool, max_by(v.level, [caught * n - k * j, -v.level]) AS level FROM valued_p AS v LEFT JOIN failing AS f ON v.pool = f.pool
-    WHERE v.level < coalesce(f.level, {levels + 1}) AND v.pool IN (SELECT pool FROM cuts) GROUP BY v.pool),
+    WHERE v.level < coalesce(f.level, {LEVELS}) AND v.pool IN (SELECT pool FROM cuts) GROUP BY v.pool),
 final AS MATERIALIZED (SELECT pool, rule, cut FROM cuts JOIN best USING (pool, level)),
 judged AS (
     SELECT r, bool_or(signals[rule + 1] >= cut) AS hit

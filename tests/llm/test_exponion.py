@@ -83,7 +83,7 @@ def test_report_equals_brute_force(spark, levels):
 def test_report_equals_its_sql(spark):
     df = spark.createDataFrame([(i, e, "own", 1) for i, e in vectors(3, 200)], SCHEMA)
     db = duckdb.connect()
-    db.register("embeddings", df.select("vec_id", "embedding").toPandas())
+    db.register("embeddings", df.select("vec_id", "embedding").toArrow())
     assert sorted(map(tuple, cluster_report(df).collect())) == sorted(db.sql(CLUSTER_SQL).fetchall())
 
 

@@ -61,6 +61,6 @@ def test_report_equals_its_sql(docs_of):
     docs = docs_of(rows)
     got = sorted(map(tuple, infill_report(docs).collect()))
     db = duckdb.connect()
-    db.register("documents", docs.toPandas())
+    db.register("documents", docs.toArrow())
     assert got == sorted(db.sql(INFILL_SQL).fetchall())
     assert {r[2] for r in got} == {"plain", "spm", "psm"}
