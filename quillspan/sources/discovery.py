@@ -1,6 +1,6 @@
 """Which sessions lie below a folder: file facts and a look at each file's first lines, as one table in order of the path.
 
-The look reads lines as rows; a file is never held whole. Only lines up to a fixed number count, which is the rule.
+The look reads each file's first lines and no others: only lines up to a fixed number count, which is the rule.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from quillspan.sources import session_lines
+
 # File patterns of the layouts, and how many lines a look takes.
 GLOBS = {"rollout": ("rollout-*.jsonl",), "messages": ("*.jsonl",)}
 LOOK = {"rollout": 50, "messages": 61}
@@ -64,28 +66,18 @@ def named(files: DataFrame, looks: DataFrame, layout: str) -> DataFrame:
     return found.withColumn("source_session_id", own).drop("session_id")
 
 
-def numbered(text: DataFrame) -> DataFrame:
-    """(file, line, value) of text rows with file metadata; lines are in order of their place, which is their row's in its split."""
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    return text.select(F.col("_metadata.file_path").alias("file"), place.alias("line"), "value")
-
-
 def discovered(spark: SparkSession, path: str, layout: str) -> DataFrame:
     """(file, mtime, size_bytes, cwd, git_branch, git_remote, source_session_id) of the sessions below path, in order of the path.
 
-    messages: sessions lie one folder deep, those of sub-agents in <folder>/<session>/subagents. A file without a byte is
-    not listed: Spark's readers skip it, and it holds no session.
+    messages: sessions lie one folder deep, those of sub-agents in <folder>/<session>/subagents. Of each file only the
+    lines of its look are read. A file without a byte is listed, under its name.
     """
     (glob,) = GLOBS[layout]
-    options = {"recursiveFileLookup": True, "pathGlobFilter": glob}
-    listed = spark.read.format("binaryFile").options(**options).load(path)
-    files = listed.select(F.col("path").alias("file"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size_bytes"))
-    lines = numbered(spark.read.options(**options).text(path))
+    files = session_lines.read(spark, path, "listing", glob=glob).select("file", F.col("modified").alias("mtime"), "size_bytes")
+    lines = session_lines.read(spark, path, glob=glob, first=LOOK[layout]).select("file", F.col("nth").alias("line"), "value")
     if layout == "messages":
         root = path.rstrip("/").removeprefix("file://") + "/"
         below = lambda c: F.substring_index(F.col(c), root, -1)
         shape = r"^[^/]+/[^/]+\.jsonl$|^[^/]+/[^/]+/subagents/[^/]+\.jsonl$"
         files, lines = (x.where(F.rlike(below("file"), F.lit(shape))) for x in (files, lines))
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:///")
-    files, lines = (x.withColumn("file", plain("file")) for x in (files, lines))
     return named(files, peeked(lines, layout), layout).orderBy("file")

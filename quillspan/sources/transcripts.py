@@ -21,6 +21,7 @@ from quillspan.functions.paths import normalized
 from quillspan.functions.text import bounded, redacted, stripped, summarized
 from quillspan.functions.times import iso_instant
 from quillspan.operators.sequences import final_status
+from quillspan.sources import session_lines
 
 # Wrappers that tools put around prompts, and marks of texts without one.
 WRAPPERS = ("environment_context", "recommended_plugins", "skills_instructions", "user_instructions", "available-skills", "system-reminder")
@@ -43,20 +44,14 @@ STEP = {
 }
 
 
-def split_lines(whole: DataFrame) -> DataFrame:
-    """(file, content_hash, line, value) of whole files (value, with file metadata); lines count from 1, blank ones too."""
-    files = whole.select(F.col("_metadata.file_path").alias("file"), F.sha2("value", 256).alias("content_hash"), "value")
-    return lines_of(files)
+def transcript_lines(spark: SparkSession, path: str, glob: str = "*.jsonl", **options) -> DataFrame:
+    """(file, line, value) of all files below path; lines count from 1, blank ones too. Options are those of session_lines."""
+    return session_lines.numbered(spark, path, glob=glob, **options).select("file", "line", "value")
 
 
-def lines_of(files: DataFrame) -> DataFrame:
-    """split_lines() of files that are rows (file, content_hash, value) already."""
-    return files.select("file", "content_hash", F.posexplode(F.split("value", "\n")).alias("line", "value")).withColumn("line", F.col("line") + 1)
-
-
-def transcript_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
-    """split_lines() of all files below path."""
-    return split_lines(spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob))
+def transcript_files(spark: SparkSession, path: str, glob: str = "*.jsonl", **options) -> DataFrame:
+    """(file, size_bytes, modified, content_hash) of all files below path; the hash is that of the raw bytes."""
+    return session_lines.read(spark, path, "files", glob=glob, **options)
 
 
 def _text(content, hidden: str | None = None) -> str:

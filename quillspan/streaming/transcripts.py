@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillspan.operators.sequences import GAP, failure_repairs, prepared
-from quillspan.sources.transcripts import file_touches, lines_of, session_table, steps
+from quillspan.sources import session_lines
+from quillspan.sources.transcripts import file_touches, session_table, steps
 from quillspan.tables import snapshot
 
 
 def file_stream(spark: SparkSession, path: str, glob: str = "*.jsonl", files_per_batch: int = 1000) -> DataFrame:
-    """(file, content_hash, value) of files as they arrive; a file that was written anew arrives again."""
-    reader = spark.readStream.schema("value string").options(wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob, maxFilesPerTrigger=files_per_batch)
-    whole = reader.format("text").load(path)
-    return whole.select(F.col("_metadata.file_path").alias("file"), F.sha2("value", 256).alias("content_hash"), "value")
+    """(file) of files as they arrive, no bytes of them; a file that was written anew arrives again."""
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    found = reader.options(recursiveFileLookup=True, pathGlobFilter=glob, maxFilesPerTrigger=files_per_batch).load(path)
+    return found.select(F.col("path").alias("file"))
 
 
 def start_import(spark: SparkSession, path: str, layout: str, out: str, checkpoint: str, root: str | None = None, once: bool = False, **options) -> StreamingQuery:
@@ -26,8 +29,12 @@ def start_import(spark: SparkSession, path: str, layout: str, out: str, checkpoi
     """
 
     def keep(batch: DataFrame, number: int) -> None:
+        names = [r["file"] for r in batch.select("file").distinct().collect()]  # files_per_batch at most
+        if not names:
+            return
+        lines = session_lines.numbered(spark, paths=json.dumps(names))
         at = {name: f"{out}/{name}/batch={number}" for name in ("events", "headers", "touches")}
-        events, headers = session_table(snapshot(steps(lines_of(batch), layout), "steps"), root)
+        events, headers = session_table(snapshot(steps(lines, layout), "steps"), root)
         events.write.mode("overwrite").parquet(at["events"])
         headers.write.mode("overwrite").parquet(at["headers"])
         file_touches(spark.read.parquet(at["events"])).write.mode("overwrite").parquet(at["touches"])

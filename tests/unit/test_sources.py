@@ -71,10 +71,10 @@ def test_discovery(spark, tmp_path):
     put(tmp_path, "r/2026/rollout-a.jsonl", ["", "no json", meta])
     put(tmp_path, f"r/rollout-2026-{uuid}.jsonl", [{"type": "turn_context"}, meta])
     put(tmp_path, "r/rollout-b.jsonl", ["", ""])
-    put(tmp_path, "r/rollout-c.jsonl", [])  # no bytes, no session
+    put(tmp_path, "r/rollout-c.jsonl", [])  # no bytes: listed by its name
     put(tmp_path, "r/other.jsonl", [meta])
     found = D.discovered(spark, str(tmp_path / "r"), "rollout").collect()
-    assert [(r["source_session_id"], r["cwd"], r["git_branch"], r["git_remote"]) for r in found] == [("own", "/w", "main", "u"), (uuid, None, None, None), ("rollout-b", None, None, None)]
+    assert [(r["source_session_id"], r["cwd"], r["git_branch"], r["git_remote"]) for r in found] == [("own", "/w", "main", "u"), (uuid, None, None, None), ("rollout-b", None, None, None), ("rollout-c", None, None, None)]
     assert found[0]["size_bytes"] > 0 and found[2]["size_bytes"] == 1
     line = {"sessionId": "s", "cwd": "/w"}
     put(tmp_path, "m/p/a.jsonl", [{"sessionId": "s"}, {"cwd": "/w"}, {"gitBranch": "late"}])
