@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillspan.session import table
 from quillspan.sources import session_lines
 from quillspan.tables import shared_dir
+from quillspan.versions import Pass, version, versions
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -35,3 +36,33 @@ def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines.repartition(8, "bucket").sortWithinPartitions("bucket", "event_id").select("bucket", "value").write.partitionBy("bucket").text(path)
     found = session_lines.numbered(spark, path, glob="part-*", blockbytes=1 << 16)
     return found.select(F.regexp_extract("file", r"bucket=(\d+)", 1).cast("int").alias("bucket"), "line", "byte_start", "value")
+
+
+@query(
+    """SELECT 1 AS version, o_orderstatus, count(*) AS orders, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS price, (SELECT count(*) FROM lineitem) AS lines FROM orders GROUP BY ALL
+UNION ALL SELECT 2, o_orderstatus, count(*), sum(CAST(o_totalprice AS DECIMAL(18,2))), (SELECT count(*) FROM lineitem WHERE l_orderkey % 3 <> 0) FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY ALL"""
+)
+def published_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and their lines as one version, a pass that fails between its two writes, and a version without every third order; each version as it reads at the end."""
+    root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    orders, lines = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    with Pass(spark, root) as p:
+        p.put("orders", orders)
+        p.put("lines", lines)
+    try:
+        with Pass(spark, root) as p:
+            p.put("orders", orders.where("o_orderkey % 2 = 0"))
+            raise InterruptedError
+    except InterruptedError:
+        pass
+    with Pass(spark, root) as p:
+        p.put("orders", p.base["orders"].where("o_orderkey % 3 <> 0"))
+        p.put("lines", p.base["lines"].where("l_orderkey % 3 <> 0"))
+    out = None
+    for n in versions(spark, root):
+        v = version(spark, root, n)
+        price = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("decimal(38,2)").alias("price")
+        one = v["orders"].groupBy("o_orderstatus").agg(F.count("*").alias("orders"), price).withColumn("version", F.lit(n))
+        one = one.crossJoin(F.broadcast(v["lines"].agg(F.count("*").alias("lines"))))  # one row
+        out = one if out is None else out.unionByName(one)
+    return out
