@@ -10,6 +10,7 @@ from quillspan.functions import values as V
 from quillspan.functions.commands import command_family
 from quillspan.functions.paths import directory, extension, language, repository_path
 from quillspan.functions.scores import placement_scores
+from quillspan.functions.digests import row_digest, set_digest
 from quillspan.functions.text import collapsed
 
 # Patterns that say what to do, triage marks that bar a proposal, and absolute paths in texts.
@@ -33,37 +34,58 @@ def public_content(lesson: Column, summary: Column, title: Column) -> Column:
 
 
 def diagnostics(placed: DataFrame) -> DataFrame:
-    """(group_key, placement, code, polarity): what speaks for (+) and against (-) each placement, a row each.
+    """(group_key, placement, code, polarity, message, value): what speaks for (+) and against (-) each placement, a row each.
 
-    placed has a row for each group and placement with the columns of features().
+    placed has a row for each group and placement with the columns of features(). value is the number that the message
+    rests on. The messages are fixed values.
     """
     c = F.col
-    scoped = F.coalesce(c("scope_value"), F.lit("")) != ""
+    scope_type, scope_value = F.coalesce(c("scope_type"), F.lit("")), F.coalesce(c("scope_value"), F.lit(""))
+    scoped = scope_value != ""
     sign = lambda good: F.when(good, "+").otherwise("-")
-    say = lambda when, code, polarity: F.when(when, F.struct(F.lit(code).alias("code"), polarity.alias("polarity")))
     for_ = lambda name: c("placement") == name
-    weak, vague = c("support_ratio") < 0.75, c("actionability") < 0.5
-    wait = for_("defer")
+    weak, vague, ignored = c("support_ratio") < 0.75, c("actionability") < 0.5, for_("ignore")
+
+    def say(when, code, polarity, value, *message):
+        text = F.concat(*(m if isinstance(m, Column) else F.lit(m) for m in message))
+        return F.when(when, F.struct(F.lit(code).alias("code"), polarity.alias("polarity"), text.alias("message"), F.round(value.cast("double"), 4).alias("value")))
+
+    percent = F.format_string("%.0f%%", 100 * c("project_concentration"))
+    gate = F.when(c("global_eligible"), F.format_string("balanced repeated support across %d projects", c("project_count"))).otherwise("insufficient balanced repeated independent-project support")
+    procedure = F.when(c("procedural_complexity") >= 0.5, "repeated evidence contains multi-operation ordered workflows").otherwise("evidence does not show repeated multi-operation workflows")
+    evidence = F.when(scoped, F.concat(c("scope_support_count").cast("string"), F.lit(" supports concentrate in "), scope_type, F.lit(": "), scope_value)).otherwise("no repeated evidence-backed technical scope")
+    none = F.lit(None).cast("double")
     notes = F.array(
-        say(F.lit(True), "support", sign(c("support_count") > 0)), say(c("contradiction_count") > 0, "contradictions", F.lit("-")),
-        say(for_("global_rule"), "global_gate", sign(c("global_eligible"))), say(for_("global_rule") & scoped, "specific_scope", F.lit("-")),
-        say(for_("project_rule"), "project_concentration", sign(c("project_concentration") >= 0.75)), say(for_("project_rule") & scoped, "scope_alternative", F.lit("-")),
-        say(for_("scoped_rule"), "scope_evidence", sign(scoped)), say(for_("skill"), "procedure", sign(c("procedural_complexity") >= 0.5)),
-        say(wait & weak, "weak_or_mixed", F.lit("+")), say(wait & vague, "actionability", F.lit("+")), say(wait & ~weak & ~vague, "actionability", F.lit("-")),
+        say(F.lit(True), "support", sign(c("support_count") > 0), c("support_count"), c("support_count").cast("string"), " supporting occurrence(s)"),
+        say(c("contradiction_count") > 0, "contradictions", F.lit("-"), c("contradiction_count"), c("contradiction_count").cast("string"), " contradicting occurrence(s)"),
+        say(for_("global_rule"), "global_gate", sign(c("global_eligible")), c("project_count"), gate),
+        say(for_("global_rule") & scoped, "specific_scope", F.lit("-"), none, "evidence concentrates in ", scope_type, ": ", scope_value),
+        say(for_("project_rule"), "project_concentration", sign(c("project_concentration") >= 0.75), c("project_concentration"), "largest project supplies ", percent, " of support"),
+        say(for_("project_rule") & scoped, "scope_alternative", F.lit("-"), none, "a repeated ", scope_type, " scope is also available"),
+        say(for_("scoped_rule"), "scope_evidence", sign(scoped), F.when(scoped, c("scope_concentration")), evidence),
+        say(for_("skill"), "procedure", sign(c("procedural_complexity") >= 0.5), c("procedural_complexity"), procedure),
+        say(ignored & weak, "weak_or_mixed", F.lit("+"), c("support_ratio"), "mixed or weak support raises defer preference"),
+        say(ignored & vague, "actionability", F.lit("+"), c("actionability"), "pattern is not yet a concrete reusable instruction"),
+        say(ignored & ~weak & ~vague, "actionability", F.lit("-"), c("actionability"), "evidence is actionable enough for a placement alternative"),
     )
     rows = placed.select("group_key", "placement", F.explode(F.filter(notes, lambda x: x.isNotNull())).alias("x"))
-    return rows.select("group_key", "placement", "x.code", "x.polarity")
+    return rows.select("group_key", "placement", "x.*")
 
 
-def source_fingerprints(experiences: DataFrame, evidence: DataFrame, version: str, keys: list[str], evidence_keys: list[str]) -> DataFrame:
-    """(group_key, fingerprint): a SHA-256 over the named columns of an experience and of all its evidence, and the version.
+def source_fingerprints(experiences: DataFrame, evidence: DataFrame, version: str, keys: list[str], evidence_keys: list[str], events: DataFrame | None = None, event_keys: tuple[str, ...] = ()) -> DataFrame:
+    """(group_key, fingerprint): a SHA-256 over the version, the named columns of an experience and of all its evidence, and the
+    named columns of all events of the evidence's trajectories.
 
-    Evidence counts as a set of row digests in order, so that its order in the table has no part.
+    Evidence and events count as sets of row digests, whatever their order in the tables.
     """
-    line = lambda names: F.to_json(F.struct(*sorted(names)), {"ignoreNullFields": "false"})
-    each = evidence.select("group_key", F.sha2(line(evidence_keys), 256).alias("d")).groupBy("group_key").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ","), 256).alias("e"))
-    own = experiences.select("group_key", line(keys).alias("own")).join(each, "group_key", "left")
-    return own.select("group_key", F.sha2(F.concat_ws("|", F.lit(version), "own", F.coalesce("e", F.lit(""))), 256).alias("fingerprint"))
+    each = evidence.select("group_key", row_digest(evidence, evidence_keys).alias("d")).groupBy("group_key").agg(set_digest("d").alias("e"))
+    own = experiences.select("group_key", row_digest(experiences, keys).alias("own")).join(each, "group_key", "left").withColumn("t", F.lit(""))
+    if events is not None:
+        tracks = events.select("trajectory_id", row_digest(events, event_keys).alias("d")).groupBy("trajectory_id").agg(set_digest("d").alias("d"))
+        seen = evidence.select("group_key", "trajectory_id").distinct().join(tracks, "trajectory_id")
+        seen = seen.select("group_key", F.sha2(F.concat_ws("|", F.col("trajectory_id").cast("string"), "d"), 256).alias("d")).groupBy("group_key").agg(set_digest("d").alias("seen"))
+        own = own.join(seen, "group_key", "left").withColumn("t", F.coalesce("seen", F.lit("")))
+    return own.select("group_key", F.sha2(F.concat_ws("|", F.lit(version), "own", F.coalesce("e", F.lit("")), "t"), 256).alias("fingerprint"))
 
 
 def outdated(experiences: DataFrame, fingerprints: DataFrame, sets: DataFrame, version: str) -> DataFrame:

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.operators import generation as G
+from quillspan.operators import placement as P
 from quillspan.session import table
 from quillspan.sources import session_lines
 from quillspan.tables import shared_dir
@@ -66,3 +68,45 @@ def published_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = one.crossJoin(F.broadcast(v["lines"].agg(F.count("*").alias("lines"))))  # one row
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# Customers as experiences, their orders as evidence; the sets of the pass before rest on orders of which some differed.
+
+_MARKS = ("unreviewed", "false_positive", "needs_more_evidence", "useful")
+
+
+@query(
+    """WITH changed AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 97 = 0)
+SELECT c_custkey AS group_key, CASE WHEN c_custkey % 10 <> 3 AND c_custkey % 11 <> 4 AND c_custkey % 13 <> 5 AND c_custkey NOT IN (SELECT o_custkey FROM changed) THEN 'unchanged' ELSE 'regenerate' END AS action
+FROM customer WHERE c_nationkey % 5 <> 0 AND c_custkey % 4 NOT IN (1, 2)"""
+)
+def generation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which proposal sets are made anew: no set (key % 10 = 3), another version (% 11 = 4), four proposals (% 13 = 5), or evidence that has changed."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    key = F.col("c_custkey")
+    experiences = c.select(key.alias("group_key"), "c_name", "c_acctbal", F.when(F.col("c_nationkey") % 5 != 0, "candidate").otherwise("needs_more_evidence").alias("status"), F.element_at(F.array(*map(F.lit, _MARKS)), (key % 4 + 1).cast("int")).alias("review_status"))
+    evidence = o.select(F.col("o_custkey").alias("group_key"), "o_orderkey", "o_totalprice", "o_orderdate")
+    keys, evidence_keys = ["c_name", "c_acctbal", "status", "review_status"], ["o_orderkey", "o_totalprice", "o_orderdate"]
+    before = evidence.withColumn("o_totalprice", F.col("o_totalprice") + F.when(F.col("o_orderkey") % 97 == 0, 1.0).otherwise(0.0))
+    sets = P.source_fingerprints(experiences, before, "g", keys, evidence_keys).where("group_key % 10 <> 3").withColumn("version", F.when(F.col("group_key") % 11 == 4, "old").otherwise("g"))
+    made = experiences.select("group_key", F.explode(F.array(*map(F.lit, G.PLACEMENTS))).alias("placement")).where("group_key % 13 <> 5 or placement <> 'skill'")
+    return G.planned(experiences, P.source_fingerprints(experiences, evidence, "g", keys, evidence_keys), sets, made, "g").select("group_key", "action")
+
+
+@query(
+    """WITH p AS (SELECT p_partkey AS g FROM part), v AS (
+SELECT g, 'types' AS rule FROM p WHERE g % 7 = 0 UNION SELECT g, 'ranks' FROM p WHERE g % 11 = 0 UNION SELECT g, 'fields' FROM p WHERE g % 13 = 0
+UNION SELECT l_partkey, 'evidence' FROM lineitem WHERE l_orderkey % 50 = 0 UNION SELECT l_partkey, 'orphan' FROM lineitem WHERE l_partkey % 7 = 0)
+SELECT g AS group_key, rule FROM v"""
+)
+def proposal_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as sets of five proposals: a type that is none (key % 7 = 0), ranks that tie (% 11), no content (% 13), and lines as links, some of orders that are no evidence."""
+    key = F.col("p_partkey")
+    one = table(spark, sf_dir, "part").select(key.alias("group_key"), F.posexplode(F.array(*map(F.lit, G.PLACEMENTS))).alias("rank", "placement"))
+    g, skill = F.col("group_key"), F.col("placement") == "skill"
+    rows = one.select(
+        "group_key", F.when((g % 7 == 0) & skill, "defer").otherwise(F.col("placement")).alias("placement"), F.when((g % 11 == 0) & skill, 1).otherwise(F.col("rank") + 1).alias("rank"),
+        F.lit(0.5).alias("score"), F.lit("global").alias("target_type"), F.when((g % 13 != 0) | ~skill, "c").alias("content"),
+    )
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("group_key"), F.col("l_orderkey").alias("occurrence_id"))
+    return G.set_violations(rows, lines.withColumn("placement", F.lit("skill")), lines.where("occurrence_id % 50 <> 0"))

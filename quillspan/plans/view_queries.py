@@ -105,25 +105,32 @@ def session_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Parts as experiences: the size gives the counts, the key the marks.
 
-_PLACES = ("global_rule", "project_rule", "scoped_rule", "skill", "defer")
+_PLACES = ("global_rule", "project_rule", "scoped_rule", "skill", "ignore")
 
 
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, key = F.col("p_size").cast("long"), F.col("p_partkey")
     return table(spark, sf_dir, "part").select(
-        key.alias("group_key"), _pick(_PLACES, key).alias("placement"), (n % 5).alias("support_count"), (n % 3).alias("contradiction_count"), (n % 2 == 0).alias("global_eligible"),
-        F.when(n % 4 == 0, F.lit("src")).alias("scope_value"), (n / 50.0).alias("project_concentration"), (n / 50.0).alias("procedural_complexity"), (n / 50.0).alias("support_ratio"), ((50 - n) / 50.0).alias("actionability"),
+        key.alias("group_key"), _pick(_PLACES, key).alias("placement"), (n % 5).alias("support_count"), (n % 3).alias("contradiction_count"), (n % 2 == 0).alias("global_eligible"), (n % 7).alias("project_count"),
+        F.when(n % 4 == 0, F.lit("directory")).otherwise("global").alias("scope_type"), F.when(n % 4 == 0, F.lit("src")).alias("scope_value"), (n % 6).alias("scope_support_count"), (n / 64.0).alias("scope_concentration"),
+        (n / 64.0).alias("project_concentration"), (n / 64.0).alias("procedural_complexity"), (n / 64.0).alias("support_ratio"), ((64 - n) / 64.0).alias("actionability"),
     )
 
 
 @query(
-    f"""WITH p AS (SELECT p_partkey AS group_key, {_case(_PLACES, 'p_partkey')} AS placement, p_size AS n, p_size / 50.0 AS share, (50 - p_size) / 50.0 AS act FROM part)
-SELECT group_key, placement, 'support' AS code, CASE WHEN n % 5 > 0 THEN '+' ELSE '-' END AS polarity FROM p UNION ALL SELECT group_key, placement, 'contradictions', '-' FROM p WHERE n % 3 > 0
-UNION ALL SELECT group_key, placement, 'global_gate', CASE WHEN n % 2 = 0 THEN '+' ELSE '-' END FROM p WHERE placement = 'global_rule' UNION ALL SELECT group_key, placement, 'specific_scope', '-' FROM p WHERE placement = 'global_rule' AND n % 4 = 0
-UNION ALL SELECT group_key, placement, 'project_concentration', CASE WHEN share >= 0.75 THEN '+' ELSE '-' END FROM p WHERE placement = 'project_rule' UNION ALL SELECT group_key, placement, 'scope_alternative', '-' FROM p WHERE placement = 'project_rule' AND n % 4 = 0
-UNION ALL SELECT group_key, placement, 'scope_evidence', CASE WHEN n % 4 = 0 THEN '+' ELSE '-' END FROM p WHERE placement = 'scoped_rule' UNION ALL SELECT group_key, placement, 'procedure', CASE WHEN share >= 0.5 THEN '+' ELSE '-' END FROM p WHERE placement = 'skill'
-UNION ALL SELECT group_key, placement, 'weak_or_mixed', '+' FROM p WHERE placement = 'defer' AND share < 0.75 UNION ALL SELECT group_key, placement, 'actionability', '+' FROM p WHERE placement = 'defer' AND act < 0.5
-UNION ALL SELECT group_key, placement, 'actionability', '-' FROM p WHERE placement = 'defer' AND share >= 0.75 AND act >= 0.5"""
+    f"""WITH p AS (SELECT p_partkey AS group_key, {_case(_PLACES, 'p_partkey')} AS placement, CAST(p_size AS BIGINT) AS n, p_size / 64.0 AS share, (64 - p_size) / 64.0 AS act FROM part),
+d AS (SELECT group_key, placement, 'support' AS code, CASE WHEN n % 5 > 0 THEN '+' ELSE '-' END AS polarity, (n % 5) || ' supporting occurrence(s)' AS message, n % 5 AS value FROM p
+UNION ALL SELECT group_key, placement, 'contradictions', '-', (n % 3) || ' contradicting occurrence(s)', n % 3 FROM p WHERE n % 3 > 0
+UNION ALL SELECT group_key, placement, 'global_gate', CASE WHEN n % 2 = 0 THEN '+' ELSE '-' END, CASE WHEN n % 2 = 0 THEN 'balanced repeated support across ' || (n % 7) || ' projects' ELSE 'insufficient balanced repeated independent-project support' END, n % 7 FROM p WHERE placement = 'global_rule'
+UNION ALL SELECT group_key, placement, 'specific_scope', '-', 'evidence concentrates in directory: src', NULL FROM p WHERE placement = 'global_rule' AND n % 4 = 0
+UNION ALL SELECT group_key, placement, 'project_concentration', CASE WHEN share >= 0.75 THEN '+' ELSE '-' END, 'largest project supplies ' || printf('%.0f', floor(100 * share + 0.5)) || '% of support', share FROM p WHERE placement = 'project_rule'
+UNION ALL SELECT group_key, placement, 'scope_alternative', '-', 'a repeated directory scope is also available', NULL FROM p WHERE placement = 'project_rule' AND n % 4 = 0
+UNION ALL SELECT group_key, placement, 'scope_evidence', CASE WHEN n % 4 = 0 THEN '+' ELSE '-' END, CASE WHEN n % 4 = 0 THEN (n % 6) || ' supports concentrate in directory: src' ELSE 'no repeated evidence-backed technical scope' END, CASE WHEN n % 4 = 0 THEN share END FROM p WHERE placement = 'scoped_rule'
+UNION ALL SELECT group_key, placement, 'procedure', CASE WHEN share >= 0.5 THEN '+' ELSE '-' END, CASE WHEN share >= 0.5 THEN 'repeated evidence contains multi-operation ordered workflows' ELSE 'evidence does not show repeated multi-operation workflows' END, share FROM p WHERE placement = 'skill'
+UNION ALL SELECT group_key, placement, 'weak_or_mixed', '+', 'mixed or weak support raises defer preference', share FROM p WHERE placement = 'ignore' AND share < 0.75
+UNION ALL SELECT group_key, placement, 'actionability', '+', 'pattern is not yet a concrete reusable instruction', act FROM p WHERE placement = 'ignore' AND act < 0.5
+UNION ALL SELECT group_key, placement, 'actionability', '-', 'evidence is actionable enough for a placement alternative', act FROM p WHERE placement = 'ignore' AND share >= 0.75 AND act >= 0.5)
+SELECT group_key, placement, code, polarity, message, round(CAST(value AS DOUBLE), 4) AS value FROM d"""
 )
 def placement_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.diagnostics(_placed(spark, sf_dir))
