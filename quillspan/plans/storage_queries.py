@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.functions import nested as N
 from quillspan.operators import generation as G
 from quillspan.operators import placement as P
+from quillspan.operators import previews as PV
 from quillspan.session import table
 from quillspan.sources import session_lines
 from quillspan.tables import shared_dir
@@ -110,3 +112,58 @@ def proposal_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("group_key"), F.col("l_orderkey").alias("occurrence_id"))
     return G.set_violations(rows, lines.withColumn("placement", F.lit("skill")), lines.where("occurrence_id % 50 <> 0"))
+
+
+# Events' props inside made-up nesting, with their fields in one of three orders.
+
+
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("event_id")
+    inner = F.concat(F.lit('{"who":'), F.col("user_id").cast("string"), F.lit(',  "note":"a \\"'), F.col("event_type"), F.lit('\\" \\u00e9\\n"}'))
+    fields = (F.concat(F.lit('"zeta" : '), F.col("props")), F.concat(F.lit('"alpha":['), inner, F.lit(" , true,null]")), F.concat(F.lit('"Mid":{"b":{"y":1,"x":[]},"a":"TOKEN=abcdef'), key.cast("string"), F.lit('"}')))
+    orders = [F.concat(F.lit("{"), *(part for i in order for part in (fields[i], F.lit(",")))) for order in ((0, 1, 2), (2, 0, 1), (1, 2, 0))]
+    text = F.when(key % 3 == 0, orders[0]).when(key % 3 == 1, orders[1]).otherwise(orders[2])
+    return table(spark, sf_dir, "events").select("event_id", F.concat(F.regexp_replace(text, ",$", ""), F.lit("}")).alias("t"))
+
+
+_NESTED_SQL = """'{"Mid": {"a": "' || {secret} || '", "b": {"x": [], "y": 1}}, "alpha": [{"note": "a \\"' || event_type || '\\" é\\n", "who": ' || user_id || '}, true, null], "zeta": {"k": ' || regexp_extract(props, '"k": *([0-9]+)', 1) || '}}'"""
+
+
+@query("SELECT event_id, c AS canonical, sha256(c) AS digest FROM (SELECT event_id, " + _NESTED_SQL.replace("{secret}", "'TOKEN=abcdef' || event_id") + " AS c FROM events) x")
+def canonical_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested texts with keys sorted at every depth, and the digest, which the order of fields doesn't change."""
+    return _nested(spark, sf_dir).select("event_id", N.canonical_json(F.col("t")).alias("canonical"), N.canonical_hash(F.col("t")).alias("digest"))
+
+
+@query("SELECT event_id, TRUE AS redacted, " + _NESTED_SQL.replace("{secret}", "'TOKEN=[REDACTED:env-secret]'") + " AS canonical FROM events")
+def redacted_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A secret two levels down is redacted; the text around it stays, which its canonical form shows."""
+    return _nested(spark, sf_dir).select("event_id", N.redacted_json(F.col("t")).alias("r")).select("event_id", "r.redacted", N.canonical_json(F.col("r.text")).alias("canonical"))
+
+
+@query(
+    """SELECT event_id, event_id % 5 IN (0, 1) AS ok, CASE event_id % 5 WHEN 0 THEN CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) END AS k FROM events"""
+)
+def decoded_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Props as they are, in a list, with more behind them, cut short, and as no JSON: whether they can be read, and an object's field."""
+    key, p = F.col("event_id"), F.col("props")
+    text = F.when(key % 5 == 0, p).when(key % 5 == 1, F.concat(F.lit("["), p, F.lit("]"))).when(key % 5 == 2, F.concat(p, F.lit(" {}"))).when(key % 5 == 3, F.expr("substring(props, 1, length(props) - 1)")).otherwise(F.concat(F.lit("props "), p))
+    e = table(spark, sf_dir, "events").select("event_id", text.alias("t"))
+    return e.select("event_id", N.decoded(F.col("t"))["ok"].alias("ok"), F.try_variant_get(N.decoded_or(F.col("t")), "$.k", "int").alias("k"))
+
+
+@query(
+    """WITH l AS (SELECT l_orderkey, string_agg(l_linenumber || ' ' || l_partkey || chr(10), '' ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR)) AS before,
+  coalesce(string_agg(l_linenumber || ' ' || l_partkey || chr(10), '' ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR)) FILTER (l_returnflag <> 'R'), '') || 'total ' || l_orderkey AS after,
+  count(*) FILTER (l_returnflag = 'R') AS removed FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, sha256(before) AS before_sha256, sha256(after) AS after_sha256, CAST(1 AS BIGINT) AS added, removed, TRUE AS whole FROM l"""
+)
+def preview_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's lines as a file, from which returned ones are taken and to which a total is put: hunks, and what they make of the file."""
+    said = F.concat_ws(" ", "l_linenumber", "l_partkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", F.concat(said, F.lit("\n")).alias("t")).alias("x"), (F.col("l_returnflag") != "R").alias("stays"))
+    text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["t"]), "")
+    files = lines.groupBy("l_orderkey").agg(text(F.col("x")).alias("before"), text(F.when(F.col("stays"), F.col("x"))).alias("rest"))
+    files = files.select("l_orderkey", F.lit("f").alias("path"), "before", F.concat("rest", F.lit("total "), F.col("l_orderkey").cast("string")).alias("after"))
+    found = PV.with_patched(PV.with_hunks(files)).withColumn("n", PV.line_counts(F.col("hunks")))
+    return found.select("l_orderkey", "before_sha256", "after_sha256", "n.added", "n.removed", (F.col("patched") == F.col("after")).alias("whole"))
