@@ -95,7 +95,9 @@ class Vocabulary:
 
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    made = Vocabulary(path)
+    bk.gave_back()
+    return made
 
 
 def merge_words(voc: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -219,7 +221,7 @@ def _text_blocks(batch: pa.RecordBatch, text_col: str, most: int) -> Iterator[tu
         at = to
 
 
-def encode(docs: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str = "token_ids", decoded_col: str | None = None, block_bytes: int = 12 << 20) -> DataFrame:
+def encode(docs: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str = "token_ids", decoded_col: str | None = None, block_bytes: int = 4 << 20) -> DataFrame:
     """docs with a column of token ids, an array of int, for each whole text, and with decoded_col, if named, the text
     decoded from the ids in the same task (it may take text_col's place).
 
@@ -241,6 +243,7 @@ def encode(docs: DataFrame, vocab_path: str, text_col: str = "text", ids_col: st
                 part = batch.slice(at, len(texts)).select(list(range(len(rest))))
                 back = [pa.array([decode_ids(voc, r) for r in rows], pa.string())] if decoded_col else []
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, *back], names=[*rest, *new])
+            bk.gave_back()
 
     return base.mapInArrow(run, schema)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,19 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except AttributeError:  # another C library
+    _trim = None
+
+
+def gave_back() -> None:
+    """Returns a worker's freed memory to the system; Python workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def blocks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows with about `most` bytes; a longer row is a run of its own. Null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -49,7 +63,7 @@ def blocks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndar
         to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
         yield at, data[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
         at = to
-    pa.default_memory_pool().release_unused()
+    gave_back()
 
 
 def class_table(separators: bytes) -> np.ndarray:
