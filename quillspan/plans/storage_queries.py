@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions import nested as N
+from quillspan.operators import cascade as C
 from quillspan.operators import generation as G
 from quillspan.operators import placement as P
 from quillspan.operators import previews as PV
@@ -167,3 +168,39 @@ def preview_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = files.select("l_orderkey", F.lit("f").alias("path"), "before", F.concat("rest", F.lit("total "), F.col("l_orderkey").cast("string")).alias("after"))
     found = PV.with_patched(PV.with_hunks(files)).withColumn("n", PV.line_counts(F.col("hunks")))
     return found.select("l_orderkey", "before_sha256", "after_sha256", "n.added", "n.removed", (F.col("patched") == F.col("after")).alias("whole"))
+
+
+@query(
+    """WITH n AS (SELECT n_nationkey FROM nation WHERE n_regionkey = 1), c AS (SELECT * FROM customer WHERE c_nationkey NOT IN (FROM n)), o AS (SELECT * FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey IN (FROM n))),
+s AS (SELECT * FROM supplier WHERE s_nationkey NOT IN (FROM n)), gone AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey IN (FROM n))),
+l AS (SELECT l_orderkey, CASE WHEN l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey IN (FROM n)) THEN l_suppkey END AS l_suppkey FROM lineitem WHERE l_orderkey NOT IN (FROM gone))
+SELECT 'nation' AS name, count(*) AS n, sum(n_nationkey)::BIGINT AS keys FROM nation WHERE n_regionkey <> 1 UNION ALL SELECT 'customer', count(*), sum(c_custkey)::BIGINT FROM c UNION ALL SELECT 'supplier', count(*), sum(s_suppkey)::BIGINT FROM s
+UNION ALL SELECT 'orders', count(*), sum(o_orderkey)::BIGINT FROM o UNION ALL SELECT 'lineitem', count(*), sum(l_suppkey)::BIGINT FROM l"""
+)
+def cascade_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A region's nations go, with them customers, orders and lines, and suppliers, which lines forget: what is left of each table."""
+    names = {"nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "orders": "o_orderkey", "lineitem": "l_suppkey"}
+    tables = {n: table(spark, sf_dir, n) for n in names}
+    refs = [
+        C.Reference("customer", "nation", {"c_nationkey": "n_nationkey"}), C.Reference("supplier", "nation", {"s_nationkey": "n_nationkey"}), C.Reference("orders", "customer", {"o_custkey": "c_custkey"}),
+        C.Reference("lineitem", "orders", {"l_orderkey": "o_orderkey"}), C.Reference("lineitem", "supplier", {"l_suppkey": "s_suppkey"}, forget=True),
+    ]
+    out = None
+    for name, df in C.deleted(tables, refs, {"nation": tables["nation"].where("n_regionkey = 1").select("n_nationkey")}).items():
+        one = df.agg(F.count("*").alias("n"), F.sum(names[name]).cast("long").alias("keys")).withColumn("name", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    """WITH l AS (SELECT DISTINCT l_partkey AS k, l_orderkey AS v, l_quantity FROM lineitem), old AS (SELECT k, min(v) AS v FROM l WHERE l_quantity < 3 GROUP BY k), new AS (SELECT k, v FROM l WHERE l_quantity >= 3)
+SELECT 'first' AS rule, k, v FROM old UNION ALL SELECT 'first', k, min(v) FROM new WHERE k NOT IN (SELECT k FROM old) GROUP BY k
+UNION ALL SELECT 'last', k, v FROM old WHERE k NOT IN (SELECT k FROM new) UNION ALL SELECT 'last', k, max(v) FROM new GROUP BY k"""
+)
+def keyed_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' orders merged into those of small quantities, once keeping the first and once the last of each part."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k"), F.col("l_orderkey").alias("v"), "l_quantity")
+    old = lines.where("l_quantity < 3").groupBy("k").agg(F.min("v").alias("v"))
+    new = lines.where("l_quantity >= 3").select("k", "v")
+    first, last = C.added_or_ignored(old, new, ["k"], [F.col("v")]), C.added_or_replaced(old, new, ["k"], [F.col("v")])
+    return first.select(F.lit("first").alias("rule"), "k", "v").unionByName(last.select(F.lit("last").alias("rule"), "k", "v"))
