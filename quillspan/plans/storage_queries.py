@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions import nested as N
+from quillspan.operators import advice as A
 from quillspan.operators import cascade as C
 from quillspan.operators import generation as G
 from quillspan.operators import placement as P
@@ -204,3 +205,36 @@ def keyed_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = lines.where("l_quantity >= 3").select("k", "v")
     first, last = C.added_or_ignored(old, new, ["k"], [F.col("v")]), C.added_or_replaced(old, new, ["k"], [F.col("v")])
     return first.select(F.lit("first").alias("rule"), "k", "v").unionByName(last.select(F.lit("last").alias("rule"), "k", "v"))
+
+
+# Orders as recommendations for customers' policies: a customer and a status make an id, every third order stands in the ledger.
+
+
+@query(
+    """WITH r AS (SELECT o_custkey || '-' || o_orderstatus AS id, o_custkey AS v, o_orderkey AS n FROM orders), lg AS (SELECT id, v, min(n) AS n FROM r WHERE n % 3 = 0 GROUP BY id, v),
+fresh AS (SELECT id, v, min(n) AS n FROM r WHERE n % 3 <> 0 AND id NOT IN (SELECT id FROM lg) GROUP BY id, v)
+SELECT id AS recommendation_id, n AS "at", CASE WHEN row_number() OVER (PARTITION BY v ORDER BY n DESC, id DESC) = 1 THEN 'open' ELSE 'superseded' END AS status FROM fresh
+UNION ALL SELECT id, n, CASE n % 4 WHEN 0 THEN 'rejected' WHEN 1 THEN CASE WHEN v IN (SELECT v FROM fresh) THEN 'superseded' ELSE 'open' END WHEN 2 THEN 'accepted' ELSE 'deferred' END FROM lg"""
+)
+def recommendation_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New recommendations are taken into a ledger: known ids stay as they are, rejected ones too, and the newest of a version is open."""
+    key = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        F.concat_ws("-", "o_custkey", "o_orderstatus").alias("recommendation_id"), (F.col("o_custkey") % 40).alias("policy_id"), F.col("o_custkey").alias("version_id"), F.lit("retain").alias("operation"), F.lit(None).cast("string").alias("rollback_to"), key.alias("at"),
+    )
+    known = rows.where("at % 3 = 0").groupBy("recommendation_id", "policy_id", "version_id", "operation", "rollback_to").agg(F.min("at").alias("at"))
+    at = F.col("at") % 4
+    known = known.withColumn("status", F.when(at == 0, "rejected").when(at == 1, "open").when(at == 2, "accepted").otherwise("deferred"))
+    return A.ledger_after(known, rows.where("at % 3 <> 0")).select("recommendation_id", "at", "status")
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT f, max_by(t, o_orderkey) AS t FROM (SELECT o_custkey AS f, o_custkey + 1 + o_orderkey % 3 AS t, o_orderkey FROM orders WHERE o_custkey % 100 < 97) x GROUP BY f),
+w AS (SELECT f AS version, t AS survivor, CAST(1 AS BIGINT) AS steps FROM e UNION ALL SELECT w.version, e.t, w.steps + 1 FROM w JOIN e ON w.survivor = e.f)
+SELECT version, arg_max(survivor, steps) AS survivor, max(steps) AS steps FROM w GROUP BY version"""
+)
+def merge_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as policy versions, each merged into one of the next three by its orders, the latest counting: where the chains end."""
+    o = table(spark, sf_dir, "orders").where("o_custkey % 100 < 97")
+    lineage = o.select(F.lit("merged_from").alias("relation"), F.col("o_custkey").alias("from_version"), (F.col("o_custkey") + 1 + F.col("o_orderkey") % 3).alias("to_version"), F.col("o_orderkey").alias("lineage_id"))
+    return A.survivors(lineage).select("version", "survivor", "steps")
