@@ -85,7 +85,7 @@ def with_next_pass(events: DataFrame, gap: int = GAP) -> DataFrame:
     return events.withColumn("next_pass", out)
 
 
-def prepared(events: DataFrame, gap: int = GAP) -> DataFrame:
+def prepared(events: DataFrame, gap: int = GAP, least_words: int = 3) -> DataFrame:
     """with_next_pass() and what each detector looks for around an event, all in the one order of a trajectory.
 
     antecedents: contexts changed shortly before; fail: of a directive correction, the next failing event; changed and pairs:
@@ -93,7 +93,7 @@ def prepared(events: DataFrame, gap: int = GAP) -> DataFrame:
     each family's last pass. Events that no detector starts from are dropped.
     """
     changed = F.when(F.col("type").isin(*V.CHANGE_TYPES) & F.col("edit"), F.col("context"))
-    told = (F.col("type") == "human_correction") & is_correction(F.col("summary")) & is_directive(F.col("summary"))
+    told = (F.col("type") == "human_correction") & is_correction(F.col("summary"), least_words) & is_directive(F.col("summary"))
     fails = F.col("fail_family").isNotNull()
     near = _order().rangeBetween(1, gap)
     passing = F.min(F.when(F.col("pass_family").isNotNull(), F.struct("sequence", "pass_family"))).over(near)
@@ -197,12 +197,12 @@ def file_changes(events: DataFrame, status: DataFrame) -> DataFrame:
     )
 
 
-def occurrences(events: DataFrame, status: DataFrame, gap: int = GAP) -> DataFrame:
+def occurrences(events: DataFrame, status: DataFrame, gap: int = GAP, least_words: int = 3) -> DataFrame:
     """All detectors' rows, the first for each (group, classification) of a trajectory; file changes yield to a repair of the same group.
 
     The prepared events that a detector may start from are written once and read by all four.
     """
-    base = snapshot(prepared(events, gap), "prepared")
+    base = snapshot(prepared(events, gap, least_words), "prepared")
     early = [failure_repairs(base), correction_repairs(base, gap), repeated_failures(base, status)]
     early = [d.withColumn("detector", F.lit(k)) for k, d in enumerate(early)]
     early = early[0].unionByName(early[1]).unionByName(early[2])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,9 @@ from quillspan.operators import cascade as C
 from quillspan.operators import generation as G
 from quillspan.operators import placement as P
 from quillspan.operators import previews as PV
+from quillspan.operators import runs as R
+from quillspan.plans import pattern_queries as PQ
+from quillspan.plans.mapping import session_events
 from quillspan.session import table
 from quillspan.sources import session_lines
 from quillspan.tables import shared_dir
@@ -238,3 +242,32 @@ def merge_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").where("o_custkey % 100 < 97")
     lineage = o.select(F.lit("merged_from").alias("relation"), F.col("o_custkey").alias("from_version"), (F.col("o_custkey") + 1 + F.col("o_orderkey") % 3).alias("to_version"), F.col("o_orderkey").alias("lineage_id"))
     return A.survivors(lineage).select("version", "survivor", "steps")
+
+
+def _runs_sql() -> str:
+    of = PQ.ORACLE_SQL
+    figures = (
+        "SELECT (SELECT count(DISTINCT user_id) FROM events) AS considered, (SELECT count(*) FROM (" + of["union_detectors"] + ") a) + (SELECT count(*) FROM (" + of["contradictions"] + ") b) AS found, "
+        "(SELECT count(DISTINCT group_key) FROM (" + of["union_detectors"] + ") c) AS clusters, (SELECT count(*) FROM (" + of["experience_groups"] + ") d WHERE status = 'candidate') AS candidates, "
+        "(SELECT count(*) FROM (" + of["experience_groups"] + ") e WHERE status = 'needs_more_evidence') AS more"
+    )
+    return f"""WITH f AS MATERIALIZED ({figures})
+SELECT 1 AS run, considered AS trajectories_considered, considered AS trajectories_analyzed, found AS occurrences_found, clusters AS clusters_formed, candidates, more AS needs_more_evidence FROM f
+UNION ALL SELECT 2, considered, 0, found, clusters, candidates, more FROM f"""
+
+
+@query(_runs_sql())
+def extraction_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over users as trajectories, the second with nothing changed: the records that the runs leave."""
+    root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    events = session_events(spark, sf_dir)
+    with Pass(spark, root) as p:
+        p.put("events", events)
+        # The content of a trajectory is known by its number of events and their keys.
+        p.put("trajectories", events.groupBy("trajectory_id").agg(F.min("project_id").alias("project_id"), F.concat_ws("-", F.count("*"), F.sum("k")).alias("content_hash"), F.max("ts").alias("last_activity")))
+    for _ in range(2):
+        with Pass(spark, root) as p:
+            R.extraction_run(p, now=datetime(2024, 6, 1))
+    runs = version(spark, root)["experience_runs"]
+    n = F.when(F.col("trajectories_analyzed") == 0, 2).otherwise(1).alias("run")
+    return runs.select(n, "trajectories_considered", "trajectories_analyzed", "occurrences_found", "clusters_formed", "candidates", "needs_more_evidence")
