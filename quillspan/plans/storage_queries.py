@@ -15,6 +15,7 @@ from quillspan.operators import generation as G
 from quillspan.operators import placement as P
 from quillspan.operators import previews as PV
 from quillspan.operators import runs as R
+from quillspan.operators import targets as TG
 from quillspan.plans import pattern_queries as PQ
 from quillspan.plans.mapping import session_events
 from quillspan.session import table
@@ -271,3 +272,45 @@ def extraction_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = version(spark, root)["experience_runs"]
     n = F.when(F.col("trajectories_analyzed") == 0, 2).otherwise(1).alias("run")
     return runs.select(n, "trajectories_considered", "trajectories_analyzed", "occurrences_found", "clusters_formed", "candidates", "needs_more_evidence")
+
+
+@query(
+    """WITH p AS (SELECT o_orderkey, o_orderkey % 5 AS i, o_orderkey % 7 AS j, o_orderkey % 3 AS way FROM orders)
+SELECT CAST(o_orderkey AS VARCHAR) AS review_id, CASE WHEN j <= i AND way < 2 THEN '/w/p/' || repeat('a/', i - j) || 'x.md' WHEN way = 2 AND j <= i THEN '/w/p/real/' || repeat('a/', i - j) || 'x.md' WHEN way = 2 AND j = i + 1 THEN '/w/p/x.md' END AS target_path,
+CASE WHEN j > i AND (way < 2 OR j > i + 1) THEN 'escapes' END AS error FROM p"""
+)
+def review_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets that go down and up again, with dots and doubled slashes, absolute ones, and ones behind a link to another folder of the project."""
+    key = F.col("o_orderkey")
+    inner = F.concat(F.repeat(F.lit("a//"), (key % 5).cast("int")), F.lit("./"), F.repeat(F.lit("../"), (key % 7).cast("int")), F.lit("x.md"))
+    target = F.when(key % 3 == 0, inner).when(key % 3 == 1, F.concat(F.lit("/w/p/"), inner)).otherwise(F.concat(F.lit("to/"), inner))
+    reviews = table(spark, sf_dir, "orders").select(key.cast("string").alias("review_id"), F.lit("project_rule").alias("placement"), F.lit("codex").alias("agent"), F.lit("/w/p").alias("project_root"), target.alias("target"))
+    links = spark.createDataFrame([("/w/p/to", "real")], "link string, to string")
+    return TG.targets(reviews, links).select("review_id", "target_path", "error")
+
+
+@query(
+    """WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag FROM lineitem), one AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS f FROM l GROUP BY 1, 2),
+ev AS (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2), alt AS (SELECT l_orderkey, string_agg(l_linenumber || f, ',' ORDER BY l_linenumber) AS alternatives, min(l_linenumber) AS top FROM one GROUP BY 1),
+ch AS (SELECT o_orderkey, o_orderstatus, alternatives, CASE WHEN o_orderkey % 4 = 0 AND EXISTS (SELECT 1 FROM one WHERE l_orderkey = o_orderkey AND l_linenumber = 2) THEN 2 ELSE top END AS chosen FROM orders LEFT JOIN alt ON l_orderkey = o_orderkey)
+SELECT o_orderkey, coalesce(alternatives, '') AS alternatives, chosen AS rank, CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 3 = 0 THEN 'own' WHEN chosen IS NULL THEN '' ELSE f END AS content, coalesce(n, 0) AS evidence, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 5 ELSE 0 END AS history
+FROM ch LEFT JOIN one ON one.l_orderkey = o_orderkey AND one.l_linenumber = chosen LEFT JOIN ev ON ev.l_orderkey = o_orderkey AND ev.l_linenumber = chosen"""
+)
+def review_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as proposal sets, their line numbers as proposals and lines as evidence; every fourth order is reviewed, with up to four actions."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    key = F.col("o_orderkey")
+    sets = orders.select(key.alias("group_key"))
+    place = F.concat(F.lit("p"), F.col("l_linenumber").cast("string")).alias("placement")
+    proposals = lines.groupBy(F.col("l_orderkey").alias("group_key"), place, F.col("l_linenumber").alias("rank")).agg(F.lit(0.5).alias("score"), F.min("l_returnflag").alias("content"))
+    experiences = orders.select(key.alias("group_key"), F.lit("t").alias("title"), F.col("o_orderstatus").alias("pattern"), F.lit("l").alias("lesson"))
+    evidence = lines.select(F.col("l_orderkey").alias("group_key"), place, F.col("l_partkey").alias("occurrence_id"), F.lit("support").alias("role"))
+    reviewed = orders.where(key % 4 == 0)
+    reviews = reviewed.select(key.alias("review_id"), key.alias("group_key"), F.lit("p2").alias("placement"), F.lit("accepted").alias("status"), F.when(key % 3 == 0, "own").alias("content_override"))
+    actions = reviewed.select(key.alias("review_id"), F.explode(F.sequence(F.lit(0), (key % 5).cast("int"))).alias("seq")).where("seq > 0").withColumn("action", F.lit("edit"))
+    shown = TG.payloads(sets, proposals, experiences, evidence, reviews, actions)
+    alternatives = F.array_join(F.transform("alternatives", lambda a: F.concat(a["rank"].cast("string"), a["content"])), ",")
+    return shown.select(
+        F.col("group_key").alias("o_orderkey"), alternatives.alias("alternatives"), "proposal.rank", F.col("proposal.effective_content").alias("content"),
+        F.size("evidence").cast("long").alias("evidence"), F.size("history").cast("long").alias("history"),
+    )
