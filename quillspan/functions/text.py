@@ -103,3 +103,14 @@ def iso(ts: Column) -> Column:
     whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
     micros = F.pmod(F.unix_micros(ts.cast("timestamp")), F.lit(1_000_000))
     return F.concat(whole, F.when(micros == 0, F.lit("")).otherwise(F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0"))), F.lit("+00:00"))
+
+
+def excerpt(text: Column, limit: int = 20_000) -> Column:
+    """The first `limit` characters of an output, with a note of how many are left out."""
+    left = F.length(text) - limit
+    return F.when(left <= 0, text).otherwise(F.concat(F.substring(text, 1, limit), F.lit("\n... [truncated "), left.cast("string"), F.lit(" bytes]")))
+
+
+def project_id(root: Column, prefix: str = "proj_") -> Column:
+    """A project's id, which follows from its cleaned root alone."""
+    return short_id(prefix, F.regexp_replace(root, "(?<=.)/+$", ""))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from quillspan.tables import snapshot
+
 # What each action makes of a review.
 REVIEW_STATUS = {"accept": "accepted", "reject": "rejected", "defer": "deferred", "test_first": "test_first", "edit": "unreviewed", "choose": "unreviewed", "apply": "applied"}
 
@@ -50,8 +52,19 @@ def changed_sources(found: DataFrame, known: DataFrame, keys: list[str]) -> Data
 
 
 def next_numbers(new: DataFrame, taken: int, order: list[Column], number_col: str = "seq") -> DataFrame:
-    """new rows numbered behind the highest number taken, in a total order; meant for the few new keys of a run."""
-    return new.withColumn(number_col, F.row_number().over(W.orderBy(*order)) + taken)
+    """new rows numbered behind the highest number taken, in a total order.
+
+    Rows are dealt out by ranges of the order and written once in it; a row's number is its place in its range behind the
+    rows of the ranges before, of which there are as many as shuffle partitions. So no task sees more than a range.
+    """
+    dealt = new.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The id counts rows in a partition and has the partition's number above them.
+    placed = snapshot(dealt.withColumn("_at", F.monotonically_increasing_id()), "numbered").withColumn("_range", F.shiftright("_at", 33))
+    ranges = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(ranges.select("_range", before.alias("_before")))  # a row a partition
+    number = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1 + taken
+    return placed.join(starts, "_range").withColumn(number_col, number.cast("int")).select(*new.columns, number_col)
 
 
 def violations(df: DataFrame, keys: list[str], checks: dict[str, Column]) -> DataFrame:

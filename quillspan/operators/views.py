@@ -45,6 +45,15 @@ def session_list(headers: DataFrame, projects: DataFrame, project_id=None, agent
     return found.join(projects.select("project_id", F.col("name").alias("project_name")), "project_id", "left")
 
 
+#: Columns that views don't show: absolute paths, and raw JSON beside its decoded fields.
+PRIVATE = ("source_path", "confidence_json", "context_json", "metadata_json")
+
+
+def shown(rows: DataFrame, *more: str) -> DataFrame:
+    """rows without the columns of PRIVATE and those named, whichever it has."""
+    return rows.drop(*PRIVATE, *more)
+
+
 def trajectory_detail(events: DataFrame, trajectory_id) -> DataFrame:
     """A session's events in order, with flags for errors and commands."""
     e = events.where(F.col("trajectory_id") == F.lit(trajectory_id))

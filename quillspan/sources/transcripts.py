@@ -40,7 +40,7 @@ USAGE = ("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_outp
 STEP = {
     "kind": "string", "ts": "string", "text": "string", "call_id": "string", "tool": "string", "path": "string", "command": "string", "hint": "string",
     "exit_code": "int", "is_error": "boolean", "interrupted": "boolean", "added": "int", "removed": "int", "change": "string", "sidechain": "boolean",
-    "raw": "boolean", "works": "boolean", "usage": "map<string,long>", "cwd": "string", "branch": "string", "version": "string", "model": "string",
+    "raw": "boolean", "works": "boolean", "duration_ms": "long", "usage": "map<string,long>", "cwd": "string", "branch": "string", "version": "string", "model": "string",
 }
 
 
@@ -73,6 +73,15 @@ def _number(x) -> int | None:
     return x if isinstance(x, int) and not isinstance(x, bool) else None
 
 
+def milliseconds(duration) -> int | None:
+    """Whole milliseconds of a number, or of seconds and nanoseconds."""
+    if isinstance(duration, (int, float)) and not isinstance(duration, bool):
+        return int(duration)
+    if isinstance(duration, dict) and "secs" in duration:
+        return int((duration.get("secs") or 0) * 1000 + (duration.get("nanos") or 0) / 1e6)
+    return None
+
+
 def _diff(lines: list[str]) -> tuple[int, int]:
     plus = sum(x.startswith("+") and not x.startswith("+++") for x in lines)
     return plus, sum(x.startswith("-") and not x.startswith("---") for x in lines)
@@ -107,7 +116,7 @@ def rollout_steps(obj: dict) -> list[dict]:
         usage = info.get("total_token_usage") or info.get("last_token_usage")
         return [{"kind": "usage", "usage": {k: usage[k] for k in USAGE if _number(usage.get(k)) is not None}}] if isinstance(usage, dict) else []
     if sub == "task_complete":
-        return [{"kind": "completion", "text": p.get("last_agent_message") or ""}]
+        return [{"kind": "completion", "text": p.get("last_agent_message") or "", "duration_ms": milliseconds(p.get("duration_ms"))}]
     if sub == "turn_aborted":
         return [{"kind": "turn_aborted", "text": "turn aborted"}]
     item = p.get("item")
@@ -122,7 +131,7 @@ def rollout_steps(obj: dict) -> list[dict]:
         argv, parsed = item.get("command"), [x for x in item.get("parsed_cmd") or [] if isinstance(x, dict)]
         command = argv_command(argv)
         tail = next((x.strip() for x in (item.get("formatted_output"), item.get("aggregated_output"), item.get("stdout"), item.get("stderr")) if isinstance(x, str) and x.strip()), None)
-        ran = {"kind": "ran", "command": command, "exit_code": _number(item.get("exit_code")), "hint": parsed[0].get("type") if parsed else None, "text": tail[-400:] if tail else None, "works": True}
+        ran = {"kind": "ran", "command": command, "exit_code": _number(item.get("exit_code")), "hint": parsed[0].get("type") if parsed else None, "text": tail[-400:] if tail else None, "works": True, "duration_ms": milliseconds(item.get("duration"))}
         return [ran, *({"kind": "read", "path": x["path"]} for x in parsed if x.get("type") == "read" and x.get("path"))]
     if what == "FileChange":
         out = []
@@ -246,7 +255,7 @@ def steps(lines: DataFrame, layout: str) -> DataFrame:
     """(file, line, pos, step columns); a line that is no JSON object is a warning step."""
     read = LAYOUTS[layout]
     names = list(STEP)
-    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "map<string,long>": pa.map_(pa.string(), pa.int64())}
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "map<string,long>": pa.map_(pa.string(), pa.int64())}
 
     def run(batches):
         for batch in batches:
@@ -270,14 +279,15 @@ def steps(lines: DataFrame, layout: str) -> DataFrame:
     return lines.select("file", "line", "value").mapInArrow(run, "file string, line int, pos int, " + ", ".join(f"{k} {t}" for k, t in STEP.items()))
 
 
-def human_text(text: Column, depth: int = 4) -> Column:
-    """A prompt without wrappers; null if nothing of a person's is left. Marked blocks are dropped up to a blank line, `depth` times."""
+def human_text(text: Column) -> Column:
+    """A prompt without wrappers; null if nothing of a person's is left. Marked blocks are dropped up to a blank line, until none is left."""
     pair = "|".join(WRAPPERS)
     strip = lambda t: F.nullif(stripped(F.regexp_replace(t, rf"(?is)<({pair})>.*?</\1>", "")), F.lit(""))
     marked = lambda t: F.exists(F.array(*map(F.lit, INJECTED)), lambda m: F.startswith(t, m))
     # Folds bind each step's text once; nested columns would repeat it in the plan at every depth.
     step = lambda t, _: F.when(marked(t), strip(F.regexp_extract(t, r"(?s)^.*?\n\n(.*)$", 1))).otherwise(t)
-    left = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), strip(text), step)
+    # Each drop takes a blank line with it, so there are no more drops than blank lines.
+    left = F.aggregate(F.sequence(F.lit(1), F.regexp_count(text, F.lit("\n\n")) + 1), strip(text), step)
     tag = lambda t: F.startswith(t, F.lit("<")) & F.endswith(t, F.lit(">")) & ~F.contains(t, F.lit("\n"))
     return F.get(F.transform(F.array(left), lambda t: F.when(tag(t) | marked(t), None).otherwise(t)), F.lit(0))
 
@@ -293,7 +303,8 @@ def session_table(all_steps: DataFrame, root: str | None = None) -> tuple[DataFr
     """Events and headers of the files in steps().
 
     Events: trajectory_id (the file), project_id (null), sequence from 1, type, ts, path, command, exit_code, summary,
-    tool, redacted. Headers: trajectory_id, cwd, branch, version, model, task (the first prompt,
+    tool, redacted, duration_ms (of commands and completions that tell it). A file whose raw items stand in for items has a
+    warning for that. A session's windows go by file, so the steps of one file, not its bytes, are a task's work. Headers: trajectory_id, cwd, branch, version, model, task (the first prompt,
     else the title, else the last prompt), started_at and ended_at (of the events, ISO in UTC), n_warnings, final_status, reason.
     """
     file = W.partitionBy("file")
@@ -342,16 +353,16 @@ def session_table(all_steps: DataFrame, root: str | None = None) -> tuple[DataFr
     rows = s.where("type is not null").select(
         "file", "late", "line", "pos", "type", "ts", F.col("at").alias("path"), bounded(F.col("ran.text"), V.COMMAND_LIMIT).alias("command"), F.when(F.col("bash"), F.col("code")).alias("exit_code"),
         F.when(late, "tool call without recorded result").otherwise(summarized(F.col("said.text"))).alias("summary"), F.coalesce("c_tool", "tool").alias("tool"),
-        (F.coalesce("said.redacted", F.lit(False)) | F.coalesce("ran.redacted", F.lit(False))).alias("redacted"), outcome_type(F.col("cmd_kind"), F.col("code")).alias("outcome"), "cmd_kind",
+        (F.coalesce("said.redacted", F.lit(False)) | F.coalesce("ran.redacted", F.lit(False))).alias("redacted"), outcome_type(F.col("cmd_kind"), F.col("code")).alias("outcome"), "cmd_kind", F.when(is_("ran", "completion"), F.col("duration_ms")).alias("duration_ms"),
     )
     echo = rows.where("outcome is not null").select(
         "file", "late", "line", (F.col("pos") + 0.5).alias("pos"), F.col("outcome").alias("type"), "ts", F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("command"),
-        F.lit(None).cast("int").alias("exit_code"), F.format_string("%s exit %d", "cmd_kind", "exit_code").alias("summary"), F.lit(None).cast("string").alias("tool"), F.lit(False).alias("redacted"),
+        F.lit(None).cast("int").alias("exit_code"), F.format_string("%s exit %d", "cmd_kind", "exit_code").alias("summary"), F.lit(None).cast("string").alias("tool"), F.lit(False).alias("redacted"), F.lit(None).cast("long").alias("duration_ms"),
     )
     both = rows.drop("outcome", "cmd_kind").withColumn("pos", F.col("pos").cast("double")).unionByName(echo.withColumn("pos", F.col("pos").cast("double")))
     number = F.row_number().over(W.partitionBy("file").orderBy("late", "line", "pos"))
     events = both.withColumn("sequence", number).select(
-        F.col("file").alias("trajectory_id"), F.lit(None).cast("string").alias("project_id"), "sequence", "type", F.col("ts").alias("ts"), "path", "command", "exit_code", "summary", "tool", "redacted"
+        F.col("file").alias("trajectory_id"), F.lit(None).cast("string").alias("project_id"), "sequence", "type", F.col("ts").alias("ts"), "path", "command", "exit_code", "summary", "tool", "redacted", "duration_ms"
     )
     # Status signals: a stop counts unless a clean end follows; an aborted turn if work was done since the last prompt.
     worked = is_("turn_aborted") & busy
@@ -363,7 +374,7 @@ def session_table(all_steps: DataFrame, root: str | None = None) -> tuple[DataFr
         last(F.col("version"), F.col("version").isNotNull()).alias("version"), last(F.col("model"), F.col("model").isNotNull()).alias("model"),
         F.min_by("said.text", F.when(is_("human") & (place == F.col("first")), place)).alias("asked"),
         F.min_by("text", F.when(titled("aiTitle"), place)).alias("title"), F.max_by("said.text", F.when(titled("lastPrompt"), place)).alias("prompt"),
-        F.count_if(is_("warning")).alias("n_warnings"), F.max(worked).alias("turn_aborted"), last(is_("stopped"), is_("stopped") | main).alias("stopped"),
+        (F.count_if(is_("warning")) + F.coalesce(F.max((F.coalesce("raw", F.lit(False)) & ~F.col("item_stream")).cast("long")), F.lit(0))).alias("n_warnings"), F.max(worked).alias("turn_aborted"), last(is_("stopped"), is_("stopped") | main).alias("stopped"),
         last(F.col("text"), main).alias("ended"), last(F.col("text"), is_("completion")).alias("completed"),
     )
     signals = heads.select(

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share; a temporary folder where it is unset."""
+    """spark.checkpoint.dir, which driver and executors share; a temporary folder of a local session where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         where = spark.sparkContext._jsc.sc().getCheckpointDir()
         if where.isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quillspan-"))
             where = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = where.get()
