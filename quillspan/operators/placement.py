@@ -12,6 +12,7 @@ from quillspan.functions.paths import directory, extension, language, repository
 from quillspan.functions.scores import placement_scores
 from quillspan.functions.digests import row_digest, set_digest
 from quillspan.functions.text import collapsed
+from quillspan.tables import snapshot
 
 # Patterns that say what to do, triage marks that bar a proposal, and absolute paths in texts.
 ACTIONABLE = ("failure_repair", "file_change_pattern", "human_correction_repair")
@@ -95,23 +96,36 @@ def outdated(experiences: DataFrame, fingerprints: DataFrame, sets: DataFrame, v
     return eligible(experiences).join(fingerprints, "group_key").join(done, ["group_key", "fingerprint"], "left_anti")
 
 
+STRETCH = 64  # events of a trajectory that meet spans by equality; the range decides inside
+
+
 def span_events(occurrences: DataFrame, events: DataFrame) -> DataFrame:
-    """Each occurrence's events: equal trajectory, sequence between its ends. Occurrences have occurrence_id and group_key."""
-    spans = occurrences.select("occurrence_id", "group_key", "trajectory_id", "start_sequence", "end_sequence")
-    return spans.join(events, "trajectory_id").where(F.col("sequence").between(F.col("start_sequence"), F.col("end_sequence")))
+    """Each occurrence's events: equal trajectory, sequence between its ends. Occurrences have occurrence_id and group_key.
+
+    A trajectory is cut into stretches of sequence numbers and a span is laid out over those it touches, so that events
+    meet the spans near them and a long trajectory is many keys.
+    """
+    spans = occurrences.select("occurrence_id", "group_key", "trajectory_id", "start_sequence", "end_sequence").where("start_sequence <= end_sequence")
+    stretch = lambda c: F.floor(F.col(c) / STRETCH).cast("long")
+    laid = spans.withColumn("_stretch", F.explode(F.sequence(stretch("start_sequence"), stretch("end_sequence"))))
+    met = laid.join(events.withColumn("_stretch", stretch("sequence")), ["trajectory_id", "_stretch"])
+    return met.where(F.col("sequence").between(F.col("start_sequence"), F.col("end_sequence"))).drop("_stretch")
+
 
+def procedural_complexity(support: DataFrame, events: DataFrame, spans: DataFrame | None = None) -> DataFrame:
+    """(group_key, procedural_complexity): spans with three operations of two kinds, half a point each, one at most.
 
-def procedural_complexity(support: DataFrame, events: DataFrame) -> DataFrame:
-    """(group_key, procedural_complexity): spans with three operations of two kinds, half a point each, one at most."""
-    work = span_events(support, events).where("coalesce(path, '') <> '' or coalesce(command, '') <> ''")
+    spans may hold span_events() of both, where others read it too.
+    """
+    work = (span_events(support, events) if spans is None else spans).where("coalesce(path, '') <> '' or coalesce(command, '') <> ''")
     each = work.groupBy("group_key", "occurrence_id").agg(F.count_distinct("sequence").alias("n"), F.count_distinct("type").alias("kinds"))
     return each.groupBy("group_key").agg(F.least(F.lit(1.0), F.count_if((F.col("n") >= 3) & (F.col("kinds") >= 2)) / 2.0).alias("procedural_complexity"))
 
 
-def scope_candidates(support: DataFrame, events: DataFrame) -> DataFrame:
+def scope_candidates(support: DataFrame, events: DataFrame, spans: DataFrame | None = None) -> DataFrame:
     """(group_key, scope_type, scope_value, scope_support_count, scope_concentration, scope_specificity) of values in enough support."""
     path = repository_path(F.col("path"))
-    inside = span_events(support, events).withColumn("p", path)
+    inside = (span_events(support, events) if spans is None else spans).withColumn("p", path)
     values = F.array(
         F.struct(F.lit("directory").alias("t"), directory(F.col("p")).alias("v")),
         F.struct(F.lit("extension").alias("t"), extension(F.col("p")).alias("v")),
@@ -133,11 +147,11 @@ def scope_candidates(support: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
-def inferred_scopes(support: DataFrame, events: DataFrame) -> DataFrame:
+def inferred_scopes(support: DataFrame, events: DataFrame, spans: DataFrame | None = None) -> DataFrame:
     """The best candidate of each group: concentration x specificity, count, type order, value."""
     order = F.array_position(F.array(*map(F.lit, V.SCOPE_ORDER)), F.col("scope_type"))
     best = W.partitionBy("group_key").orderBy(F.desc(F.col("scope_concentration") * F.col("scope_specificity")), F.desc("scope_support_count"), order, "scope_value")
-    return scope_candidates(support, events).withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+    return scope_candidates(support, events, spans).withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
 
 
 def features(evidence: DataFrame, experiences: DataFrame, events: DataFrame) -> DataFrame:
@@ -156,8 +170,9 @@ def features(evidence: DataFrame, experiences: DataFrame, events: DataFrame) ->
     )
     real = support.where(~F.coalesce("repair_context", F.lit("")).isin("", "other", "mixed"))
     contexts = real.groupBy("group_key", "repair_context").agg(F.count("*").alias("n")).groupBy("group_key").agg(F.max("n").alias("context_top"))
+    spans = snapshot(span_events(support, events.select("trajectory_id", "sequence", "type", "path", "command")), "spans")
     out = experiences.select("group_key", "pattern", "confidence.score", F.col("confidence.recency").alias("recency")).withColumnRenamed("score", "confidence")
-    for part in (counts, projects, contexts, procedural_complexity(support, events), inferred_scopes(support, events)):
+    for part in (counts, projects, contexts, procedural_complexity(support, events, spans), inferred_scopes(support, events, spans)):
         out = out.join(part, "group_key", "left")
     zero = ["support_count", "contradiction_count", "ambiguous_count", "trajectory_count", "project_count", "top", "low", "context_top", "scope_support_count"]
     out = out.fillna(0, zero).fillna(0.0, ["procedural_complexity", "scope_concentration", "scope_specificity"]).fillna("global", ["scope_type"])

@@ -85,12 +85,20 @@ def with_next_pass(events: DataFrame, gap: int = GAP) -> DataFrame:
     return events.withColumn("next_pass", out)
 
 
-def prepared(events: DataFrame, gap: int = GAP, least_words: int = 3) -> DataFrame:
+#: What an event needs for a detector to start from it.
+STARTS = {
+    "failure_repair": "fail_family is not null and next_pass is not null", "correction_repair": "told and fail is not null",
+    "file_change": "size(pairs) > 0", "repeated_failure": "coalesce(sig, '') <> ''",
+}
+
+
+def prepared(events: DataFrame, gap: int = GAP, least_words: int = 3, detectors: tuple[str, ...] = tuple(STARTS)) -> DataFrame:
     """with_next_pass() and what each detector looks for around an event, all in the one order of a trajectory.
 
     antecedents: contexts changed shortly before; fail: of a directive correction, the next failing event; changed and pairs:
     of a change, its context and the later changes that it calls for; sig: of a failure, its diagnostic signature; last_pass:
-    each family's last pass. Events that no detector starts from are dropped.
+    each family's last pass. Events that none of `detectors` (names of STARTS) starts from are dropped; where only some are
+    named, the plan holds no window or pattern that the others alone need.
     """
     changed = F.when(F.col("type").isin(*V.CHANGE_TYPES) & F.col("edit"), F.col("context"))
     told = (F.col("type") == "human_correction") & is_correction(F.col("summary"), least_words) & is_directive(F.col("summary"))
@@ -114,7 +122,7 @@ def prepared(events: DataFrame, gap: int = GAP, least_words: int = 3) -> DataFra
         "fail": F.when(F.col("told"), F.col("fail")), "antecedents": F.when(fails & F.col("next_pass").isNotNull(), F.col("antecedents")),
     })
     base = base.select("trajectory_id", "project_id", "sequence", "type", "summary", "fail_family", "next_pass", "so_far", "told", "fail", "antecedents", "pairs", "sig", "last_pass")
-    return base.where("(fail_family is not null and next_pass is not null) or (told and fail is not null) or size(pairs) > 0 or coalesce(sig, '') <> ''")
+    return base.where(" or ".join(f"({STARTS[d]})" for d in detectors))
 
 
 def failure_repairs(events: DataFrame) -> DataFrame:

@@ -15,8 +15,8 @@ from quillspan.tables import snapshot
 KEYS = ["trajectory_id", "group_key", "classification", "start_sequence", "end_sequence"]
 
 
-def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.prepared(session_events(spark, sf_dir))
+def _base(spark: SparkSession, sf_dir: str, detector: str) -> DataFrame:
+    return S.prepared(session_events(spark, sf_dir), detectors=(detector,))
 
 
 def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -28,19 +28,19 @@ def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 
 def failure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.failure_repairs(_base(spark, sf_dir)).select(*KEYS, F.array_join("antecedents", ",").alias("antecedents"))
+    return S.failure_repairs(_base(spark, sf_dir, "failure_repair")).select(*KEYS, F.array_join("antecedents", ",").alias("antecedents"))
 
 
 def correction_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.correction_repairs(_base(spark, sf_dir)).select(*KEYS, "detail")
+    return S.correction_repairs(_base(spark, sf_dir, "correction_repair")).select(*KEYS, "detail")
 
 
 def repeated_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.repeated_failures(_base(spark, sf_dir), S.final_status(session_events(spark, sf_dir))).select(*KEYS, "failure_family")
+    return S.repeated_failures(_base(spark, sf_dir, "repeated_failure"), S.final_status(session_events(spark, sf_dir))).select(*KEYS, "failure_family")
 
 
 def file_change_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.file_changes(_base(spark, sf_dir), S.final_status(session_events(spark, sf_dir))).select(*KEYS, F.col("detail").alias("from_context"))
+    return S.file_changes(_base(spark, sf_dir, "file_change"), S.final_status(session_events(spark, sf_dir))).select(*KEYS, F.col("detail").alias("from_context"))
 
 
 def union_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +89,7 @@ def _with_ids(found: DataFrame) -> DataFrame:
 
 def span_events_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = session_events(spark, sf_dir)
-    found = S.failure_repairs(S.prepared(events))
+    found = S.failure_repairs(S.prepared(events, detectors=("failure_repair",)))
     spans = P.span_events(_with_ids(found), events.drop("project_id"))
     return spans.groupBy("group_key").agg(F.count("*").alias("n_events"), F.count_distinct("type").alias("n_types"), F.count_distinct("path").alias("n_paths"))
 

@@ -16,6 +16,7 @@ from quillspan.functions import paths as P
 from quillspan.functions import text as T
 from quillspan.functions import values as V
 from quillspan.session import table
+from quillspan.sources import transcripts as TR
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -168,3 +169,33 @@ def path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(_of(_FOLDERS, k), F.regexp_extract("url", r"([a-z0-9-]*)/?[^/]*$", 1), F.lit("/"), _of(_FILES, F.floor(k / 3)))
     x = table(spark, sf_dir, "pages").select("page_id", F.ltrim(F.replace(path, F.lit("//"), F.lit("/")), F.lit("/")).alias("path"))
     return x.select("page_id", "path", P.file_context(F.col("path")).alias("context"), P.is_vendored(F.col("path")).alias("vendored"), P.language(F.col("path")).alias("language"))
+
+
+# Conversations as records of layout messages: a third of the answers run a check behind them, a third edit a file.
+
+
+@query(
+    """WITH c AS (SELECT conv_id, turn, role, (conv_id + turn) % 3 AS k, turn % 2 = 1 AS bad, lag(role) OVER w AS before, count(*) FILTER (role = 'user') OVER w AS nth FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+x AS (SELECT conv_id, turn, 0 AS echo, CASE WHEN role = 'assistant' THEN 'assistant_message' WHEN nth > 1 AND before = 'assistant' THEN 'human_correction' ELSE 'user_prompt' END AS type, NULL AS path, NULL AS command, NULL::INTEGER AS exit_code FROM c
+UNION ALL SELECT conv_id, turn, 1, 'command', NULL, 'pytest -q', bad::INTEGER FROM c WHERE role = 'assistant' AND k = 1 UNION ALL SELECT conv_id, turn, 2, CASE WHEN bad THEN 'test_fail' ELSE 'test_pass' END, NULL, NULL, NULL FROM c WHERE role = 'assistant' AND k = 1
+UNION ALL SELECT conv_id, turn, 1, 'file_edit', 'src/a.py', NULL, NULL FROM c WHERE role = 'assistant' AND k = 2)
+SELECT CAST(conv_id AS VARCHAR) AS trajectory_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, echo) AS INTEGER) AS sequence, type, path, command, exit_code FROM x"""
+)
+def messages_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts, corrections, answers, calls with their results and their outcomes, read from records of messages."""
+    c = table(spark, sf_dir, "conversations")
+    call, k, bad = F.concat_ws("-", "conv_id", "turn"), (F.col("conv_id") + F.col("turn")) % 3, F.col("turn") % 2 == 1
+    record = lambda kind, content, **more: F.to_json(F.struct(F.lit(kind).alias("type"), F.struct(F.lit(kind).alias("role"), content.alias("content")).alias("message"), *(v.alias(n) for n, v in more.items())))
+    block = lambda **fields: F.array(F.struct(*(v.alias(n) for n, v in fields.items())))
+    said = record("assistant", block(type=F.lit("text"), text=F.col("text")))
+    runs = record("assistant", block(type=F.lit("tool_use"), id=call, name=F.lit("Bash"), input=F.struct(F.lit("pytest -q").alias("command"))))
+    edits = record("assistant", block(type=F.lit("tool_use"), id=call, name=F.lit("Edit"), input=F.struct(F.lit("/w/src/a.py").alias("file_path"))))
+    result = record("user", block(type=F.lit("tool_result"), tool_use_id=call, content=F.lit("done"), is_error=bad), toolUseResult=F.struct(F.lit("done").alias("stdout")))
+    lines = (
+        F.when(F.col("role") == "user", F.array(record("user", F.col("text")))).when(F.col("role") != "assistant", F.array(F.lit('{"type": "system"}')))
+        .when(k == 1, F.array(said, runs, result)).when(k == 2, F.array(said, edits, result)).otherwise(F.array(said))
+    )
+    rows = c.select(F.col("conv_id").cast("string").alias("file"), "turn", F.posexplode(lines).alias("pos", "value"))
+    rows = rows.select("file", (F.col("turn") * 4 + F.col("pos")).cast("int").alias("line"), "value")
+    events, _ = TR.session_table(TR.steps(rows, "messages"), "/w")
+    return events.select("trajectory_id", "sequence", "type", "path", "command", "exit_code")

@@ -52,7 +52,7 @@ def imported(spark: SparkSession, out: str, name: str) -> DataFrame:
 
 def repairs_of(spark: SparkSession, out: str, gap: int = GAP) -> DataFrame:
     """Failure repairs of what has been imported so far."""
-    return failure_repairs(prepared(imported(spark, out, "events"), gap))
+    return failure_repairs(prepared(imported(spark, out, "events"), gap, detectors=("failure_repair",)))
 
 
 def activity(events: DataFrame, every: str = "10 minutes", late: str = "1 hour", time_col: str = "ts") -> DataFrame:

@@ -112,3 +112,24 @@ def test_recency_and_confidence(spark):
     assert [r[0] for r in df.select(scores.recency(F.col("t"), now)).collect()] == [1.0, 0.6, 0.3, 0.1, 0.3]
     row = spark.range(1).select(scores.confidence(F.lit(5), F.lit(1), F.lit(6), F.lit(2), F.lit(1.0)).alias("c")).first()["c"]
     assert row["score"] == pytest.approx(0.84)
+
+
+def test_excerpts_ids_and_hidden_columns(spark):
+    from quillspan.functions.text import excerpt, project_id
+    from quillspan.operators.views import shown
+
+    rows = spark.createDataFrame([("abc", "/w/p/"), ("abcdefgh", "/w/p"), (None, "/")], "t string, root string")
+    got = rows.select(excerpt(F.col("t"), 5).alias("e"), project_id(F.col("root")).alias("i")).collect()
+    assert [r["e"] for r in got] == ["abc", "abcde\n... [truncated 3 bytes]", None]
+    assert got[0]["i"] == got[1]["i"] != got[2]["i"] and got[0]["i"].startswith("proj_") and len(got[0]["i"]) == 17
+    assert shown(rows.selectExpr("*", "t as source_path", "t as context_json"), "root").columns == ["t"]
+
+
+def test_numbers_behind_the_highest_in_order(spark):
+    from quillspan.operators.ledger import next_numbers
+
+    rows = spark.range(500).select((F.col("id") * 7919 % 500).alias("k"), F.when(F.col("id") % 100 != 0, F.col("id")).alias("n")).repartition(5)
+    got = next_numbers(rows, 40, [F.col("n"), F.col("k")]).collect()
+    want = sorted(((r["n"] is not None, r["n"] or 0, r["k"]) for r in got))
+    assert [(r["n"] is not None, r["n"] or 0, r["k"]) for r in sorted(got, key=lambda r: r["seq"])] == want and sorted(r["seq"] for r in got) == list(range(41, 541))
+    assert next_numbers(rows.limit(0), 3, [F.col("k")]).count() == 0

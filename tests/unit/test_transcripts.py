@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from quillspan.operators.sequences import occurrences
 from quillspan.sources import transcripts as T
 
@@ -96,3 +98,20 @@ def test_interruption_and_recovery(spark, tmp_path):
     written(tmp_path, "two.jsonl", [ask, stop, end])
     _, headers = T.session_table(T.steps(T.transcript_lines(spark, str(tmp_path)), "messages"))
     assert {r["trajectory_id"][-9:]: r["final_status"] for r in headers.collect()} == {"one.jsonl": "aborted", "two.jsonl": "success"}
+
+
+def test_a_prompt_behind_six_blocks_is_found(spark):
+    text = "".join(f"# AGENTS.md instructions {i}\nmore\n\n" for i in range(6)) + "Do the work"
+    rows = spark.createDataFrame([(text,), ("# AGENTS.md instructions\nno blank line",), (None,), ("plain\n\ntext",)], "t string")
+    assert [r["h"] for r in rows.select(T.human_text(F.col("t")).alias("h")).collect()] == ["Do the work", None, None, "plain\n\ntext"]
+
+
+def test_durations_and_the_warning_of_a_fallback(spark, tmp_path):
+    done = {"type": "event_msg", "payload": {"type": "task_complete", "last_agent_message": "ok", "duration_ms": 1500}}
+    one = item("CommandExecution", command=["bash", "-lc", "ls"], exit_code=0, duration={"secs": 2, "nanos": 500_000_000})
+    written(tmp_path, "a.jsonl", [*rollout(one), done])
+    written(tmp_path, "b.jsonl", [{"type": "response_item", "payload": {"type": "message", "role": "user", "content": [{"type": "input_text", "text": "fix it"}]}}])
+    events, headers = T.session_table(T.steps(T.transcript_lines(spark, str(tmp_path)), "rollout"))
+    got = {r["type"]: r["duration_ms"] for r in events.where("trajectory_id like '%a.jsonl'").collect()}
+    assert got["command"] == 2500 and got["completion"] == 1500
+    assert {r["trajectory_id"][-7:]: r["n_warnings"] for r in headers.collect()} == {"a.jsonl": 0, "b.jsonl": 1}
