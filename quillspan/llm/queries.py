@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspan.llm.exponion import CLUSTER_SQL
 from quillspan.llm.infill import INFILL_SQL
+from quillspan.llm.oracles import LEAKS_SQL, NEAR_SQL
 from quillspan.llm.rules import RULES_SQL
 
 
@@ -117,6 +118,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_near_dedup": NEAR_SQL,
+    "op5_decontamination": LEAKS_SQL,
     "op11_quality_rules": RULES_SQL,
     "op12_exponion": CLUSTER_SQL,
     "op13_infill": INFILL_SQL,
