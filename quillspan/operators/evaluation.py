@@ -110,3 +110,17 @@ def merge_parents(lineage: DataFrame) -> DataFrame:
     """(child, parent_a, parent_b) of merges: two edges into one version."""
     a = lineage.where("relation = 'merged_from'").select(F.col("to_version").alias("child"), F.col("from_version").alias("parent_a"))
     return a.join(a.withColumnRenamed("parent_a", "parent_b"), "child").where("parent_a < parent_b")
+
+
+def metrics_delta(runs: DataFrame) -> DataFrame:
+    """What each pair's two runs took: duration and tokens of both, the change where both are known, and the policy's size.
+
+    runs: pair, condition (baseline, candidate), duration_ms, tokens, policy_bytes; of a condition that a pair has twice,
+    the greatest values count.
+    """
+    side = lambda c, x: F.max(F.when(F.col("condition") == c, F.col(x))).alias(f"{c}_{x}")
+    both = runs.groupBy("pair").agg(*(side(c, x) for c in ("baseline", "candidate") for x in ("duration_ms", "tokens")), side("candidate", "policy_bytes"))
+    return both.select(
+        "pair", "baseline_duration_ms", "candidate_duration_ms", (F.col("candidate_duration_ms") - F.col("baseline_duration_ms")).alias("duration_delta_ms"), "baseline_tokens", "candidate_tokens",
+        (F.col("baseline_tokens").isNotNull() & F.col("candidate_tokens").isNotNull()).alias("tokens_available"), F.col("candidate_policy_bytes").alias("policy_bytes"),
+    )

@@ -63,10 +63,12 @@ def experiences(occurrences: DataFrame, profiles: DataFrame, now: Column, least:
     )
     rank = F.array_position(F.array(*map(F.lit, PATTERN_RANK)), F.col("pattern"))
     ante = F.coalesce("antecedents", F.array().cast("array<string>"))
+    # The sample is that of the first occurrence by its id, where occurrences have one.
+    first = F.struct("occurrence_id") if "occurrence_id" in occurrences.columns else F.struct("trajectory_id", "start_sequence")
     named = positive.groupBy("group_key").agg(
         F.min_by("pattern", rank).alias("pattern"),
         F.array_sort(F.array_remove(F.array_remove(F.array_union(F.collect_set("repair_context"), F.array_distinct(F.flatten(F.collect_set(ante)))), "other"), "")).alias("contexts"),
-        F.min_by("detail", F.when(F.col("pattern") == "human_correction_repair", F.struct("trajectory_id", "start_sequence"))).alias("sample_correction"),
+        F.min_by("detail", F.when((F.col("pattern") == "human_correction_repair") & (F.coalesce("detail", F.lit("")) != ""), first)).alias("sample_correction"),
     )
     out = counts.join(named, "group_key").withColumn("positive", F.col("support_count") + F.col("ambiguous_count"))
     out = out.where((F.col("support_count") > 0) & (F.col("positive") >= least - 1))

@@ -74,3 +74,43 @@ def violations(df: DataFrame, keys: list[str], checks: dict[str, Column]) -> Dat
     for name, check in checks.items():
         out = out.unionByName(df.agg(F.count_if(~F.coalesce(check, F.lit(False))).alias("n")).select(F.lit(name).alias("rule"), "n"))
     return out.where("n > 0")
+
+
+def projects_after(projects: DataFrame, found: DataFrame, now: Column) -> DataFrame:
+    """projects (project_id, name, root, git_remote, created_at, last_seen_at, status) after found (project_id, name, root, git_remote) was registered.
+
+    A found project is the known one of its id, else the one of its root; that gets the new name, keeps its id, root and
+    creation, keeps its remote where the new one is null, and stays archived if it is. Others are new and active. Of
+    several rows for one known project the one of its id counts, else the least id; of several rows of one new id the first in root order.
+    """
+    know = projects.select(F.col("project_id").alias("_id"), F.col("root").alias("_root"))
+    by_id = found.join(know, found["project_id"] == know["_id"]).select(*found.columns, "_id", F.lit(0).alias("_way"))
+    by_root = found.join(know.select("_id"), found["project_id"] == F.col("_id"), "left_anti").join(know, F.col("root") == F.col("_root")).select(*found.columns, "_id", F.lit(1).alias("_way"))
+    met = by_id.unionByName(by_root)
+    best = met.groupBy("_id").agg(F.min_by(F.struct("name", "git_remote"), F.struct("_way", "project_id", "root", "name")).alias("_x"))
+    old = projects.join(best, projects["project_id"] == best["_id"], "left")
+    hit = F.col("_id").isNotNull()
+    old = old.select(
+        "project_id", F.when(hit, F.col("_x.name")).otherwise(F.col("name")).alias("name"), "root", F.coalesce("_x.git_remote", "git_remote").alias("git_remote"), "created_at",
+        F.when(hit, now).otherwise(F.col("last_seen_at")).alias("last_seen_at"), F.when(hit & (F.col("status") != "archived"), "active").otherwise(F.col("status")).alias("status"),
+    )
+    fresh = found.join(met.select("project_id").distinct(), "project_id", "left_anti").groupBy("project_id").agg(F.min(F.struct("root", "name", "git_remote")).alias("_x"))
+    fresh = fresh.select("project_id", "_x.name", "_x.root", "_x.git_remote", now.alias("created_at"), now.alias("last_seen_at"), F.lit("active").alias("status"))
+    return old.unionByName(fresh)
+
+
+SESSION_KEYS = ["agent", "session_id", "path"]
+
+
+def sessions_after(known: DataFrame, found: DataFrame, now: Column) -> DataFrame:
+    """The ledger of source files after a pass: known rows of other keys, and found's in place of or beside them.
+
+    found has SESSION_KEYS, whatever a pass learns of a file, and imported; the ledger has the same without imported, and
+    first_seen_at, which stays, and last_imported_at, which only an import changes.
+    """
+    facts = [c for c in found.columns if c not in (*SESSION_KEYS, "imported")]
+    before = known.select(*SESSION_KEYS, F.col("first_seen_at").alias("_f"), F.col("last_imported_at").alias("_l"))
+    new = found.join(before, SESSION_KEYS, "left").select(
+        *SESSION_KEYS, *facts, F.coalesce("_f", now).alias("first_seen_at"), F.when(F.coalesce("imported", F.lit(False)), now).otherwise(F.col("_l")).alias("last_imported_at")
+    )
+    return known.join(found.select(*SESSION_KEYS), SESSION_KEYS, "left_anti").select(*new.columns).unionByName(new)

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from quillspan.functions import nested as N
 from quillspan.operators import advice as A
 from quillspan.operators import cascade as C
+from quillspan.operators import evaluation as E
 from quillspan.operators import generation as G
+from quillspan.operators import ledger as LG
 from quillspan.operators import placement as P
 from quillspan.operators import previews as PV
 from quillspan.operators import runs as R
@@ -314,3 +316,36 @@ def review_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("group_key").alias("o_orderkey"), alternatives.alias("alternatives"), "proposal.rank", F.col("proposal.effective_content").alias("content"),
         F.size("evidence").cast("long").alias("evidence"), F.size("history").cast("long").alias("history"),
     )
+
+
+@query(
+    """WITH k AS (SELECT s_suppkey AS id, s_name AS name, s_nationkey AS root, CASE WHEN s_suppkey % 3 = 0 THEN s_name END AS remote, CASE WHEN s_suppkey % 4 = 0 THEN 'archived' ELSE 'missing' END AS status FROM supplier),
+f AS (SELECT DISTINCT l_suppkey AS id FROM lineitem WHERE l_suppkey % 5 < 3 UNION SELECT s_suppkey + 1000000 FROM supplier WHERE s_suppkey % 10 = 7)
+SELECT id AS project_id, CASE WHEN id IN (FROM f) THEN 'n' || id ELSE name END AS name, CASE WHEN id IN (FROM f) AND id % 2 = 0 THEN 'r' ELSE remote END AS git_remote, CASE WHEN id IN (FROM f) THEN 1 ELSE 0 END AS last_seen_at, CASE WHEN id IN (FROM f) AND status <> 'archived' THEN 'active' ELSE status END AS status FROM k
+UNION ALL SELECT id, 'n' || id, CASE WHEN id % 2 = 0 THEN 'r' END, 1, 'active' FROM f WHERE id >= 1000000"""
+)
+def project_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as known projects, those of lines found again, some new: names, remotes and states after it."""
+    s, key = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    known = s.select(
+        key.alias("project_id"), F.col("s_name").alias("name"), F.concat(F.lit("/"), key.cast("string")).alias("root"), F.when(key % 3 == 0, F.col("s_name")).alias("git_remote"), F.lit(0).alias("created_at"), F.lit(0).alias("last_seen_at"),
+        F.when(key % 4 == 0, "archived").otherwise("missing").alias("status"),
+    )
+    ids = table(spark, sf_dir, "lineitem").where("l_suppkey % 5 < 3").select(F.col("l_suppkey").alias("project_id")).distinct().unionByName(s.where(key % 10 == 7).select((key + 1_000_000).alias("project_id")))
+    i = F.col("project_id")
+    found = ids.select("project_id", F.concat(F.lit("n"), i.cast("string")).alias("name"), F.concat(F.lit("/"), i.cast("string")).alias("root"), F.when(i % 2 == 0, "r").alias("git_remote"))
+    return LG.projects_after(known, found, F.lit(1)).select("project_id", "name", "git_remote", "last_seen_at", "status")
+
+
+@query(
+    """WITH r AS (SELECT l_orderkey AS pair, l_linenumber % 2 AS side, CASE WHEN l_partkey % 5 > 0 THEN l_quantity END AS d, CASE WHEN l_partkey % 3 > 0 THEN l_partkey END AS t FROM lineitem),
+p AS (SELECT pair, max(d) FILTER (side = 1) AS bd, max(d) FILTER (side = 0) AS cd, max(t) FILTER (side = 1) AS bt, max(t) FILTER (side = 0) AS ct FROM r GROUP BY pair)
+SELECT pair, bd AS baseline_duration_ms, cd AS candidate_duration_ms, cd - bd AS duration_delta_ms, bt AS baseline_tokens, ct AS candidate_tokens, bt IS NOT NULL AND ct IS NOT NULL AS tokens_available, ct AS policy_bytes FROM p"""
+)
+def metrics_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as pairs, odd and even lines as their two runs: durations, tokens and sizes, some unknown."""
+    x = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("pair"), F.when(F.col("l_linenumber") % 2 == 1, "baseline").otherwise("candidate").alias("condition"), F.when(F.col("l_partkey") % 5 > 0, F.col("l_quantity")).alias("duration_ms"),
+        F.when(F.col("l_partkey") % 3 > 0, F.col("l_partkey")).alias("tokens"), F.when(F.col("l_partkey") % 3 > 0, F.col("l_partkey")).alias("policy_bytes"),
+    )
+    return E.metrics_delta(x)
