@@ -19,17 +19,22 @@ from quillspan.llm.shared import fresh, written
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
-    """doc_id, text and all columns as one, so that an operator's columns and docs' own can't clash."""
-    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("whole"))
+    """doc_id, text and all other columns as one, so that an operator's columns and docs' own can't clash.
+
+    The text stands once in a row: an operator's Python workers hold whole batches of it.
+    """
+    return docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c != "text")).alias("whole"))
 
 
 def _widened(docs: DataFrame, changed: Column, *more: Column) -> list[Column]:
-    """The columns of docs from `whole`, with the new text and its n_chars where `changed`."""
-    new = {"text": F.col("text"), "n_chars": F.length("text")}
+    """The columns of docs from `whole`, with the operator's text, and its n_chars where `changed`."""
     out = []
     for c in docs.columns:
+        if c == "text":
+            out.append(F.col("text").cast(docs.schema[c].dataType).alias(c))
+            continue
         old = F.col("whole").getField(c)
-        out.append((F.when(changed, new[c].cast(docs.schema[c].dataType)).otherwise(old) if c in new else old).alias(c))
+        out.append((F.when(changed, F.length("text").cast(docs.schema[c].dataType)).otherwise(old) if c == "n_chars" else old).alias(c))
     return [*out, *more]
 
 

@@ -254,9 +254,14 @@ HITS = "items array<string>, hits array<struct<start:int,end:int>>"
 _pair = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
+def _broadcast(part: DataFrame, window: int):
+    """One part's windows on all executors."""
+    return part.sparkSession.sparkContext.broadcast(phrases([(r["item"], r["text"]) for r in part.collect()], window))
+
+
 def found_in(docs: DataFrame, part: DataFrame, window: int) -> DataFrame:
     """docs (with text as the last column) without the text, with items and hits, the byte ranges of the words inside one part's windows."""
-    shared = docs.sparkSession.sparkContext.broadcast(phrases([(r["item"], r["text"]) for r in part.collect()], window))
+    shared = _broadcast(part, window)
     rest = docs.columns[:-1]
 
     def run(batches):
@@ -269,6 +274,29 @@ def found_in(docs: DataFrame, part: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, extended(docs.select(*rest), HITS))
 
 
+def _marked(texts: pa.Array, n_words: np.ndarray, items: list, hits: list, cut: bool) -> list[pa.Array]:
+    """text, n_words, n_hit, items and removal_spans of a batch, from each row's items and the (start, end) of its hit words."""
+    n_hit, joined, left = np.zeros(len(texts), np.int64), [], {}
+    for i, found in enumerate(hits):
+        words = sorted(set(found))
+        n_hit[i] = len(words)
+        spans = []
+        if words:
+            raw, at, pieces = texts[i].as_py().encode(), 0, []
+            spans = _joined(raw, words)
+            for a, b in spans:
+                pieces.append(raw[at:a])
+                at = b
+            left[i] = b"".join([*pieces, raw[at:]]).decode()
+        joined.append([{"start": a, "end": b} for a, b in spans])
+    if cut and left:
+        mask = np.zeros(len(texts), bool)
+        mask[list(left)] = True
+        texts = pa.compute.replace_with_mask(texts, pa.array(mask), pa.array(list(left.values()), texts.type))
+    named = pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))
+    return [texts, pa.array(n_words), pa.array(n_hit), named, pa.array(joined, _pair)]
+
+
 def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", window: int = 10, cut: bool = True) -> DataFrame:
     """docs with n_words, n_hit, items (ids of test items with an occurring window) and removal_spans (byte ranges); with
     `cut`, the spans are taken out of text_col.
@@ -276,50 +304,42 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", win
     A window is `window` consecutive words of an item, or the whole item if it is shorter. Null texts have no words and
     stay null; items without words or text are in no document. Repeated items and rows change nothing. An empty bench
     hits nothing. Columns named as the new ones are replaced, all others are kept. Test items of more than PHRASE_BYTES
-    are searched part by part: one part is broadcast at a time, its hits are written, and all hits are merged.
+    are searched part by part: one part is broadcast at a time, its hits are written, and all hits are merged. Those of
+    one part are found and cut by the same Python worker, to which each text goes once.
     """
     made = ["n_words", "n_hit", "items", "removal_spans"]
     rest = [c for c in docs.columns if c not in made]
     others = [c for c in rest if c != text_col]
     whole = F.struct(*others) if others else F.lit(None).cast("boolean")
     base = docs.select(whole.alias("others"), F.col(text_col).alias("text"))
+    schema = extended(base, "n_words long, n_hit long, items array<string>, removal_spans array<struct<start:int,end:int>>")
     parts = phrase_parts(bench)
     if len(parts) == 1:
-        hit = found_in(base.select("others", F.col("text").alias("kept"), "text"), parts[0], window).withColumnRenamed("kept", "text")
+        shared = _broadcast(parts[0], window)
+
+        def run(batches):
+            for batch in batches:
+                n_words, _, items, spans = _scan(batch.column(1), [shared])
+                found = ([x.get(i, ()) for i in range(batch.num_rows)] for x in (items, spans))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *_marked(batch.column(1), n_words, *found, cut)], names=["others", "text", *made])
+
+        done = base.mapInArrow(run, schema)
     else:
         base = written(base.withColumn("place", F.monotonically_increasing_id()), "texts")
         each = [written(found_in(base.select("place", "text"), part, window).where(F.size("hits") > 0), "hits") for part in parts]
         merged = reduce(DataFrame.unionByName, each).groupBy("place").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("hits")).alias("hits"))
-        hit = base.join(merged, "place", "left")
-    hit = hit.select("others", "text", "items", "hits")
-    schema = extended(base.select("others", "text"), "n_words long, n_hit long, items array<string>, removal_spans array<struct<start:int,end:int>>")
-
-    def run(batches):
-        for batch in batches:
-            texts, n_words = batch.column(1), np.zeros(batch.num_rows, np.int64)
-            for first, buf, offs in bk.blocks(texts):
-                n_words[first : first + len(offs) - 1] = np.bincount(bk.word_spans(buf, offs, _inside)[2], minlength=len(offs) - 1)
-            n_hit, joined, left = np.zeros(batch.num_rows, np.int64), [], {}
-            for i, hits in enumerate(batch.column(3).to_pylist()):
-                words = sorted({(x["start"], x["end"]) for x in hits or ()})
-                n_hit[i] = len(words)
-                spans = []
-                if words:
-                    raw, at, pieces = texts[i].as_py().encode(), 0, []
-                    spans = _joined(raw, words)
-                    for a, b in spans:
-                        pieces.append(raw[at:a])
-                        at = b
-                    left[i] = b"".join([*pieces, raw[at:]]).decode()
-                joined.append([{"start": a, "end": b} for a, b in spans])
-            if cut and left:
-                mask = np.zeros(batch.num_rows, bool)
-                mask[list(left)] = True
-                texts = pa.compute.replace_with_mask(texts, pa.array(mask), pa.array(list(left.values()), texts.type))
-            named = pa.array([sorted(set(x or ())) for x in batch.column(2).to_pylist()], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(n_words), pa.array(n_hit), named, pa.array(joined, _pair)], names=["others", "text", *made])
-
-    done = hit.mapInArrow(run, schema)
+        hit = base.join(merged, "place", "left").select("others", "text", "items", "hits")
+
+        def run(batches):
+            for batch in batches:
+                texts, n_words = batch.column(1), np.zeros(batch.num_rows, np.int64)
+                for first, buf, offs in bk.blocks(texts):
+                    n_words[first : first + len(offs) - 1] = np.bincount(bk.word_spans(buf, offs, _inside)[2], minlength=len(offs) - 1)
+                items = [x or () for x in batch.column(2).to_pylist()]
+                hits = [[(x["start"], x["end"]) for x in row or ()] for row in batch.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *_marked(texts, n_words, items, hits, cut)], names=["others", "text", *made])
+
+        done = hit.mapInArrow(run, schema)
     return done.select(*(F.col("text").alias(c) if c == text_col else F.col("others").getField(c).alias(c) for c in rest), *made)
 
 

@@ -74,3 +74,10 @@ def test_clashing_columns_are_kept(spark, docs_of):
     docs = docs_of([(1, "a b same words here c")]).selectExpr("doc_id", "text", "'mine' as items", *(f"'own' as {n}" for n in names))
     row = decontaminate(docs, spark.createDataFrame([(1, "same words here")], "item_id long, text string")).first()
     assert all(row[n] == "own" for n in names) and row["items"] == ["1"] and row["text"].split() == ["a", "b", "c"]
+
+
+def test_one_part_takes_one_python_worker_and_each_text_once(spark, docs_of):
+    docs, items = fixture()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    plan = decontaminate(docs_of(docs), bench)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1

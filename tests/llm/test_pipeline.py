@@ -61,3 +61,8 @@ def test_tokens_replace_their_own_columns(spark):
     docs = spark.createDataFrame([(1, "ab cd", 5, "x")], "doc_id long, text string, n_tokens long, token_ids string")
     row = corpus_pipeline.tokens(spark, docs, "").first()
     assert row["text"] == "ab cd" and row["n_tokens"] == len(row["token_ids"]) and set(row.asDict()) == {"doc_id", "text", "n_tokens", "token_ids"}
+
+
+def test_operators_get_each_text_once(spark):
+    docs = corpus_pipeline._narrow(odd_rows(spark))
+    assert docs.columns == ["doc_id", "text", "whole"] and "text" not in docs.schema["whole"].dataType.names
