@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quillspan.llm import bytekernel as bk
 from quillspan.llm.components import connected_components
-from quillspan.llm.shared import joined_spread, written
+from quillspan.llm.shared import joined_spread, sieved, written
 
 BANDS, WIDTH = 32, 4
 HASHES = BANDS * WIDTH
@@ -235,13 +235,15 @@ def _buckets(members: DataFrame, turn: int) -> DataFrame:
 def components_of_sets(groups: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """(node, component) for the nodes of `groups` (node, first, n_shingles, bands, sig) that a link joins to another."""
     members = groups.select("node", F.explode("bands").alias("bucket"), F.col("node").alias("component"), "n_shingles")
-    table = written(_buckets(members, 0), "buckets")
-    active = written(members.join(table.drop("parts", "n"), "bucket").where("node <> leader"), "active")
+    # Most rows are of buckets with one node, and most texts of nodes without a bucket: the sieves keep these out of shuffles.
+    several = members.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
+    table = written(_buckets(sieved(members, ["bucket"], several), 0), "buckets")
+    active = written(sieved(members, ["bucket"], table).join(table.drop("parts", "n"), "bucket").where("node <> leader"), "active")
     chosen = written(active.select("node").unionByName(table.select(F.col("leader").alias("node"))).distinct(), "chosen")
     marks = written(groups.select("node", "n_shingles", "sig").join(chosen, "node", "left_semi"), "marks")
-    place = groups.select("node", "first").join(chosen, "node", "left_semi")
+    place = written(groups.select("node", "first").join(chosen, "node", "left_semi"), "place")
     texts = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark")).alias("first"), F.col(text_col).alias("text"))
-    sets = written(full_sets(texts.join(place, "first").dropDuplicates(["node"]), k), "sets")
+    sets = written(full_sets(sieved(texts, ["first"], place).join(place, "first").dropDuplicates(["node"]), k), "sets")
     ma, mb = (marks.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sig").alias(f"g{x}")) for x in "ab")
     sa, sb = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
 
@@ -268,7 +270,7 @@ def components_of_sets(groups: DataFrame, docs: DataFrame, id_col: str, text_col
         more = confirmed(rest.where("component <> led_by"))
         stars = _merged(stars, _between(more, stars))
         rest = rest.where("node <> leader").select("bucket", "node", "n_shingles")
-    open_members = rest.select("bucket", "parts", "node", "component").join(sets, "node")
+    open_members = rest.select("bucket", "parts", "node", "component").join(sieved(sets, ["node"], rest), "node")
     return _merged(stars, written(_linked_components(open_members, percent), "links"))
 
 

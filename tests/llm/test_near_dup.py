@@ -6,6 +6,7 @@ import numpy as np
 from quillspan.llm.components import connected_components
 from quillspan.llm import minhash
 from quillspan.llm.minhash import block_links, near_duplicates
+from quillspan.llm.shared import sieved
 
 
 def brute(rows):
@@ -154,3 +155,21 @@ def test_an_id_of_two_texts_keeps_the_clean_one(spark, docs_of):
     assert got == [(3, 3, True), (5, 3, False), (5, 3, True), (9, 9, True), (9, 9, True), (12, 3, False), (14, 9, False)]
     left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
     assert sorted(left, key=str) == sorted([(3, a), (5, b), (9, c), (9, None)], key=str)
+
+
+def test_sieve_keeps_all_rows_with_a_key_and_few_others(spark, monkeypatch):
+    rows = spark.range(20000).selectExpr("id", "struct(id % 5000 AS a, nullif(id % 5000, 7) AS b) AS key", "'x' AS _t")
+    table = rows.where("id % 50 = 7 AND id < 5000").select("key")
+    out = sieved(rows, ["key"], table)
+    assert out.columns == rows.columns and out.where("id % 50 = 7").count() == 400 and out.count() < 420
+    assert sieved(rows, ["key"], table.limit(0)).count() == 0
+    monkeypatch.setattr("quillspan.llm.shared.SIEVE_WORDS", 1)  # full: it lets more through, and loses none
+    assert sieved(rows, ["key"], table).where("id % 50 = 7").count() == 400
+
+
+def test_texts_and_members_are_sieved_before_joins(docs_of, monkeypatch):
+    seen = []
+    monkeypatch.setattr(minhash, "sieved", lambda rows, keys, table: seen.append(keys) or sieved(rows, keys, table))
+    rows = near_copies()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(docs_of(rows)).collect()} == brute(rows)
+    assert {"bucket", "first"} <= {k for keys in seen for k in keys}
