@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +77,21 @@ def test_violations(spark):
     assert got == [("four", "orphan"), ("four", "types"), ("null", "fields"), ("other", "types"), ("tie", "evidence"), ("tie", "ranks"), ("twice", "types")]
 
 
+def test_violations_hold_no_row_twice(spark):
+    rng = random.Random(2)
+    sets = {g: [rng.randrange(1, n + 1) for _ in range(n)] if g % 2 else rng.sample(range(1, n + 1), n) for g, n in enumerate([3, 5, 62, 63, 64, 200] * 4)}
+    sets |= {100: [None, 2], 101: [None], 102: [0, 1], 103: [-1, 2], 104: [63], 105: [1, 2, 3, 4, 5, 5]}
+    rows = [(g, rng.choice([*PLACEMENTS, None]), r, 0.5, "global", "c") for g, ranks in sets.items() for r in ranks]
+    df = spark.createDataFrame(rows, "group_key int, placement string, rank int, score double, target_type string, content string")
+    none = spark.createDataFrame([], "group_key int, placement string, occurrence_id long")
+    found = set_violations(df, none, none)
+    got = {r["group_key"] for r in found.where("rule = 'ranks'").collect()}
+    assert got == {g for g, ranks in sets.items() if None in ranks or sorted(ranks) != list(range(1, len(ranks) + 1))}
+    places = {g: [r[1] for r in rows if r[0] == g] for g in sets}
+    assert {r["group_key"] for r in found.where("rule = 'types'").collect()} == {g for g, p in places.items() if sorted(map(str, p)) != sorted(PLACEMENTS)}
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_digests(spark):
     df = spark.createDataFrame([(1, 0.1, "a", ["x"], None), (1, 0.1, "a", ["x"], ""), (2, float("nan"), None, [None], ""), (2, 1e40, None, [], "")], "g int, d double, s string, l array<string>, n string")
     d = [r[0] for r in df.select(row_digest(df, ["d", "s", "l", "n"])).collect()]
