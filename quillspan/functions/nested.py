@@ -13,7 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillspan.functions.text import redacted
+from quillspan.functions import values as V
+from quillspan.functions.text import matches, replaced
 
 _SLASH, _MARK = "\\u005c", "\\u0022"
 _TOKEN = r'"[^"]*"|[{}\[\],:]|[^\s{}\[\],:"]+|"'
@@ -77,6 +78,23 @@ def canonical_hash(text: Column) -> Column:
     return F.sha2(canonical_json(text), 256)
 
 
+#: What any of the patterns matches; a text that it doesn't match stays as it is.
+_ANY = "|".join(f"(?:{pattern})" for _, pattern, _ in V.REDACTIONS)
+
+
+def _redacted(text: Column) -> Column:
+    """text.redacted() for use inside a lambda, where an expression that stands twice is evaluated twice: each step once, and
+    none for a text without a secret."""
+
+    def step(pattern: str, by: str) -> Callable[[Column], Column]:
+        return lambda r: F.struct(replaced(r["text"], pattern, by).alias("text"), (r["redacted"] | matches(r["text"], pattern)).alias("redacted"))
+
+    out = F.struct(text.alias("text"), F.lit(False).alias("redacted"))
+    for _, pattern, by in V.REDACTIONS:
+        out = let(out, step(pattern, by))
+    return F.when(matches(text, _ANY), out).otherwise(F.struct(text.alias("text"), F.lit(False).alias("redacted")))
+
+
 def redacted_json(text: Column) -> Column:
     """Struct of text and redacted: each string that is a value, at any depth, redacted by itself; all else stays.
 
@@ -87,8 +105,8 @@ def redacted_json(text: Column) -> Column:
 
     def each(pieces: Column) -> Column:
         is_value = lambda i: (i % 2 == 1) & ~F.startswith(F.ltrim(F.coalesce(F.get(pieces, i + 1), F.lit(""))), F.lit(":"))
-        clean = lambda x: let(redacted(inside(x)), lambda r: F.struct(F.when(r["redacted"], _flat(outside(r["text"]))).otherwise(x).alias("x"), r["redacted"].alias("hit")))
+        clean = lambda x: let(let(inside(x), _redacted), lambda r: F.struct(F.when(r["redacted"], _flat(outside(r["text"]))).otherwise(x).alias("x"), r["redacted"].alias("hit")))
         done = F.transform(pieces, lambda x, i: F.when(is_value(i), clean(x)).otherwise(F.struct(x.alias("x"), F.lit(False).alias("hit"))))
         return let(done, lambda d: F.struct(_restored(F.array_join(F.transform(d, lambda p: p["x"]), '"')).alias("text"), F.exists(d, lambda p: p["hit"]).alias("redacted")))
 
-    return F.when(decoded(text)["value"].isNotNull(), let(F.split(_flat(text), '"'), each)).otherwise(redacted(text))
+    return F.when(decoded(text)["value"].isNotNull(), let(F.split(_flat(text), '"'), each)).otherwise(let(text, _redacted))

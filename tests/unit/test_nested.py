@@ -78,3 +78,9 @@ def test_redaction_keeps_structure(spark):
             assert out == texts[r["i"]]
     plain = spark.createDataFrame([(f"no json, {secret}",), ("{",), (None,)], "t string").select(redacted_json(F.col("t")).alias("r")).collect()
     assert [r["r"]["text"] for r in plain] == ["no json, TOKEN=[REDACTED:env-secret]", "{", None]
+
+
+def test_each_pattern_is_applied_once(spark):
+    rows = spark.createDataFrame([('{"a": "TOKEN=abcdef and sk-ant-' + "x" * 30 + ' at https://u:pw1234@h"}',)], "t string").select(redacted_json(F.col("t")).alias("r"))
+    assert rows.first()["r"]["text"] == '{"a": "TOKEN=[REDACTED:env-secret] and [REDACTED:openai-key] at https://[REDACTED:basic-auth-url]@h"}'
+    assert rows._jdf.queryExecution().analyzed().toString().count("regexp_replace(") < 60
